@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import is_blank, numbered, strip
+from claimloom.functions.text import numbered, strip
 from claimloom.functions.vocabulary import ANY_SCENARIO
 
 FALSE, UNKNOWN, TRUE = 0, 1, 2
@@ -28,37 +28,56 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def condition_code(op: Column, operand: Column, value: Column) -> Column:
-    """0 false, 1 unknown, 2 true."""
-    given = strip(value)
-    number = _number(given)
-    bound = _number(strip(operand))
-    same_number = number == bound
-    same_text = F.lower(given) == F.lower(strip(operand))
-    equal = F.coalesce(same_number, same_text)
-    listed = F.array_contains(
-        F.transform(F.split(F.lower(operand), ","), strip), F.lower(given)
+def readable_facts(known: DataFrame) -> DataFrame:
+    """Non-blank facts read once as text, number and truth value:
+    (case_id, fact_key, fact)."""
+    low = F.lower("text")
+    truth = F.when(low.isin("true", "yes"), True).when(low.isin("false", "no"), False)
+    return (
+        known.select("case_id", "fact_key", strip(F.col("value")).alias("text"))
+        .where("text != ''")
+        .select(
+            "case_id",
+            "fact_key",
+            F.struct(
+                low.alias("text"), _number(F.col("text")).alias("number"), truth.alias("truth")
+            ).alias("fact"),
+        )
     )
-    truth = (
-        F.when(F.lower(given).isin("true", "yes"), True)
-        .when(F.lower(given).isin("false", "no"), False)
+
+
+def readable_conditions(conditions: DataFrame) -> DataFrame:
+    """Conditions with their operand read once: (rule_id, condition)."""
+    clean = conditions.withColumn("text", F.lower(strip(F.col("operand"))))
+    return clean.select(
+        "rule_id",
+        F.struct(
+            "fact_key",
+            "op",
+            "text",
+            _number(F.col("text")).alias("number"),
+            F.transform(F.split("text", ","), strip).alias("listed"),
+        ).alias("condition"),
     )
+
+
+def condition_code(condition: Column, fact: Column) -> Column:
+    """0 false, 1 unknown, 2 true, of a readable condition and fact."""
+    op, number = condition["op"], fact["number"]
+    bound = condition["number"]
+    equal = F.coalesce(number == bound, fact["text"] == condition["text"])
     holds = (
-        F.when(op == "=", equal)
-        .when(op == "!=", ~equal)
+        F.when(op == ">=", number >= bound)
         .when(op == "<", number < bound)
         .when(op == "<=", number <= bound)
         .when(op == ">", number > bound)
-        .when(op == ">=", number >= bound)
-        .when(op == "in", listed)
-        .when(op == "is_true", truth)
-        .when(op == "is_false", ~truth)
-    )
-    return (
-        F.when(is_blank(value) | holds.isNull(), UNKNOWN)
-        .when(holds, TRUE)
-        .otherwise(FALSE)
+        .when(op == "is_true", fact["truth"])
+        .when(op == "is_false", ~fact["truth"])
+        .when(op == "=", equal)
+        .when(op == "!=", ~equal)
+        .when(op == "in", F.array_contains(condition["listed"], fact["text"]))
     )
+    return F.coalesce(holds.cast("int") * TRUE, F.lit(UNKNOWN))
 
 
 def _match_kind(code: Column) -> Column:
@@ -73,12 +92,12 @@ def candidate_outcomes(
     (case_id, rule_id, match_kind, missing_facts): missing_facts lists the keys of
     unknown conditions of 'maybe' rules. Work grows with cases * top_k.
     """
-    facts = known.select("case_id", "fact_key", "value")
+    readable = readable_conditions(conditions).withColumn("fact_key", F.col("condition.fact_key"))
     checked = (
         candidates.select("case_id", "rule_id")
-        .join(conditions, "rule_id", "left")
-        .join(facts, ["case_id", "fact_key"], "left")
-        .withColumn("code", condition_code(F.col("op"), F.col("operand"), F.col("value")))
+        .join(readable, "rule_id", "left")
+        .join(readable_facts(known), ["case_id", "fact_key"], "left")
+        .withColumn("code", condition_code(F.col("condition"), F.col("fact")))
     )
     unknown_key = F.when(F.col("code") == UNKNOWN, F.col("fact_key"))
     return (
@@ -124,13 +143,13 @@ def eval_rules(
     """
     asked = conditions.select("fact_key").distinct()
     facts = (
-        known.where(~is_blank(F.col("value")))
+        readable_facts(known)
         .join(asked, "fact_key", "left_semi")
         .groupBy("case_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("fact_key", "value"))).alias("facts"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("fact_key", "fact"))).alias("facts"))
     )
-    packed = conditions.groupBy("rule_id").agg(
-        F.collect_list(F.struct("fact_key", "op", "operand")).alias("conditions")
+    packed = readable_conditions(conditions).groupBy("rule_id").agg(
+        F.collect_list("condition").alias("conditions")
     )
     actions = F.col("actions_json") if "actions_json" in rules.columns else F.lit(None)
     with_conditions = rules.select(
@@ -139,12 +158,10 @@ def eval_rules(
     ).join(packed, "rule_id", "left")
     codes = F.transform(
         "conditions",
-        lambda c: condition_code(c["op"], c["operand"], F.try_element_at("facts", c["fact_key"])),
+        lambda c: condition_code(c, F.try_element_at("facts", c["fact_key"])),
     )
-    no_facts = F.from_json(F.lit("{}"), "MAP<STRING, STRING>")
     return (
         cases.join(facts, "case_id", "left")
-        .withColumn("facts", F.coalesce("facts", no_facts))
         .withColumn(
             "scenario_type",
             F.explode(F.array_distinct(F.array("grievance_type", F.lit(ANY_SCENARIO)))),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from claimloom.operators import facts as facts_op
 from claimloom.operators import retrieval, rules as rules_op
 from claimloom.operators.messages import UNSUPPORTED, classify_by_keywords
+from claimloom.session import materialise
 
 EMPTY_MAP = "MAP<STRING, STRING>"
 
@@ -73,14 +74,16 @@ def run_cases(
     cases = labelled.where(F.col("grievance_type") != UNSUPPORTED).select(
         "case_id", "grievance_type"
     )
-    known = facts_op.known_facts(cases, facts, required)
+    known = materialise(facts_op.known_facts(cases, facts, required), "known")
     missing = facts_op.missing_fields(cases, known, required)
-    status = facts_op.case_status(cases, missing)
+    status = materialise(facts_op.case_status(cases, missing), "status")
 
     ready = status.where("status = 'matched'").select("case_id", "grievance_type")
     known_of_ready = known.join(ready.select("case_id"), "case_id", "left_semi")
     candidates = retrieval.candidate_rules(ready, known_of_ready, rules, top_k)
-    outcomes = rules_op.candidate_outcomes(candidates, known_of_ready, conditions)
+    outcomes = materialise(
+        rules_op.candidate_outcomes(candidates, known_of_ready, conditions), "outcomes"
+    )
     matches = match_results(outcomes, ready, required)
 
     keep_nulls = {"ignoreNullFields": "false"}

@@ -27,7 +27,7 @@ from claimloom.operators import (
 from claimloom.plans import cases as case_plan
 from claimloom.plans import refresh as refresh_plan
 from claimloom.plans import regulations
-from claimloom.session import pin_semantics
+from claimloom.session import materialise, pin_semantics
 from claimloom.sources import extraction
 
 def as_of() -> Column:
@@ -57,12 +57,10 @@ class Inputs:
     def envelopes(self) -> DataFrame:
         return fx.packed_envelopes(self.spark, self.sf_dir)
 
-    @cached_property
-    def required(self) -> DataFrame:
+    def required_query(self) -> DataFrame:
         return gold.required_fields(self.view("fx_required_raw"))
 
-    @cached_property
-    def rules(self) -> DataFrame:
+    def rules_query(self) -> DataFrame:
         raw = self.view("fx_rules_raw")
         reference = F.array(F.struct("ref_text"))
         words = F.array("keyword", F.lit("all"))
@@ -72,6 +70,16 @@ class Inputs:
             ).withColumn("keywords_json", F.when(F.col("keyword").isNotNull(), F.to_json(words)))
         )
 
+    # gold tables are written once and then read, as in a real pipeline
+
+    @cached_property
+    def required(self) -> DataFrame:
+        return materialise(self.required_query(), "required_fields")
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        return materialise(self.rules_query(), "rules")
+
     @cached_property
     def cases(self) -> DataFrame:
         return self.view("fx_cases")
@@ -137,29 +145,29 @@ def queries() -> dict[str, Query]:
 
 @query
 def required_fields(i: Inputs) -> DataFrame:
-    return i.required
+    return i.required_query()
 
 
 @query
 def required_fields_preview(i: Inputs) -> DataFrame:
-    return gold.required_fields_preview(i.required).select(
+    return gold.required_fields_preview(i.required_query()).select(
         "grievance_type", "field_order", "field_name", "importance"
     )
 
 
 @query
 def rules_all(i: Inputs) -> DataFrame:
-    return i.rules
+    return i.rules_query()
 
 
 @query
 def rules_preview(i: Inputs) -> DataFrame:
-    return gold.rules_preview(i.rules)
+    return gold.rules_preview(i.rules_query())
 
 
 @query
 def rule_counts(i: Inputs) -> DataFrame:
-    return gold.rule_counts(i.rules)
+    return gold.rule_counts(i.rules_query())
 
 
 # ---- extraction results ----------------------------------------------------------
@@ -281,7 +289,7 @@ def case_status(i: Inputs) -> DataFrame:
 
 @query
 def rule_tokens(i: Inputs) -> DataFrame:
-    return retrieval.rule_tokens(i.rules)
+    return retrieval.rule_tokens(i.rules_query())
 
 
 @query

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -20,6 +22,8 @@ def local_session(app: str = "claimloom", cpus: str | None = None) -> SparkSessi
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # test data is small: keep all cores busy instead of merging it into one task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
@@ -34,11 +38,32 @@ def pin_semantics(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder below the cluster's shared checkpoint directory."""
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a single-machine session gets a temporary folder of its own; on a
+    cluster there is none, since a machine's own disk is not shared.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError(
-            "set spark.checkpoint.dir to a folder all executors can reach"
-        )
-    return root.rstrip("/") + "/" + name
+    if root:
+        return root.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        root = tempfile.mkdtemp(prefix="claimloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+        return root
+    return None
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once and go on from the written table.
+
+    For results that several later steps read: they are then not computed again, a lost
+    executor costs a read instead of the whole lineage, and the planner sees their real
+    size. Without a shared folder the plan simply goes on.
+    """
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
