@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import tokens
 from claimloom.functions.vocabulary import ANY_SCENARIO
+from claimloom.session import materialise
 
 TOP_K = 12
 SAME_SCENARIO_BOOST = 2
@@ -163,7 +164,7 @@ def candidate_rules(
     cases: DataFrame, known: DataFrame, rules: DataFrame, top_k: int | None = TOP_K
 ) -> DataFrame:
     """(case_id, grievance_type, rank, rule_id, score); top_k None or <= 0 keeps all."""
-    facts = case_tokens(known)
+    facts = materialise(case_tokens(known), "case_tokens")
     keep_all = top_k is None or top_k <= 0
     pairs = (
         _all_pairs(cases, facts, rules) if keep_all else _top_pairs(cases, facts, rules, top_k)

@@ -61,12 +61,12 @@ def readable_conditions(conditions: DataFrame) -> DataFrame:
     )
 
 
-def condition_code(condition: Column, fact: Column) -> Column:
-    """0 false, 1 unknown, 2 true, of a readable condition and fact."""
+def condition_holds(condition: Column, fact: Column) -> Column:
+    """True, false, or NULL when unknown, of a readable condition and fact."""
     op, number = condition["op"], fact["number"]
     bound = condition["number"]
     equal = F.coalesce(number == bound, fact["text"] == condition["text"])
-    holds = (
+    return (
         F.when(op == ">=", number >= bound)
         .when(op == "<", number < bound)
         .when(op == "<=", number <= bound)
@@ -77,7 +77,11 @@ def condition_code(condition: Column, fact: Column) -> Column:
         .when(op == "!=", ~equal)
         .when(op == "in", F.array_contains(condition["listed"], fact["text"]))
     )
-    return F.coalesce(holds.cast("int") * TRUE, F.lit(UNKNOWN))
+
+
+def condition_code(condition: Column, fact: Column) -> Column:
+    """0 false, 1 unknown, 2 true."""
+    return F.coalesce(condition_holds(condition, fact).cast("int") * TRUE, F.lit(UNKNOWN))
 
 
 def _match_kind(code: Column) -> Column:
@@ -156,22 +160,26 @@ def eval_rules(
         "rule_id", "scenario_type", "rule_family", "source_para", "title",
         "passenger_gets_text", actions.cast("string").alias("actions_json"),
     ).join(packed, "rule_id", "left")
-    codes = F.transform(
-        "conditions",
-        lambda c: condition_code(c, F.try_element_at("facts", c["fact_key"])),
-    )
+
+    def holds(c):
+        return condition_holds(c, F.try_element_at("facts", c["fact_key"]))
+
+    # both stop at the first condition that decides
+    ruled_out = F.exists("conditions", lambda c: ~F.coalesce(holds(c), F.lit(True)))
+    all_hold = F.forall("conditions", lambda c: F.coalesce(holds(c), F.lit(False)))
     return (
-        cases.join(facts, "case_id", "left")
+        # the pairing below is the heavy part, so it is spread by case
+        cases.repartition("case_id")
+        .join(facts, "case_id", "left")
         .withColumn(
             "scenario_type",
             F.explode(F.array_distinct(F.array("grievance_type", F.lit(ANY_SCENARIO)))),
         )
         .join(with_conditions, "scenario_type")
-        .withColumn("code", F.coalesce(F.array_min(codes), F.lit(UNKNOWN)))
-        .where(F.col("code") != FALSE)
+        .where(~F.coalesce(ruled_out, F.lit(False)))
         .select(
             "case_id", "grievance_type", "rule_id",
-            _match_kind(F.col("code")).alias("match_kind"),
+            F.when(all_hold, "exact").otherwise("maybe").alias("match_kind"),
             "source_para", "title", "passenger_gets_text", "actions_json",
             (F.col("rule_family") == "exception").alias("is_exception"),
         )

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import (
-    SPACE_CLASS,
     SPACE_CLASS_IN_LINE,
-    WHITE_SPACE,
     count_of,
     strip,
     words,
@@ -92,17 +90,12 @@ def sections(documents: DataFrame) -> DataFrame:
        and the last its title and content (a repeated id replaces the section);
     3. a header of capitals has no number and is always new; its id is its position.
     """
-    inline = f"[{SPACE_CLASS_IN_LINE}]"
-    clean = F.regexp_replace(
-        "text", f"(?<!{inline}){inline}*+\n[{SPACE_CLASS}]*+", "\n"
+    lines = F.filter(
+        F.transform(F.split("text", "\n"), strip), lambda line: line != ""
     )
     header_ahead = f"\n(?=(?:{NUMBERED_WORD}|{DOTTED_NUMBER}|{ALL_CAPITALS}))"
-    cut = documents.select(
-        "doc_id",
-        F.split(F.concat(F.lit("\n"), F.btrim(clean, F.lit(WHITE_SPACE))), header_ahead).alias(
-            "blocks"
-        ),
-    )
+    clean = F.concat(F.lit("\n"), F.array_join(lines, "\n"))
+    cut = documents.select("doc_id", F.split(clean, header_ahead).alias("blocks"))
 
     def head(block, i):
         h = _header(F.substring_index(block, "\n", 1))

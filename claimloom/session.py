@@ -22,8 +22,8 @@ def local_session(app: str = "claimloom", cpus: str | None = None) -> SparkSessi
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        # test data is small: keep all cores busy instead of merging it into one task
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # as many partitions as cores; merging small ones would leave cores idle
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
