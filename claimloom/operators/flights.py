@@ -108,8 +108,18 @@ def refresh_summary(log: DataFrame) -> DataFrame:
     )
 
 
-def entitlements_by_delay(delays: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Add each entitlement whose min_delay_minutes the row's delay reaches.
+def _reached(min_delay: Column, previous: str | None) -> Column:
+    reached = min_delay <= F.col("delay")
+    if previous is None:
+        return reached
+    return reached & (F.col(previous).isNull() | (F.col(previous) < min_delay))
+
+
+def entitlements_by_delay(
+    delays: DataFrame, thresholds: DataFrame, previous: str | None = None
+) -> DataFrame:
+    """Add each entitlement whose min_delay_minutes the row's delay reaches; with
+    `previous`, only if the delay in that column did not reach it already.
 
     A small threshold table (checked) travels as literals: no join, no shuffle. A larger
     one is joined by equality on the power-of-two blocks that cover delays from the
@@ -117,24 +127,26 @@ def entitlements_by_delay(delays: DataFrame, thresholds: DataFrame) -> DataFrame
     """
     rows = thresholds.select("min_delay_minutes", "entitlement")
     small = rows.limit(MAX_LITERAL_THRESHOLDS + 1).collect()
-    if len(small) <= MAX_LITERAL_THRESHOLDS:
-        known = F.array(
-            *(
-                F.struct(
-                    F.lit(r["min_delay_minutes"]).cast("bigint").alias("min_delay"),
-                    F.lit(r["entitlement"]).alias("entitlement"),
-                )
-                for r in small
+    if len(small) > MAX_LITERAL_THRESHOLDS:
+        return _entitlements_by_blocks(delays, rows, previous)
+    known = F.array(
+        *(
+            F.struct(
+                F.lit(r["min_delay_minutes"]).cast("bigint").alias("min_delay"),
+                F.lit(r["entitlement"]).alias("entitlement"),
             )
+            for r in small
         )
-        reached = F.filter(known, lambda t: t["min_delay"] <= F.col("delay"))
-        return delays.withColumn("reached", F.explode(reached)).select(
-            *delays.columns, F.col("reached.entitlement").alias("entitlement")
-        )
-    return _entitlements_by_blocks(delays, rows)
+    )
+    reached = F.filter(known, lambda t: _reached(t["min_delay"], previous))
+    return delays.withColumn("reached", F.explode(reached)).select(
+        *delays.columns, F.col("reached.entitlement").alias("entitlement")
+    )
 
 
-def _entitlements_by_blocks(delays: DataFrame, thresholds: DataFrame, bits: int = 31) -> DataFrame:
+def _entitlements_by_blocks(
+    delays: DataFrame, thresholds: DataFrame, previous: str | None = None, bits: int = 31
+) -> DataFrame:
     """Range join as an equi-join.
 
     [m, 2^bits) is the disjoint union of the block of m itself and, for each zero bit
@@ -143,12 +155,13 @@ def _entitlements_by_blocks(delays: DataFrame, thresholds: DataFrame, bits: int
     """
     shift = 1 << (bits - 1)
     levels = F.sequence(F.lit(0), F.lit(bits))
-    start = F.greatest(F.col("min_delay_minutes").cast("bigint") + shift, F.lit(0))
+    minimum = F.col("min_delay_minutes").cast("bigint")
+    start = F.greatest(minimum + shift, F.lit(0))
 
     def block(value, level):
         return F.call_function("shiftright", value, level)
 
-    covering = F.filter(
+    right_of = F.filter(
         F.transform(
             levels,
             lambda k: F.struct(
@@ -161,15 +174,19 @@ def _entitlements_by_blocks(delays: DataFrame, thresholds: DataFrame, bits: int
         lambda b: b["block"].isNotNull(),
     )
     own = F.array(F.struct(F.lit(0).alias("level"), start.alias("block")))
-    spread = thresholds.select("entitlement", F.inline(F.concat(own, covering)))
+    spread = thresholds.select(
+        "entitlement", minimum.alias("min_delay"), F.inline(F.concat(own, right_of))
+    )
     position = F.col("delay").cast("bigint") + shift
-    keyed = delays.withColumn(
-        "b",
-        F.explode(
-            F.transform(levels, lambda k: F.struct(k.alias("level"), block(position, k).alias("block")))
-        ),
-    ).select(*delays.columns, "b.level", "b.block")
-    return keyed.join(spread, ["level", "block"]).select(*delays.columns, "entitlement")
+    blocks = F.transform(
+        levels, lambda k: F.struct(k.alias("level"), block(position, k).alias("block"))
+    )
+    return (
+        delays.select(*delays.columns, F.inline(blocks))
+        .join(spread, ["level", "block"])
+        .where(_reached(F.col("min_delay"), previous))
+        .select(*delays.columns, "entitlement")
+    )
 
 
 def previous_delay(steps: DataFrame, bucket: str = "hour") -> DataFrame:
@@ -206,12 +223,14 @@ def entitlement_changes(snapshots: DataFrame, thresholds: DataFrame) -> DataFram
         .where("outcome = 'success'")
         .select("flight_number", "seq", "observed_at", F.col("new_delay").alias("delay"))
     )
-    rising = steps.where("previous IS NULL OR delay > previous")
-    least = thresholds.groupBy("entitlement").agg(F.min("min_delay_minutes").alias("least"))
-    return (
-        entitlements_by_delay(rising, thresholds)
-        .distinct()
-        .join(least, "entitlement")
-        .where("previous IS NULL OR previous < least")
-        .select("flight_number", "seq", "observed_at", F.col("entitlement").alias("gained"))
+    return gained_entitlements(steps, thresholds)
+
+
+def gained_entitlements(steps: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """steps(flight_number, seq, observed_at, delay, previous) -> one row per gain."""
+    least = thresholds.groupBy("entitlement").agg(
+        F.min("min_delay_minutes").alias("min_delay_minutes")
+    )
+    return entitlements_by_delay(steps, least, previous="previous").select(
+        "flight_number", "seq", "observed_at", F.col("entitlement").alias("gained")
     )

@@ -73,14 +73,14 @@ def type_label(grievance_type: Column) -> Column:
     return F.coalesce(*(F.when(grievance_type == t, label) for t, label in TYPE_LABELS.items()))
 
 
-def answer_pairs(messages: DataFrame) -> DataFrame:
-    """One row per answer in a message: pos, name, value, from_json.
+def answers(text: Column) -> Column:
+    """struct(from_json, pairs): the answers in a message, as array of (name, value).
 
     A message that is a JSON object gives its entries; any other JSON value gives none;
     other text is read as lines 'name: value', split at the first colon.
     """
     # inside brackets, text after the JSON value makes the whole malformed
-    bracketed = F.concat(F.lit("["), F.col("text"), F.lit("]"))
+    bracketed = F.concat(F.lit("["), text, F.lit("]"))
     strict = {"allowSingleQuotes": "false"}
     objects = F.from_json(bracketed, "ARRAY<MAP<STRING, STRING>>", strict)
     as_object = F.when(F.size(objects) == 1, objects[0])
@@ -90,7 +90,7 @@ def answer_pairs(messages: DataFrame) -> DataFrame:
         lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")),
     )
     lines = F.transform(
-        F.filter(F.split(F.col("text"), "\n"), lambda l: l.contains(":")),
+        F.filter(F.split(text, "\n"), lambda l: l.contains(":")),
         lambda l: F.struct(
             strip(F.substring_index(l, ":", 1)).alias("name"),
             strip(F.substr(l, F.locate(":", l) + 1)).alias("value"),
@@ -98,11 +98,17 @@ def answer_pairs(messages: DataFrame) -> DataFrame:
     )
     none = F.array().cast("array<struct<name:string,value:string>>")
     pairs = F.when(as_object.isNotNull(), entries).when(is_other_json, none).otherwise(lines)
-    return messages.select(
-        *messages.columns,
-        as_object.isNotNull().alias("from_json"),
-        F.posexplode(pairs).alias("pos", "pair"),
-    ).select(*messages.columns, "from_json", "pos", "pair.name", "pair.value")
+    return F.struct(as_object.isNotNull().alias("from_json"), pairs.alias("pairs"))
+
+
+def answer_pairs(messages: DataFrame) -> DataFrame:
+    """One row per answer in a message: from_json, pos, name, value."""
+    kept = messages.columns
+    return (
+        messages.withColumn("a", answers(F.col("text")))
+        .select(*kept, "a.from_json", F.posexplode("a.pairs").alias("pos", "pair"))
+        .select(*kept, "from_json", "pos", "pair.name", "pair.value")
+    )
 
 
 def _name_forms(required: DataFrame, *columns: str) -> DataFrame:
