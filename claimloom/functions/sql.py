@@ -14,14 +14,16 @@ CREATE OR REPLACE TEMPORARY FUNCTION {name}(grievance STRING, given_json STRING)
 RETURNS TABLE (rule_id STRING, match_kind STRING, source_para STRING, title STRING,
                passenger_gets_text STRING, actions_json STRING)
 RETURN
-  WITH rule_codes AS (
+  WITH checked AS (
     SELECT r.rule_id, r.source_para, r.title, r.passenger_gets_text,
-           coalesce(min(claim_condition_code(
+           claim_condition_code(
              c.op, c.operand, try_element_at(from_json(given_json, 'MAP<STRING, STRING>'), c.fact_key)
-           )), 1) AS code
+           ) AS one
     FROM {rules} r LEFT JOIN {conditions} c ON c.rule_id = r.rule_id
     WHERE r.scenario_type IN (grievance, 'cross_cutting')
-    GROUP BY r.rule_id, r.source_para, r.title, r.passenger_gets_text
+  ), rule_codes AS (
+    SELECT rule_id, source_para, title, passenger_gets_text, min(one) AS code
+    FROM checked GROUP BY rule_id, source_para, title, passenger_gets_text
   )
   SELECT rule_id, CASE code WHEN 2 THEN 'exact' ELSE 'maybe' END, source_para, title,
          passenger_gets_text, CAST(NULL AS STRING)
