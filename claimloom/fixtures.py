@@ -276,7 +276,7 @@ def regulation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, extracted): the flat raw views packed into extraction results."""
-    bucket = (F.col("seq") % 20).alias("bucket")
+    bucket = F.floor(F.col("seq") / 100).alias("bucket")
     rules = (
         view(spark, sf_dir, "fx_rules_raw")
         .withColumn(
@@ -317,7 +317,7 @@ def packed_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     path = F.concat(F.lit("doc-"), F.col("bucket").cast("string"))
-    error = F.when(F.col("bucket") == 19, F.lit("partly unreadable"))
+    error = F.when(F.col("bucket") % 20 == 19, F.lit("partly unreadable"))
     response = F.struct(
         path.alias("document_id"), "required_facts_by_scenario", "rules"
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from claimloom.functions.text import strip
 from claimloom.functions.vocabulary import GRIEVANCE_TYPES
 from claimloom.operators.messages import classify_by_keywords, clean_history, match_answers
+from claimloom.session import materialise
 
 INITIAL = 0
 COMPLETED = len(GRIEVANCE_TYPES) + 1
@@ -168,7 +169,7 @@ def dialogue_states(
     keeps it until the next message clears it. `levels` grows with the longest
     conversation: lists hold at most `fan` entries below the top level.
     """
-    steps = message_moves(messages, required, classify)
+    steps = materialise(message_moves(messages, required, classify), "moves")
     met = _starts(steps.select("conv_id", F.col("turn").alias("place"), "moves"), levels, fan)
     before = F.col("start")
     after = _after(F.col("moves"), before)
@@ -210,6 +211,7 @@ def conversation_states(messages: DataFrame, states: DataFrame) -> DataFrame:
             F.when(F.col("state_before") == "completed", F.col("turn"))
         ).alias("cleared_at"),
     )
+    latest = materialise(latest, "latest_states")
     kept = (
         history_since_clear(messages, latest)
         .groupBy("conv_id")

@@ -112,6 +112,7 @@ def _top_pairs(cases: DataFrame, facts: DataFrame, rules: DataFrame, top_k: int)
         .agg(F.sort_array(F.collect_list(F.struct("para", "rule_id"))).alias("members"))
         .withColumn("first", F.element_at("members", 1))
     )
+    members = materialise(members, "rule_classes")
 
     # score of a class for a type, before facts are looked at
     type_tokens = tokens(F.col("grievance_type"))
@@ -125,6 +126,7 @@ def _top_pairs(cases: DataFrame, facts: DataFrame, rules: DataFrame, top_k: int)
             F.array_except("signature", type_tokens).alias("fact_tokens"),
         )
     )
+    classes = materialise(classes, "type_classes")
     by_base = Window.partitionBy("grievance_type").orderBy(F.desc("base"), "first")
     leading = (
         classes.withColumn("place", F.row_number().over(by_base))

@@ -47,8 +47,9 @@ def readable_facts(known: DataFrame) -> DataFrame:
 
 
 def readable_conditions(conditions: DataFrame) -> DataFrame:
-    """Conditions with their operand read once: (rule_id, condition)."""
-    clean = conditions.withColumn("text", F.lower(strip(F.col("operand"))))
+    """Distinct conditions with their operand read once: (rule_id, condition)."""
+    distinct = conditions.select("rule_id", "fact_key", "op", "operand").distinct()
+    clean = distinct.withColumn("text", F.lower(strip(F.col("operand"))))
     return clean.select(
         "rule_id",
         F.struct(

@@ -446,10 +446,10 @@ SELECT source_para, scenario_type, rule_family, rule_id, title, applies_when_tex
 Q["rule_counts"] = """
 SELECT scenario_type, rule_family, count(*) AS cnt FROM rules GROUP BY scenario_type, rule_family"""
 Q["envelope_errors"] = """
-SELECT 'doc-' || CAST(seq % 20 AS STRING) AS path,
-       CASE WHEN seq % 20 = 19 THEN 'partly unreadable' END AS error_message,
-       'doc-' || CAST(seq % 20 AS STRING) AS document_id, CAST(count(*) AS INTEGER) AS n_rules
-FROM fx_rules_raw GROUP BY seq % 20"""
+SELECT 'doc-' || CAST(seq // 100 AS STRING) AS path,
+       CASE WHEN (seq // 100) % 20 = 19 THEN 'partly unreadable' END AS error_message,
+       'doc-' || CAST(seq // 100 AS STRING) AS document_id, CAST(count(*) AS INTEGER) AS n_rules
+FROM fx_rules_raw GROUP BY seq // 100"""
 Q["envelope_required"] = "SELECT * FROM required"
 Q["envelope_rules"] = "SELECT * FROM rules"
 Q["tolerant_decode"] = """

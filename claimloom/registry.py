@@ -413,7 +413,8 @@ def section_scores(i: Inputs) -> DataFrame:
 
 @query
 def packed_context(i: Inputs) -> DataFrame:
-    return sections.packed_contexts(i.view("fx_queries"), i.sections)
+    written = materialise(i.sections, "sections")
+    return sections.packed_contexts(i.view("fx_queries"), written)
 
 
 # ---- messages --------------------------------------------------------------------
