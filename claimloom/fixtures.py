@@ -169,7 +169,8 @@ SELECT doc_id * 3 + k AS query_id, doc_id,
                              WHEN 2 THEN 'Denied because of overbooking'
                              WHEN 3 THEN 'weather today'
                              ELSE 'facility conditions of ' || lang || ' carriage' END AS query
-FROM documents CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS three
+FROM (SELECT doc_id, lang, 0 AS k FROM documents UNION ALL SELECT doc_id, lang, 1 FROM documents
+      UNION ALL SELECT doc_id, lang, 2 FROM documents) AS asked
 """
 
 VIEWS["fx_thresholds"] = """
