@@ -55,8 +55,8 @@ def count_of(text: Column, term: Column) -> Column:
 
 
 def numbered(items: Column) -> Column:
-    """Turn an array of texts into lines '1. ...'."""
+    """Turn an array of texts into lines '1. ...', each ended by a newline."""
     lines = F.transform(
-        items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)
+        items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x, F.lit("\n"))
     )
-    return F.array_join(lines, "\n")
+    return F.array_join(lines, "")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.session import materialise
+
 REFRESH_SECONDS = 3600
 RESPONSE_DDL = "data ARRAY<STRUCT<departure: STRUCT<delay: INT>>>"
 # Above this many rows a threshold table is joined instead of being sent as literals.
@@ -218,11 +220,13 @@ def entitlement_changes(snapshots: DataFrame, thresholds: DataFrame) -> DataFram
     An entitlement is gained when the delay reaches its threshold and the delay of the
     previous snapshot did not. Snapshots without data change nothing.
     """
-    steps = previous_delay(
+    delays = (
         decode_status(snapshots)
         .where("outcome = 'success'")
         .select("flight_number", "seq", "observed_at", F.col("new_delay").alias("delay"))
     )
+    # read twice below; this way the responses are decoded once
+    steps = previous_delay(materialise(delays, "delays"))
     return gained_entitlements(steps, thresholds)
 
 

@@ -103,10 +103,17 @@ def render(template: str) -> Column:
     return F.concat(*parts)
 
 
-def letters(filled: DataFrame, template: str, subject: str) -> DataFrame:
-    """Add subject, letter and errors; a row with missing fields has no letter."""
+NOT_APPLICABLE = "Email action is not applicable for this grievance type"
+
+
+def letters(
+    filled: DataFrame, template: str, subject: str, grievance_type: Column | None = None
+) -> DataFrame:
+    """Add subject, letter and error. A row with missing fields has no letter, nor has one
+    whose grievance type, where given, is not offered a letter."""
     checked = filled.withColumn("missing", missing_letter_fields(filled))
-    complete = F.size("missing") == 0
+    offered = F.lit(True) if grievance_type is None else letter_available(grievance_type)
+    complete = offered & (F.size("missing") == 0)
 
     def text(pattern):
         if set(LETTER_COLUMNS) - set(filled.columns):
@@ -117,9 +124,11 @@ def letters(filled: DataFrame, template: str, subject: str) -> DataFrame:
         *filled.columns,
         text(subject).alias("subject"),
         text(template).alias("letter"),
-        F.when(
+        F.when(~offered, NOT_APPLICABLE)
+        .when(
             ~complete, F.concat(F.lit("Missing required fields: "), F.array_join("missing", ", "))
-        ).alias("error"),
+        )
+        .alias("error"),
     )
 
 
@@ -137,7 +146,7 @@ def escalation_checklists(items: DataFrame) -> DataFrame:
         .select(
             "grievance_type",
             F.concat(
-                F.lit("Required documents:\n"), "documents", F.lit("\n\nSteps:\n"), "steps"
+                F.lit("Required documents:\n"), "documents", F.lit("\nSteps:\n"), "steps"
             ).alias("checklist"),
         )
     )

@@ -254,14 +254,19 @@ def rule_summaries(evaluated: DataFrame) -> DataFrame:
 
 def exact_rule_summary(evaluated: DataFrame) -> DataFrame:
     """(case_id, summary): numbered title and benefit of each exactly matching rule."""
-    text = F.concat(
-        F.coalesce("title", F.lit("N/A")), F.lit("\n   "),
-        F.coalesce("passenger_gets_text", F.lit("Not specified")),
-    )
+    columns = {
+        "title": F.coalesce("title", F.lit("N/A")),
+        "gets": F.coalesce("passenger_gets_text", F.lit("Not specified")),
+    }
+
+    def shown(r, i):
+        number = (i + 1).cast("string")
+        return F.concat(
+            F.lit("**"), number, F.lit(". "), r["title"], F.lit("**\n   "), r["gets"], F.lit("\n\n")
+        )
+
     return (
         evaluated.where("match_kind = 'exact'")
         .groupBy("case_id")
-        .agg(
-            numbered(_in_evaluation_order({"text": text}, lambda r: r["text"])).alias("summary")
-        )
+        .agg(F.array_join(_in_evaluation_order(columns, shown), "").alias("summary"))
     )

@@ -510,7 +510,7 @@ Q["rules_matched"] = "SELECT * FROM evaluated"
 _ORDER = "ORDER BY match_kind, coalesce(source_para, ''), rule_id"
 Q["top3_rule_lines"] = f"""
 SELECT case_id, string_agg(CAST(n AS STRING) || '. ' || coalesce(title, 'N/A') || ': '
-       || coalesce(passenger_gets_text, 'N/A'), chr(10) ORDER BY n) AS rules_text
+       || coalesce(passenger_gets_text, 'N/A') || chr(10), '' ORDER BY n) AS rules_text
 FROM (SELECT *, row_number() OVER (PARTITION BY case_id {_ORDER}) AS n FROM evaluated) WHERE n <= 3 GROUP BY case_id"""
 Q["rule_summaries"] = f"""
 SELECT case_id, '[' || string_agg('{{"rule_id":"' || rule_id || '","title":"' || coalesce(title, 'N/A')
@@ -519,8 +519,8 @@ SELECT case_id, '[' || string_agg('{{"rule_id":"' || rule_id || '","title":"' ||
        || CASE WHEN json_valid(actions_json) THEN actions_json ELSE '{{}}' END || '}}', ',' {_ORDER}) || ']' AS matched_rules
 FROM evaluated GROUP BY case_id"""
 Q["exact_rule_summary"] = f"""
-SELECT case_id, string_agg(CAST(n AS STRING) || '. ' || coalesce(title, 'N/A') || chr(10) || '   '
-       || coalesce(passenger_gets_text, 'Not specified'), chr(10) ORDER BY n) AS summary
+SELECT case_id, string_agg('**' || CAST(n AS STRING) || '. ' || coalesce(title, 'N/A') || '**' || chr(10) || '   '
+       || coalesce(passenger_gets_text, 'Not specified') || chr(10) || chr(10), '' ORDER BY n) AS summary
 FROM (SELECT *, row_number() OVER (PARTITION BY case_id {_ORDER}) AS n FROM evaluated WHERE match_kind = 'exact')
 GROUP BY case_id"""
 Q["due_flights"] = "SELECT * FROM due"
@@ -586,7 +586,7 @@ Q["type_labels"] = f"""
 SELECT case_id, CASE grievance_type {' '.join(f'WHEN {_lit(t)} THEN {_lit(x)}' for t, x in v.TYPE_LABELS.items())} END AS label,
        grievance_type IN ('cancellation', 'denied_boarding') AS letter_available,
        CASE WHEN grievance_type IN ('cancellation', 'denied_boarding')
-            THEN {_lit(chr(10).join(f'{n}. {t}' for n, t in enumerate(samples.FOLLOW_UPS, 1)))} ELSE '' END AS follow_ups
+            THEN {_lit(''.join(f'{n}. {t}{chr(10)}' for n, t in enumerate(samples.FOLLOW_UPS, 1)))} ELSE '' END AS follow_ups
 FROM fx_cases"""
 Q["answer_pairs"] = "SELECT * FROM pairs"
 Q["parsed_answers"] = """
@@ -631,16 +631,23 @@ _ERRORS = " || ".join(
 Q["letter_errors"] = f"""
 SELECT form_id, e = '' AS rendered, CASE WHEN e <> '' THEN 'Missing required fields: ' || substr(e, 3) END AS error
 FROM (SELECT form_id, {_ERRORS} AS e FROM fx_forms)"""
+Q["case_letters"] = f"""
+SELECT case_id, grievance_type, CASE WHEN ok THEN subject END AS subject, CASE WHEN ok THEN letter END AS letter,
+       CASE WHEN NOT ok THEN 'Email action is not applicable for this grievance type' END AS error
+FROM (SELECT c.case_id, c.grievance_type, c.grievance_type IN ('cancellation', 'denied_boarding') AS ok,
+             {_template(samples.LETTER_SUBJECT)} AS subject, {_template(samples.LETTER_TEMPLATE)} AS letter
+      FROM parsed p JOIN fx_cases c ON c.case_id = p.form_id)"""
 Q["escalation_checklist"] = """
 SELECT l.case_id, l.grievance_type, coalesce(x.txt, '') AS checklist FROM labelled l LEFT JOIN (
   SELECT grievance_type, 'Required documents:' || chr(10)
-         || coalesce(string_agg(CAST(n AS STRING) || '. ' || item_text, chr(10) ORDER BY n) FILTER (kind = 'document'), '')
-         || chr(10) || chr(10) || 'Steps:' || chr(10)
-         || coalesce(string_agg(CAST(n AS STRING) || '. ' || item_text, chr(10) ORDER BY n) FILTER (kind = 'step'), '') AS txt
+         || coalesce(string_agg(CAST(n AS STRING) || '. ' || item_text || chr(10), '' ORDER BY n) FILTER (kind = 'document'), '')
+         || chr(10) || 'Steps:' || chr(10)
+         || coalesce(string_agg(CAST(n AS STRING) || '. ' || item_text || chr(10), '' ORDER BY n) FILTER (kind = 'step'), '') AS txt
   FROM (SELECT *, row_number() OVER (PARTITION BY grievance_type, kind ORDER BY item_no) AS n FROM fx_checklist)
   GROUP BY grievance_type) x ON x.grievance_type = l.grievance_type"""
 Q["case_runs"] = """
 SELECT l.case_id, l.session_id, l.user_text, l.grievance_type, coalesce(s.status, 'unsupported') AS status,
+       l.grievance_type IN ('cancellation', 'denied_boarding') AS letter_available,
        coalesce(s.n_missing, 0) AS n_missing, coalesce(s.n_crit, 0) AS n_missing_critical,
        '{' || coalesce(k.facts, '') || '}' AS facts_json,
        '{"grievance_type":"' || l.grievance_type || '","known_facts":{' || coalesce(k.facts, '') || '}}' AS intake_json,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom.operators import facts as facts_op
 from claimloom.operators import retrieval, rules as rules_op
+from claimloom.operators.letters import letter_available
 from claimloom.operators.messages import UNSUPPORTED, classify_by_keywords
 from claimloom.session import materialise
 
@@ -102,6 +103,7 @@ def run_cases(
             F.coalesce("user_text", F.lit("")).alias("user_text"),
             "grievance_type",
             F.coalesce("status", F.lit(UNSUPPORTED)).alias("status"),
+            letter_available(F.col("grievance_type")).alias("letter_available"),
             F.coalesce("n_missing", F.lit(0)).alias("n_missing"),
             F.coalesce("n_missing_critical", F.lit(0)).alias("n_missing_critical"),
             F.to_json(known_map, keep_nulls).alias("facts_json"),

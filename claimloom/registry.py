@@ -542,6 +542,16 @@ def letter_errors(i: Inputs) -> DataFrame:
     )
 
 
+@query
+def case_letters(i: Inputs) -> DataFrame:
+    """Forms handed in for a case: only some types are offered a letter."""
+    filled = letters.parse_forms(i.view("fx_forms")).withColumnRenamed("form_id", "case_id")
+    kind = F.col("grievance_type")
+    return letters.letters(
+        filled.join(i.cases, "case_id"), samples.LETTER_TEMPLATE, samples.LETTER_SUBJECT, kind
+    ).select("case_id", "grievance_type", "subject", "letter", "error")
+
+
 @query
 def escalation_checklist(i: Inputs) -> DataFrame:
     checklists = letters.escalation_checklists(i.view("fx_checklist"))
