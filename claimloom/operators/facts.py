@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import is_blank, strip
+from claimloom.operators.messages import answer_pairs
 
 
 def required_fields_of_cases(cases: DataFrame, required: DataFrame) -> DataFrame:
@@ -28,6 +29,18 @@ def _clean_message_facts(facts: DataFrame) -> DataFrame:
     )
 
 
+def facts_in_text(intake: DataFrame) -> DataFrame:
+    """Default extractor: what a message states as 'name: value' lines or as JSON."""
+    texts = intake.select("case_id", F.col("user_text").alias("text"))
+    return answer_pairs(texts).select(
+        "case_id",
+        F.col("pos").cast("bigint").alias("pos"),
+        F.lit("message").alias("origin"),
+        F.col("name").alias("fact_key"),
+        "value",
+    )
+
+
 def allowed_facts(cases: DataFrame, facts: DataFrame, required: DataFrame) -> DataFrame:
     """Extracted facts that are non-blank and asked for by the case's type."""
     allowed = required.select("grievance_type", F.col("field_name").alias("fact_key"))

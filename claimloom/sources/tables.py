@@ -71,13 +71,17 @@ def replace_table(df: DataFrame, folder: str, version: int | None = None) -> int
     return version
 
 
-def append_case_runs(runs: DataFrame, folder: str) -> None:
-    """Append matched runs, partitioned by the day they were made."""
-    typed = runs.where("status = 'matched'").select(
+def case_run_rows(runs: DataFrame) -> DataFrame:
+    """The matched runs, in the columns of the case-run table."""
+    return runs.where("status = 'matched'").select(
         *(runs[f.name].cast(f.dataType).alias(f.name) for f in CASE_RUNS.fields)
     )
+
+
+def append_case_runs(runs: DataFrame, folder: str) -> None:
+    """Append matched runs, partitioned by the day they were made."""
     (
-        typed.selectExpr("*", "to_date(created_at) AS run_date")
+        case_run_rows(runs).selectExpr("*", "to_date(created_at) AS run_date")
         .write.mode("append")
         .partitionBy("run_date")
         .parquet(folder)

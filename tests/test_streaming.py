@@ -6,6 +6,7 @@ from claimloom import fixtures as fx
 from claimloom.operators import dialogue, flights, gold
 from claimloom.sources import snapshots as snapshot_source
 from claimloom.sources import tables
+from claimloom.streaming import cases as case_stream
 from claimloom.streaming import refresh, stateful
 
 
@@ -62,6 +63,37 @@ def test_entitlement_stream_equals_batch(spark, sf_dir, tmp_path):
     assert got == as_set(want) and got
 
 
+def test_case_run_stream(spark, tmp_path):
+    required = spark.createDataFrame(
+        [("delay", "hours", 1, "d", "critical", True, "why")],
+        "grievance_type string, field_name string, field_order int, field_description string, "
+        "importance string, is_required boolean, why_needed string",
+    )
+    rules = spark.createDataFrame(
+        [("r", "delay", "1", "hours 4")],
+        "rule_id string, scenario_type string, source_para string, retrieval_text string",
+    )
+    conditions = spark.createDataFrame([("r", "hours", ">=", "3")], "rule_id string, fact_key string, op string, operand string")
+    intake = spark.createDataFrame(
+        [(1, "s1", "a delay\nHours: 4"), (2, "s2", "a delay"), (3, "s3", "hello"), (4, "s4", "late delay\nhours: 1")],
+        "case_id long, session_id string, user_text string",
+    )
+    folder = str(tmp_path / "intake")
+    write_snapshots(intake, folder, "case_id", [0, 3, 9])
+    stream = (
+        spark.readStream.schema(intake.schema).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").json(folder)
+    )
+    out = str(tmp_path / "runs")
+    for checkpoint in ("a", "b"):  # the second run repeats both batches
+        case_stream.start_case_runs(
+            stream, required, rules, conditions, out, lambda n: fx.AS_OF, str(tmp_path / checkpoint)
+        ).awaitTermination()
+    stored = spark.read.parquet(out)
+    got = as_set(stored.selectExpr("session_id", "get_json_object(match_json, '$.applicable_rule_ids')"))
+    assert got == {("s1", '["r"]'), ("s4", "[]")} and stored.count() == 2
+
+
 def test_refresh_stream(spark, sf_dir, tmp_path):
     tracked = fx.view(spark, sf_dir, "fx_flights")
     status = fx.view(spark, sf_dir, "fx_status")
