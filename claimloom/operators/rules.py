@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 from claimloom.functions.text import numbered, strip
 from claimloom.functions.vocabulary import ANY_SCENARIO
 
-FALSE, UNKNOWN, TRUE = 0, 1, 2
 MATCH_KINDS = ("non_applicable", "maybe", "exact")
 
-
 # Plain decimal numbers only: casting alone would also take texts like '5d' or 'NaN'.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -80,13 +78,31 @@ def condition_holds(condition: Column, fact: Column) -> Column:
     )
 
 
-def condition_code(condition: Column, fact: Column) -> Column:
-    """0 false, 1 unknown, 2 true."""
-    return F.coalesce(condition_holds(condition, fact).cast("int") * TRUE, F.lit(UNKNOWN))
+def _facts_by_case(known: DataFrame, conditions: DataFrame) -> DataFrame:
+    """(case_id, facts): a map of the facts that conditions ask for."""
+    asked = conditions.select("fact_key").distinct()
+    return (
+        readable_facts(known)
+        .join(asked, "fact_key", "left_semi")
+        .groupBy("case_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("fact_key", "fact"))).alias("facts"))
+    )
 
 
-def _match_kind(code: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(k) for k in MATCH_KINDS)), code + 1)
+def _conditions_by_rule(conditions: DataFrame) -> DataFrame:
+    return readable_conditions(conditions).groupBy("rule_id").agg(
+        F.collect_list("condition").alias("conditions")
+    )
+
+
+def _holds(c: Column) -> Column:
+    return condition_holds(c, F.try_element_at("facts", c["fact_key"]))
+
+
+def _ruled_out() -> Column:
+    """Whether a condition is false; stops at the first one."""
+    found = F.exists("conditions", lambda c: ~F.coalesce(_holds(c), F.lit(True)))
+    return F.coalesce(found, F.lit(False))
 
 
 def candidate_outcomes(
@@ -95,26 +111,30 @@ def candidate_outcomes(
     """Three-way outcome of each candidate rule, with the facts still needed.
 
     (case_id, rule_id, match_kind, missing_facts): missing_facts lists the keys of
-    unknown conditions of 'maybe' rules. Work grows with cases * top_k.
+    unknown conditions of 'maybe' rules. Rows are cases * top_k throughout, since a rule
+    brings its conditions and a case its facts.
     """
-    readable = readable_conditions(conditions).withColumn("fact_key", F.col("condition.fact_key"))
-    checked = (
-        candidates.select("case_id", "rule_id")
-        .join(readable, "rule_id", "left")
-        .join(readable_facts(known), ["case_id", "fact_key"], "left")
-        .withColumn("code", condition_code(F.col("condition"), F.col("fact")))
-    )
-    unknown_key = F.when(F.col("code") == UNKNOWN, F.col("fact_key"))
+    none = F.array().cast("array<string>")
+    unknown = F.filter("conditions", lambda c: _holds(c).isNull())
+    open_keys = F.array_sort(F.array_distinct(F.transform(unknown, lambda c: c["fact_key"])))
     return (
-        checked.groupBy("case_id", "rule_id")
-        .agg(F.min("code").alias("code"), F.sort_array(F.collect_set(unknown_key)).alias("open"))
+        candidates.select("case_id", "rule_id")
+        .join(_conditions_by_rule(conditions), "rule_id", "left")
+        .join(_facts_by_case(known, conditions), "case_id", "left")
+        .select(
+            "case_id",
+            "rule_id",
+            F.when(_ruled_out(), None).otherwise(F.coalesce(open_keys, none)).alias("open"),
+            F.col("conditions").isNull().alias("free"),
+        )
         .select(
             "case_id",
             "rule_id",
-            _match_kind(F.col("code")).alias("match_kind"),
-            F.when(F.col("code") == UNKNOWN, F.col("open"))
-            .otherwise(F.array().cast("array<string>"))
-            .alias("missing_facts"),
+            F.when(F.col("open").isNull(), "non_applicable")
+            .when(F.col("free") | (F.size("open") > 0), "maybe")
+            .otherwise("exact")
+            .alias("match_kind"),
+            F.coalesce("open", none).alias("missing_facts"),
         )
     )
 
@@ -146,38 +166,23 @@ def eval_rules(
     conditions ask for; each pair is then decided where the two rows meet. Nothing is
     shuffled per pair, which matters because most rules stay 'maybe' and are returned.
     """
-    asked = conditions.select("fact_key").distinct()
-    facts = (
-        readable_facts(known)
-        .join(asked, "fact_key", "left_semi")
-        .groupBy("case_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("fact_key", "fact"))).alias("facts"))
-    )
-    packed = readable_conditions(conditions).groupBy("rule_id").agg(
-        F.collect_list("condition").alias("conditions")
-    )
     actions = F.col("actions_json") if "actions_json" in rules.columns else F.lit(None)
     with_conditions = rules.select(
         "rule_id", "scenario_type", "rule_family", "source_para", "title",
         "passenger_gets_text", actions.cast("string").alias("actions_json"),
-    ).join(packed, "rule_id", "left")
-
-    def holds(c):
-        return condition_holds(c, F.try_element_at("facts", c["fact_key"]))
+    ).join(_conditions_by_rule(conditions), "rule_id", "left")
 
-    # both stop at the first condition that decides
-    ruled_out = F.exists("conditions", lambda c: ~F.coalesce(holds(c), F.lit(True)))
-    all_hold = F.forall("conditions", lambda c: F.coalesce(holds(c), F.lit(False)))
+    all_hold = F.forall("conditions", lambda c: F.coalesce(_holds(c), F.lit(False)))
     return (
         # the pairing below is the heavy part, so it is spread by case
         cases.repartition("case_id")
-        .join(facts, "case_id", "left")
+        .join(_facts_by_case(known, conditions), "case_id", "left")
         .withColumn(
             "scenario_type",
             F.explode(F.array_distinct(F.array("grievance_type", F.lit(ANY_SCENARIO)))),
         )
         .join(with_conditions, "scenario_type")
-        .where(~F.coalesce(ruled_out, F.lit(False)))
+        .where(~_ruled_out())
         .select(
             "case_id", "grievance_type", "rule_id",
             F.when(all_hold, "exact").otherwise("maybe").alias("match_kind"),
