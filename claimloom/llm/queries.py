@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import chat_format, mixing, simhash_dedup, substring_dedup, token_files, url_filter
+from claimloom.llm import (
+    chat_format,
+    line_dedup,
+    mixing,
+    simhash_dedup,
+    substring_dedup,
+    token_files,
+    topk_search,
+    url_filter,
+)
 from claimloom.llm.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +86,12 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read_tokens(spark, path))
 
 
+@query
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("bad"))
@@ -84,9 +99,41 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "page_id")
 
 
+@query
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_lines": f"""
+            WITH lines AS (
+                SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+                FROM documents
+            ), boilerplate AS (
+                SELECT trim(line) AS line FROM lines WHERE trim(line) <> ''
+                GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
+            ), marked AS (
+                SELECT doc_id, place, l.line, b.line IS NOT NULL AS gone
+                FROM lines l LEFT JOIN boilerplate b ON trim(l.line) = b.line
+            )
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+                   sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+            FROM marked GROUP BY doc_id""",
+        "op10_topk": """
+            WITH vectors AS (
+                SELECT vec_id, [floor(256.0::DOUBLE * x::DOUBLE) for x in embedding] AS vec
+                FROM embeddings
+            ), scored AS (
+                SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.vec, c.vec) AS BIGINT) AS score
+                FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+            ), ranked AS (
+                SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+            )
+            SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    }
