@@ -18,7 +18,7 @@ import pyarrow as pa
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes of text handled at once; one longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 

@@ -29,7 +29,7 @@ from claimloom.llm import textscan
 
 END_ID = 1
 #: Pieces a worker keeps; when full, the cache starts again.
-CACHE = 3_000_000
+CACHE = 1_500_000
 ROW_STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
 
