@@ -119,7 +119,7 @@ def fit(vectors: DataFrame) -> Space | None:
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best columns of every row: highest score, then smallest id."""
-    order = np.lexsort((ids, -scores), axis=-1)[:, :k]
+    order = np.lexsort((ids, ~scores), axis=-1)[:, :k]  # ~ reverses the order without overflow
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
