@@ -17,6 +17,9 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space and ASCII punctuation: words are then letters, digits and wider characters.
+SIGNS = SPACE.copy()
+SIGNS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 #: Bytes of text handled at once; one longer text is a block of its own.
 BLOCK = 1 << 20
 
@@ -56,7 +59,6 @@ def _table(lower: bool) -> np.ndarray:
     t = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD[0]))
     if lower:
         t[65:91] = t[97:123]
-    t[SPACE] = 0
     return t
 
 
@@ -87,13 +89,13 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
 class Words:
     """The words of a block: byte ranges, and for every row its range of words."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
-        self.data, self.offs = data, offs
+    def __init__(self, data: np.ndarray, offs: np.ndarray, gaps: np.ndarray = SPACE):
+        self.data, self.offs, self.gaps = data, offs, gaps
         if not len(data):
             self.starts = self.ends = np.zeros(0, np.int64)
             self.rows = np.zeros(len(offs), np.int64)
             return
-        space = SPACE[data]
+        space = gaps[data]
         edge = np.empty(len(data), bool)
         edge[0] = True
         edge[1:] = space[:-1]
@@ -119,7 +121,7 @@ class Words:
         """A mixed 64-bit hash of every word; lower: A-Z count as a-z."""
         if not len(self):
             return np.zeros(0, np.uint64)
-        table, out, step = _table(lower), np.empty(len(self), np.uint64), 1 << 20
+        table, out, step = np.where(self.gaps, np.uint64(0), _table(lower)), np.empty(len(self), np.uint64), 1 << 20
         first = 0
         while first < len(self):  # long texts in steps, cut between words
             last = max(first + 1, int(np.searchsorted(self.ends, self.starts[first] + step, "right")))
