@@ -123,6 +123,20 @@ def _found(e: Entries) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(e.doc[at[:-1]]), pa.array(e.tag[at[:-1]]), places], ["doc", "tag", "places"])
 
 
+def _all(parts: list[Entries]) -> Entries:
+    return Entries(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("doc", "tag", "place", "key", "bucket", "known")))
+
+
+def _home(e: Entries, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Places found, packed by a hash of their document."""
+    if len(e):
+        code = textscan.mix(e.doc.view(np.uint64) ^ e.tag.astype(np.uint64))
+        e.bucket = (code % np.uint64(buckets)).astype(np.int32)
+        e.known = np.zeros(len(e), bool)
+        for row in _pack(e, _SETTLED):
+            yield _batch([row])
+
+
 # ---- what a batch and a bucket settle ------------------------------------------------
 
 
@@ -151,7 +165,8 @@ def _later_windows(e: Entries) -> tuple[np.ndarray, np.ndarray]:
 def _settle(rows: DataFrame, gather: Callable, judge: Callable, buckets: int) -> DataFrame:
     """Map batches gather entries and settle what they can; buckets settle the rest.
 
-    Returns (doc, tag, places), several rows per document.
+    Returns (doc, tag, places), a row per document with any. What is found goes home packed by
+    a hash of the document, so no task sends more rows than there are buckets.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,17 +175,12 @@ def _settle(rows: DataFrame, gather: Callable, judge: Callable, buckets: int) ->
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            e = Entries(*(np.concatenate([getattr(h, c) for h in held]) for c in ("doc", "tag", "place", "key", "bucket", "known")))
+            e = _all(held)
             settled, out = judge(e)
             e.known = settled  # an entry whose place is settled only speaks for its hash
             for row in _pack(e[out], _ENTRIES):
                 yield _batch([row])
-            if settled.any():
-                local = e[settled]
-                local.bucket = np.full(len(local), int(local.doc[0] % buckets), np.int32)
-                local.known = np.zeros(len(local), bool)
-                for row in _pack(local, _SETTLED):
-                    yield _batch([row])
+            yield from _home(e[settled], buckets)
 
         for batch in batches:
             for e in gather(batch, seen, buckets):
@@ -189,17 +199,20 @@ def _settle(rows: DataFrame, gather: Callable, judge: Callable, buckets: int) ->
             for row in batch.to_pylist():
                 e = _unpack(row)
                 if row["kind"] == _SETTLED:
-                    yield _found(e)
+                    yield _batch([list(row.values())])
                 else:
                     own.append(e)
         if own:
-            e = Entries(*(np.concatenate([getattr(h, c) for h in own]) for c in ("doc", "tag", "place", "key", "bucket", "known")))
-            hit = judge(e)[0] & ~e.known
-            if hit.any():
-                yield _found(e[hit])
+            e = _all(own)
+            yield from _home(e[judge(e)[0] & ~e.known], buckets)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [_unpack(row) for batch in batches for row in batch.to_pylist()]
+        if own:
+            yield _found(_all(own))
 
-    packed = rows.mapInArrow(send, _PACKED)
-    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(settle, _FOUND)
+    packed = rows.mapInArrow(send, _PACKED).repartitionById(buckets, F.col("bucket"))
+    return packed.mapInArrow(settle, _PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(merge, _FOUND)
 
 
 # ---- anchors and windows of a batch --------------------------------------------------
@@ -232,13 +245,11 @@ def _anchors(batch: pa.RecordBatch, seen: set, buckets: int) -> Iterator[Entries
         yield Entries(doc[row], tag[row], place[at].astype(np.int32), key & np.uint64((1 << 40) - 1), bucket, np.zeros(len(at), bool))
 
 
-def _positions(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All int32 values in a column of lists of binaries, with the row of each."""
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
-    flat = lists.flatten()
-    size = pc.binary_length(flat).to_numpy() // 4
-    data, _ = textscan.buffers(flat)
-    return np.repeat(row, size), np.frombuffer(data.tobytes(), np.int32)
+def _positions(places: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All int32 values in a column of binaries, with the row of each."""
+    size = pc.binary_length(places).fill_null(0).to_numpy() // 4
+    data, _ = textscan.buffers(places)
+    return np.repeat(np.arange(len(places)), size), np.frombuffer(data.tobytes(), np.int32)
 
 
 def _covered(words: textscan.Words, first: int, row: np.ndarray, place: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -293,14 +304,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         text.alias("text"),
     )
 
-    def lists(found: DataFrame) -> DataFrame:
-        own = found.groupBy("doc", "tag").agg(F.collect_list("places").alias("places"))
-        return own.withColumnsRenamed({"doc": "d", "tag": "t"})
+    def named(found: DataFrame) -> DataFrame:
+        return found.withColumnsRenamed({"doc": "d", "tag": "t"})
 
-    anchors = lists(_settle(rows.select("doc", "tag", "text"), _anchors, _repeated_anchors, buckets))
+    anchors = named(_settle(rows.select("doc", "tag", "text"), _anchors, _repeated_anchors, buckets))
     # one exchange of the texts serves both joins, so both take the same columns
     near = rows.join(anchors, (rows.doc == anchors.d) & (rows.tag == anchors.t)).select("doc", "tag", "text", "places")
-    repeats = lists(_settle(near, _windows, _later_windows, buckets))
+    repeats = named(_settle(near, _windows, _later_windows, buckets))
     final = rows.join(repeats, (rows.doc == repeats.d) & (rows.tag == repeats.t), "left")
     final = final.select("doc", "tag", "text", "places")
 
