@@ -16,6 +16,7 @@ from claimloom.llm import (
     substring_dedup,
     token_files,
     topk_search,
+    toxicity,
     url_filter,
 )
 from claimloom.llm.storage import new_path
@@ -56,6 +57,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Score from which a document is taken as toxic.
+TOXIC = 0.3
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, net)
+    predicted = (F.col("score") >= TOXIC).cast("int")
+    return found.select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score", predicted.alias("predicted"))
+
+
 @query
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))

@@ -55,16 +55,17 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(id, fingerprint) of every row; the 64 bits as a signed long."""
+    """(id, code, fingerprint) of every row; code hashes the text, the 64 bits are a signed long."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], ["id", "fingerprint"])
+            bits = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bits.view(np.int64))], ["id", "code", "fingerprint"])
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("code"), text.alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    return own.mapInArrow(scan, f"id {kind}, fingerprint bigint")
+    return own.mapInArrow(scan, f"id {kind}, code bigint, fingerprint bigint")
 
 
 # ---- index -------------------------------------------------------------------------
@@ -260,6 +261,16 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     return found.where(F.col("kind") == _LINK).select("a", "b").distinct()
 
 
+def _nodes(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fingerprint, least, root) of every distinct fingerprint; least is the smallest id that has it."""
+    prints = rows.groupBy("fingerprint").agg(F.min("id").alias("least"))
+    roots = connected_components(links(prints, max_bits))
+    nodes = prints.join(roots, prints.fingerprint == roots.node, "left").select(
+        prints.fingerprint, "least", F.coalesce("root", "fingerprint").alias("root")
+    )
+    return stored(nodes, "simhash-nodes")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 3
 ) -> DataFrame:
@@ -271,12 +282,27 @@ def near_duplicates(
     columns are not read, whatever their names.
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle_words), "simhash-prints")
-    prints = rows.groupBy("fingerprint").agg(F.min("id").alias("least"))
-    roots = connected_components(links(prints, max_bits))
-    nodes = prints.join(roots, prints.fingerprint == roots.node, "left").select(
-        prints.fingerprint, "least", F.coalesce("root", "fingerprint").alias("root")
-    )
-    nodes = stored(nodes, "simhash-nodes")
+    nodes = _nodes(rows, max_bits)
     heads = nodes.groupBy("root").agg(F.min("least").alias("component"))
     classes = nodes.join(heads, "root").select("fingerprint", "component")
     return rows.join(classes, "fingerprint").select("id", "fingerprint", "component")
+
+
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 3
+) -> DataFrame:
+    """One row of every component, unchanged: that of the smallest id, null ids last.
+
+    Of several texts with that id the one of the smallest hash stays. Rows equal in id and text
+    are one document; if they differ in other columns, any of them stands for it.
+    """
+    rows = stored(fingerprints(docs, id_col, text_col, shingle_words), "simhash-prints")
+    nodes = _nodes(rows, max_bits).select("fingerprint", "root")
+    place = F.struct(F.col("id").isNull(), "id", "code")
+    heads = rows.join(nodes, "fingerprint").groupBy("root").agg(F.min(place).alias("first"))
+    heads = heads.select(F.col("first.id").alias("__head_id"), F.col("first.code").alias("__head_code"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumns({"__id": F.col(id_col), "__code": F.xxhash64(text)})
+    same = F.col("__id").eqNullSafe(F.col("__head_id")) & (F.col("__code") == F.col("__head_code"))
+    kept = keyed.join(heads, same, "left_semi").dropDuplicates(["__id", "__code"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -32,8 +32,8 @@ from claimloom.llm import textscan
 class Settings:
     window: int = 32
     stride: int = 24
-    word_rows: int = 1 << 15
-    char_rows: int = 1 << 16
+    word_rows: int = 1 << 16
+    char_rows: int = 1 << 17
     word_dim: int = 8
     char_dim: int = 8
     hidden: int = 12
@@ -315,7 +315,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, s: Settings = Sett
                 used, local = np.unique(index[k : k + 2048], return_inverse=True)
                 rank[k : k + 2048] = net.forward(x[used], local.reshape(mask[k : k + 2048].shape), mask[k : k + 2048])
         clean = np.flatnonzero(window_label == 0)
-        chosen = np.concatenate((worst(rank, 1.0, 1), worst(rank, 0.0, 1), rng.choice(clean, min(len(clean), int(total)), False)))
+        chosen = np.concatenate((worst(rank, 1.0, 1), worst(rank, 0.0, 3), rng.choice(clean, min(len(clean), int(total)), False)))
         chosen = rng.permutation(chosen)
         for k in range(0, len(chosen), s.batch):
             at = chosen[k : k + s.batch]
