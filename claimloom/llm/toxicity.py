@@ -4,8 +4,8 @@ A word enters as the sum of a hashed word embedding and, beside it, the mean of
 of its character n-grams with its ends marked, so unseen forms of a word are read from their
 characters. A GRU runs over the words of a window in both directions; attention pools its
 states into one vector and a linear layer gives the window's logit. A text is cut into
-overlapping windows that cover all of it, and its logit is that of its worst window, put on the
-scale of a probability by a calibration fitted on labelled texts the network was not trained on.
+overlapping windows that cover all of it; its two worst windows and their number give its score
+by a calibration fitted on labelled texts the network was not trained on.
 
 Only texts are labelled, not windows. Training therefore starts from the windows of a toxic
 text that hold its most telling words, and goes on with those the network itself finds worst;
@@ -42,7 +42,11 @@ class Settings:
     per_class: int = 1200
     fit_chars: int = 20_000
     rounds: int = 5
+    #: Steps of a round at least; a small sample is gone through several times.
+    steps: int = 50
     batch: int = 128
+    #: Share of words whose own embedding is left out in a training step.
+    drop: float = 0.3
     rate: float = 0.01
     seed: int = 7
     grams: tuple[int, ...] = (3, 4, 5)
@@ -105,7 +109,8 @@ class Network:
     word: np.ndarray  # embeddings of words and of character n-grams
     char: np.ndarray
     p: dict[str, np.ndarray] = field(default_factory=dict)
-    scale: tuple[float, float] = (1.0, 0.0)
+    #: Calibration: a factor for each kind of evidence, and an offset.
+    scale: np.ndarray = field(default_factory=lambda: np.array([1.0, 0, 0, 0]))
 
     @classmethod
     def fresh(cls, s: Settings) -> Network:
@@ -217,36 +222,43 @@ class Network:
             out[k : k + 2048] = self.forward(x[used], index.reshape(mask.shape), mask)
         return row, out
 
-    def logits(self, column: pa.Array) -> np.ndarray:
-        """The largest window logit of every text; -inf without words."""
-        out = np.full(len(column), -np.inf)
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        """Per text: its two worst windows' logits, and the log of the number of windows; nan without words."""
+        out = np.full((len(column), 3), np.nan)
         for a, _, words, hashes in scan_words(column):
             row, logit = self.block(words, hashes)
-            np.maximum.at(out, a + row, logit)
+            if not len(row):
+                continue
+            order = np.lexsort((-logit, row))
+            row, logit = row[order], logit[order].astype(np.float64)
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            size = np.diff(np.append(first, len(row)))
+            second = np.where(size > 1, logit[np.minimum(first + 1, len(row) - 1)], -6.0)  # as good as clean
+            out[a + row[first]] = np.column_stack((logit[first], second, np.log(size)))
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
         """Calibrated probabilities; 0 without words."""
-        k, c = self.scale
-        logits = self.logits(column)
-        return np.where(np.isfinite(logits), _sigmoid(np.clip(k * np.where(np.isfinite(logits), logits, 0) + c, -60, 60)), 0.0)
+        found = self.evidence(column)
+        logits = np.nan_to_num(found) @ self.scale[:-1] + self.scale[-1]
+        return np.where(np.isnan(found[:, 0]), 0.0, _sigmoid(np.clip(logits, -60, 60)))
 
 
 # ---- training ----------------------------------------------------------------------
 
 
-def _calibrate(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, slightly shrunk so that it stays finite."""
-    spread = max(1e-6, float(np.std(logits)))
-    mean = float(np.mean(logits))
-    x = np.column_stack(((logits - mean) / spread, np.ones(len(logits))))
-    w = np.zeros(2)
-    ridge = np.diag([1e-2, 1e-4]) * weights.sum()
+def _calibrate(found: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Coefficients of a logistic curve over the evidence, slightly shrunk so that they stay finite."""
+    mean, spread = found.mean(0), np.maximum(found.std(0), 1e-6)
+    x = np.column_stack(((found - mean) / spread, np.ones(len(found))))
+    w = np.zeros(x.shape[1])
+    ridge = np.diag([2e-3] * found.shape[1] + [1e-4]) * weights.sum()
     for _ in range(50):
         p = _sigmoid(np.clip(x @ w, -30, 30))
         step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weights * (labels - p)) - ridge @ w)
         w += np.clip(step, -2, 2)
-    return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
+    own = w[:-1] / spread
+    return np.append(own, w[-1] - own @ mean)
 
 
 def train(texts: list[str], labels: np.ndarray, share: float, s: Settings = Settings()) -> Network:
@@ -257,7 +269,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, s: Settings = Sett
     net = Network.fresh(s)
     if not len(texts) or labels.min() == labels.max():
         net.p["u"][:] = 0  # nothing to tell apart: the share is all that is known
-        net.scale = (1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        net.scale = np.array([0, 0, 0, np.log((share + 1e-3) / (1 - share + 1e-3))])
         return net
     rng = np.random.default_rng(s.seed)
     labels = np.asarray(labels, np.float32)
@@ -280,7 +292,8 @@ def train(texts: list[str], labels: np.ndarray, share: float, s: Settings = Sett
         seen = np.unique(owner.astype(np.int64) * size + rows)
         hit = np.bincount(seen % size, fit_labels[seen // size], size)
         every = np.bincount(seen % size, minlength=size)
-        return np.log((hit + 0.5) / (toxic + 1)) - np.log((every - hit + 0.5) / (total - toxic + 1))
+        prior = toxic / total  # shrunk towards it, so that a rare word tells little
+        return np.log((hit + 3 * prior) / (every - hit + 3 * (1 - prior))) - np.log(prior / (1 - prior))
 
     word_tell = telling(word_row[pairs[:, 1]], pairs[:, 0], s.word_rows)
     size = gram_size[pairs[:, 1]]
@@ -316,7 +329,8 @@ def train(texts: list[str], labels: np.ndarray, share: float, s: Settings = Sett
                 rank[k : k + 2048] = net.forward(x[used], local.reshape(mask[k : k + 2048].shape), mask[k : k + 2048])
         clean = np.flatnonzero(window_label == 0)
         chosen = np.concatenate((worst(rank, 1.0, 1), worst(rank, 0.0, 3), rng.choice(clean, min(len(clean), int(total)), False)))
-        chosen = rng.permutation(chosen)
+        passes = max(1, -(-s.steps * s.batch // len(chosen)))
+        chosen = np.concatenate([rng.permutation(chosen) for _ in range(passes)])
         for k in range(0, len(chosen), s.batch):
             at = chosen[k : k + s.batch]
             used, local = np.unique(index[at], return_inverse=True)
@@ -324,6 +338,8 @@ def train(texts: list[str], labels: np.ndarray, share: float, s: Settings = Sett
             grams = np.concatenate([gram_rows[gram_at[w] : gram_at[w] + gram_size[w]] for w in used])
             grams_at = np.cumsum(gram_size[used]) - gram_size[used]
             x = net.inputs(word_row[used], grams, grams_at)
+            known = (rng.random((len(x), 1)) >= s.drop).astype(np.float32)
+            x[:, : s.word_dim] *= known  # some words are read from their characters alone
             logit, kept = net.forward(x, local, mask[at], keep=True)
             grad = ((_sigmoid(logit) - window_label[at]) / len(at)).astype(np.float32)
             g, d_x = net.backward(x, mask[at], kept, grad)
@@ -336,7 +352,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, s: Settings = Sett
                 m2 += 0.001 * (v * v - m2)
                 net.p[name] -= s.rate * (m1 / (1 - 0.9**steps)) / (np.sqrt(m2 / (1 - 0.999**steps)) + 1e-8)
             d_chars = np.repeat(d_x[:, s.word_dim :] / np.sqrt(gram_size[used])[:, None], gram_size[used], axis=0)
-            for table, rows, d, seen in ((net.word, word_row[used], d_x[:, : s.word_dim], sums[0]), (net.char, grams, d_chars, sums[1])):
+            for table, rows, d, seen in ((net.word, word_row[used], d_x[:, : s.word_dim] * known, sums[0]), (net.char, grams, d_chars, sums[1])):
                 some, of_row = np.unique(rows, return_inverse=True)
                 total_d = np.zeros((len(some), d.shape[1]), np.float32)
                 np.add.at(total_d, of_row, d.astype(np.float32))
@@ -346,7 +362,9 @@ def train(texts: list[str], labels: np.ndarray, share: float, s: Settings = Sett
     left = [t for t, out in zip(texts, aside, strict=True) if out]
     y = labels[aside]
     weights = np.where(y > 0, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    net.scale = _calibrate(net.logits(pa.array(left, pa.large_string())), y, weights)
+    found = net.evidence(pa.array(left, pa.large_string()))
+    with_words = ~np.isnan(found[:, 0])
+    net.scale = _calibrate(found[with_words], y[with_words], weights[with_words])
     return net
 
 
