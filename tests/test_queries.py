@@ -4,6 +4,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from claimloom import oracles, registry
 
 
 @pytest.fixture(scope="module")
@@ -12,10 +13,12 @@ def duck(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(oracles.oracle_sql())
+    assert set(registry.queries()) <= set(entry.queries())
+    assert set(oracles.oracle_sql()) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, sf_dir, duck, name):
     df = entry.queries()[name](spark, sf_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
