@@ -23,7 +23,7 @@ VIEWS: dict[str, str] = {}
 
 VIEWS["fx_flights"] = """
 SELECT event_id AS row_id,
-       'FX' || CAST(event_id % 997 AS STRING) AS flight_number,
+       'FX' || CAST(CAST(floor(event_id / 10) AS BIGINT) AS STRING) AS flight_number,
        user_id,
        ts AS initial_departure_time,
        CAST(floor(value) AS INT) AS delay,
@@ -34,20 +34,24 @@ FROM events
 
 VIEWS["fx_status"] = """
 SELECT event_id AS seq,
-       'FX' || CAST(event_id % 997 AS STRING) AS flight_number,
+       'FX' || CAST(CAST(floor(event_id / 10) AS BIGINT) AS STRING) AS flight_number,
        ts AS observed_at,
-       CASE event_id % 5
+       CASE CASE WHEN event_id % 11 = 4 THEN 5 ELSE event_id % 5 END
+         WHEN 5 THEN '{"data":[{"departure":{"delay":"about ' || event_type || '"}}]}'
          WHEN 0 THEN '{"data":[]}'
          WHEN 1 THEN '{"data":[{"departure":{"delay":null}}]}'
          WHEN 2 THEN '{bad'
          ELSE '{"data":[{"departure":{"delay":' || CAST(event_id % 240 AS STRING)
               || '}},{"departure":{"delay":9}}]}'
        END AS response_json
-FROM events WHERE event_type IN ('view', 'error')
+FROM events
 """
 
+# Every message as it is, each followed by one whose form is known.
 VIEWS["fx_messages"] = """
-SELECT conv_id, turn, role,
+SELECT conv_id, turn * 2 AS turn, role, text FROM conversations
+UNION ALL
+SELECT conv_id, turn * 2 + 1, 'user',
        CASE (conv_id * 7 + turn) % 8
          WHEN 0 THEN 'Our trip: cancellation notice arrived 5 hours ahead'
          WHEN 1 THEN 'A delay of 4.5 hours so far, still at the gate'
@@ -59,14 +63,22 @@ SELECT conv_id, turn, role,
                      || chr(10) || 'fact_5: 5' || chr(10) || 'fact 0: ' || CAST(conv_id % 9 AS STRING)
          WHEN 6 THEN '{"fact_0":"7","fact_1":"no","fact_2":3,"fact_3":"x","fact_4":true,"fact_5":"'
                      || CAST(turn AS STRING) || '"}'
-         ELSE text
-       END AS text
+         ELSE ' ' END
+FROM conversations
+"""
+
+# What a classifier may answer to each message: a bare label, one in a sentence, or anything.
+VIEWS["fx_replies"] = """
+SELECT conv_id, turn, text,
+       CASE (conv_id + turn) % 5 WHEN 0 THEN ' Delay' || chr(10) WHEN 1 THEN 'denied_boarding'
+                                 WHEN 2 THEN 'The type is "cancellation", surely.'
+                                 WHEN 3 THEN 'downgrade ' ELSE text END AS reply
 FROM conversations
 """
 
 VIEWS["fx_rules_raw"] = """
 SELECT p_partkey AS seq,
-       ' R' || CAST(p_partkey % 500 AS STRING) || ' ' AS rule_id,
+       ' R' || CAST(CAST(floor(p_partkey / 4) AS BIGINT) AS STRING) || ' ' AS rule_id,
        p_name AS title,
        CASE WHEN p_partkey % 4 = 0 THEN ''
             ELSE CAST(1 + p_size % 3 AS STRING) || '.' || CAST(p_size AS STRING) END AS source_para,
@@ -100,20 +112,20 @@ FROM part
 
 VIEWS["fx_cases"] = """
 SELECT CAST(floor(event_id / 8) AS BIGINT) AS case_id,
-       CASE user_id % 4 WHEN 0 THEN 'cancellation' WHEN 1 THEN 'delay'
-                        WHEN 2 THEN 'denied_boarding' ELSE 'downgrade' END AS grievance_type
-FROM events WHERE event_id % 8 = 0
+       CASE sum(user_id) % 4 WHEN 0 THEN 'cancellation' WHEN 1 THEN 'delay'
+                             WHEN 2 THEN 'denied_boarding' ELSE 'downgrade' END AS grievance_type
+FROM events GROUP BY CAST(floor(event_id / 8) AS BIGINT)
 """
 
 VIEWS["fx_intake"] = """
 SELECT CAST(floor(event_id / 8) AS BIGINT) AS case_id,
-       'session-' || CAST(event_id AS STRING) AS session_id,
-       CASE user_id % 5 WHEN 0 THEN 'They cancelled my trip, "no reason" given'
-                        WHEN 1 THEN 'delay of ' || CAST(user_id % 12 AS STRING) || ' hours.'
-                        WHEN 2 THEN 'Denied boarding: the desk said overbooked'
-                        WHEN 3 THEN 'moved to a Lower Class seat'
-                        ELSE 'hello there' END AS user_text
-FROM events WHERE event_id % 8 = 0
+       'session-' || CAST(min(event_id) AS STRING) AS session_id,
+       CASE sum(user_id) % 5 WHEN 0 THEN 'They cancelled my trip, "no reason" given: ' || max(event_type)
+                             WHEN 1 THEN 'delay of ' || CAST(max(user_id) % 12 AS STRING) || ' hours.'
+                             WHEN 2 THEN 'Denied boarding: the desk said overbooked'
+                             WHEN 3 THEN 'moved to a Lower Class seat'
+                             ELSE 'hello there, ' || min(event_type) END AS user_text
+FROM events GROUP BY CAST(floor(event_id / 8) AS BIGINT)
 """
 
 VIEWS["fx_facts_raw"] = """
@@ -129,14 +141,15 @@ FROM events
 """
 
 VIEWS["fx_conditions"] = """
-SELECT 'r' || CAST(p_partkey % 500 AS STRING) AS rule_id,
+SELECT CASE WHEN floor(p_partkey / 4) % 7 = 3 THEN 'other' ELSE 'r' END
+         || CAST(CAST(floor(p_partkey / 4) AS BIGINT) AS STRING) AS rule_id,
        'fact_' || CAST(p_size % 6 AS STRING) AS fact_key,
-       CASE p_partkey % 7 WHEN 1 THEN '>=' WHEN 2 THEN '<' WHEN 3 THEN 'is_true' WHEN 4 THEN 'is_false'
+       CASE p_partkey % 7 WHEN 0 THEN CASE WHEN p_partkey % 21 = 0 THEN '=>' ELSE '=' END WHEN 1 THEN '>=' WHEN 2 THEN '<' WHEN 3 THEN 'is_true' WHEN 4 THEN 'is_false'
                           WHEN 5 THEN '!=' ELSE 'in' END AS op,
        CASE p_partkey % 7 WHEN 3 THEN NULL WHEN 4 THEN NULL
                           WHEN 6 THEN 'yes, ' || CAST(p_size AS STRING) || ',7'
                           ELSE CAST(p_size AS STRING) END AS operand
-FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 500 < 430
+FROM part
 """
 
 VIEWS["fx_forms"] = """
@@ -189,9 +202,9 @@ FROM nation
 """
 
 VIEWS["fx_pages"] = """
-SELECT conv_id AS doc_id, turn AS page_no,
-       CASE WHEN (conv_id + turn) % 5 = 3 THEN '' WHEN (conv_id + turn) % 7 = 6 THEN NULL ELSE text END AS page_text
-FROM conversations
+SELECT conv_id AS doc_id, turn * 2 AS page_no, text AS page_text FROM conversations
+UNION ALL
+SELECT conv_id, turn * 2 + 1, CASE WHEN turn % 2 = 0 THEN '' END FROM conversations
 """
 
 VIEWS["fx_field_names"] = """
@@ -212,25 +225,29 @@ SELECT event_id,
 FROM events
 """
 
-_LINES = """
-SELECT doc_id, line_no,
-       CASE line_no % 12
-         WHEN 1 THEN 'Section ' || CAST(doc_id % 3 + 1 AS STRING) || '.' || CAST(line_no % 5 AS STRING)
-                     || ': Refund on cancellation'
-         WHEN 4 THEN CAST(doc_id % 4 AS STRING) || '.' || CAST(line_no % 3 AS STRING)
-                     || '. Delay and hotel facilities'
-         WHEN 7 THEN 'GENERAL CONDITIONS OF CARRIAGE'
-         WHEN 9 THEN '  '
-         ELSE line END AS line
-FROM ({numbered}) AS numbered
-"""
-
-DUCKDB_LINES = _LINES.format(
-    numbered="""
-  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
-         unnest(string_split(text, chr(10))) AS line
-  FROM documents"""
-)
+# Whole documents, with a heading put in after some of their lines.
+_HEADINGS = """
+         CASE line_no % 12
+           WHEN 1 THEN 'Section ' || CAST(doc_id % 3 + 1 AS STRING) || '.' || CAST(line_no % 5 AS STRING)
+                       || ': Refund on cancellation'
+           WHEN 4 THEN CAST(doc_id % 4 AS STRING) || '.' || CAST(line_no % 3 AS STRING)
+                       || '. Delay and hotel facilities'
+           WHEN 7 THEN 'GENERAL CONDITIONS OF CARRIAGE'
+           WHEN 9 THEN '  '
+         END"""
+
+DUCKDB_LINES = f"""
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS line_no, line
+FROM (
+  SELECT doc_id, line_no * 2 AS place, line FROM numbered
+  UNION ALL
+  SELECT doc_id, line_no * 2 + 1, {_HEADINGS} FROM numbered WHERE line_no % 12 IN (1, 4, 7, 9)
+)"""
+
+DUCKDB_NUMBERED = """
+SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
+       unnest(string_split(text, chr(10))) AS line
+FROM documents"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -239,37 +256,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view over the tables of one folder."""
-    for used in set(re.findall(r"\b(?:FROM|JOIN) (\w+)", VIEWS[name])) & set(TABLES):
-        table(spark, sf_dir, used).createOrReplaceTempView(used)
-    return spark.sql(VIEWS[name])
+    used = sorted(set(re.findall(r"\b(?:FROM|JOIN) (\w+)", VIEWS[name])) & set(TABLES))
+    # tables are handed over by name for this statement alone, so no view of the caller is replaced
+    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {\2}", VIEWS[name].replace("{", "{{").replace("}", "}}"))
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
 
 def regulation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): whole documents with heading lines put in by line number."""
+    """(doc_id, text): whole documents, with headings put in between their lines."""
     doc = F.col("doc_id")
 
-    def replace_line(line, n):
+    def with_heading(line, n):
+        section = F.concat(
+            F.lit("Section "), (doc % 3 + 1).cast("string"), F.lit("."),
+            (n % 5).cast("string"), F.lit(": Refund on cancellation"),
+        )
+        number = F.concat(
+            (doc % 4).cast("string"), F.lit("."), (n % 3).cast("string"),
+            F.lit(". Delay and hotel facilities"),
+        )
         return (
-            F.when(
-                n % 12 == 1,
-                F.concat(
-                    F.lit("Section "), (doc % 3 + 1).cast("string"), F.lit("."),
-                    (n % 5).cast("string"), F.lit(": Refund on cancellation"),
-                ),
-            )
-            .when(
-                n % 12 == 4,
-                F.concat(
-                    (doc % 4).cast("string"), F.lit("."), (n % 3).cast("string"),
-                    F.lit(". Delay and hotel facilities"),
-                ),
-            )
-            .when(n % 12 == 7, F.lit("GENERAL CONDITIONS OF CARRIAGE"))
-            .when(n % 12 == 9, F.lit("  "))
-            .otherwise(line)
+            F.when(n % 12 == 1, F.array(line, section))
+            .when(n % 12 == 4, F.array(line, number))
+            .when(n % 12 == 7, F.array(line, F.lit("GENERAL CONDITIONS OF CARRIAGE")))
+            .when(n % 12 == 9, F.array(line, F.lit("  ")))
+            .otherwise(F.array(line))
         )
 
-    lines = F.transform(F.split("text", "\n"), replace_line)
+    lines = F.flatten(F.transform(F.split("text", "\n"), with_heading))
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.array_join(lines, "\n").alias("text")
     )

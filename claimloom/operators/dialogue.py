@@ -84,7 +84,8 @@ def message_moves(
     """(conv_id, turn, moves) of user messages."""
     users = user_messages(messages)
     # a type without any field is answered by every message
-    asked = required.agg(F.collect_set("grievance_type")).scalar()
+    known_types = required.where(F.col("grievance_type").isin(*GRIEVANCE_TYPES))
+    asked = known_types.agg(F.collect_set("grievance_type")).scalar()
     free = F.array_except(F.array(*(F.lit(t) for t in GRIEVANCE_TYPES)), asked)
     answered = F.coalesce("answered", F.array().cast("array<string>"))
     return (
@@ -162,6 +163,7 @@ def dialogue_states(
     classify: Callable[[Column], Column] = classify_by_keywords,
     levels: int = 1,
     fan: int = FAN,
+    folder: str | None = None,
 ) -> DataFrame:
     """(conv_id, turn, state_before, state_after, grievance_type) per user message.
 
@@ -169,7 +171,7 @@ def dialogue_states(
     keeps it until the next message clears it. `levels` grows with the longest
     conversation: lists hold at most `fan` entries below the top level.
     """
-    steps = materialise(message_moves(messages, required, classify), "moves")
+    steps = materialise(message_moves(messages, required, classify), "moves", folder)
     met = _starts(steps.select("conv_id", F.col("turn").alias("place"), "moves"), levels, fan)
     before = F.col("start")
     after = _after(F.col("moves"), before)
@@ -199,7 +201,9 @@ def handled_answers(
     )
 
 
-def conversation_states(messages: DataFrame, states: DataFrame) -> DataFrame:
+def conversation_states(
+    messages: DataFrame, states: DataFrame, folder: str | None = None
+) -> DataFrame:
     """(conv_id, state, grievance_type, n_messages): where each conversation stands, and
     how many messages its history holds since it was last cleared.
 
@@ -211,7 +215,7 @@ def conversation_states(messages: DataFrame, states: DataFrame) -> DataFrame:
             F.when(F.col("state_before") == "completed", F.col("turn"))
         ).alias("cleared_at"),
     )
-    latest = materialise(latest, "latest_states")
+    latest = materialise(latest, "latest_states", folder)
     kept = (
         history_since_clear(messages, latest)
         .groupBy("conv_id")

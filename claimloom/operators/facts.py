@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import is_blank, strip
+from claimloom.operators.joins import spread_join
 from claimloom.operators.messages import answer_pairs
 
 
 def required_fields_of_cases(cases: DataFrame, required: DataFrame) -> DataFrame:
-    return cases.join(required, "grievance_type")
+    return spread_join(cases, required, ["grievance_type"], "case_id")
 
 
 def _clean_message_facts(facts: DataFrame) -> DataFrame:
@@ -44,11 +45,9 @@ def facts_in_text(intake: DataFrame) -> DataFrame:
 def allowed_facts(cases: DataFrame, facts: DataFrame, required: DataFrame) -> DataFrame:
     """Extracted facts that are non-blank and asked for by the case's type."""
     allowed = required.select("grievance_type", F.col("field_name").alias("fact_key"))
-    return (
-        _clean_message_facts(facts)
-        .join(cases, "case_id")
-        .join(allowed, ["grievance_type", "fact_key"], "left_semi")
-    )
+    return spread_join(
+        _clean_message_facts(facts).join(cases, "case_id"), allowed.distinct(), ["grievance_type", "fact_key"], "case_id"
+    ).select("grievance_type", "fact_key", "case_id", "pos", "value")
 
 
 def known_facts(cases: DataFrame, facts: DataFrame, required: DataFrame) -> DataFrame:
@@ -75,8 +74,7 @@ def known_facts(cases: DataFrame, facts: DataFrame, required: DataFrame) -> Data
         "grievance_type", F.col("field_name").alias("fact_key"), F.lit(True).alias("allowed")
     )
     return (
-        latest.join(cases, "case_id")
-        .join(allowed, ["grievance_type", "fact_key"], "left")
+        spread_join(latest.join(cases, "case_id"), allowed, ["grievance_type", "fact_key"], "case_id", "left")
         .where("from_extra = 1 OR allowed")
         .select(
             "case_id",
@@ -106,8 +104,7 @@ def missing_fields(
         .agg(F.collect_set("fact_key").alias("filled"))
     )
     return (
-        cases.join(filled, "case_id", "left")
-        .join(required, "grievance_type")
+        spread_join(cases.join(filled, "case_id", "left"), required, ["grievance_type"], "case_id")
         .where(~F.coalesce(F.array_contains("filled", F.col("field_name")), F.lit(False)))
         .drop("filled")
     )
@@ -127,15 +124,27 @@ def unanswered_fields(
 
 
 def case_status(cases: DataFrame, missing: DataFrame) -> DataFrame:
-    """need_more_info while a critical field is missing, else matched."""
+    """need_more_info while a critical field is missing, else matched; with the number and
+    the ordered names of missing fields."""
+    place = F.struct("field_order", "field_name")
+
+    def names(entries):
+        return F.transform(F.sort_array(F.collect_list(entries)), lambda e: e["field_name"])
+
     counts = missing.groupBy("case_id").agg(
         F.count("*").alias("n_missing"),
         F.count_if("is_required").alias("n_missing_critical"),
+        names(place).alias("missing_fields"),
+        names(F.when(F.col("is_required"), place)).alias("missing_critical_fields"),
     )
     joined = cases.join(counts, "case_id", "left").fillna(
         0, ["n_missing", "n_missing_critical"]
     )
-    return joined.withColumn(
-        "status",
-        F.when(F.col("n_missing_critical") > 0, "need_more_info").otherwise("matched"),
+    none = F.array().cast("array<string>")
+    return joined.withColumns(
+        {
+            "missing_fields": F.coalesce("missing_fields", none),
+            "missing_critical_fields": F.coalesce("missing_critical_fields", none),
+            "status": F.when(F.col("n_missing_critical") > 0, "need_more_info").otherwise("matched"),
+        }
     )

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from claimloom.session import materialise
 
 REFRESH_SECONDS = 3600
-RESPONSE_DDL = "data ARRAY<STRUCT<departure: STRUCT<delay: INT>>>"
-# Above this many rows a threshold table is joined instead of being sent as literals.
-MAX_LITERAL_THRESHOLDS = 1000
+RESPONSE_DDL = "data ARRAY<STRUCT<departure: STRUCT<delay: STRING>>>"
+ERRORS = {"no_data": "no status data", "failed": "delay is not a whole number"}
 
 
 def due(as_of: Column, threshold: int = REFRESH_SECONDS) -> Column:
@@ -44,17 +43,17 @@ def latest_status(snapshots: DataFrame) -> DataFrame:
 
 
 def decode_status(snapshots: DataFrame) -> DataFrame:
-    """Add outcome (success or no_data) and new_delay, from the first element of data.
+    """Add outcome (success, no_data or failed) and new_delay, from the first element of data.
 
-    A missing or null delay counts as 0; malformed or empty responses have no data.
+    A missing or null delay counts as 0, one that is not a whole number fails; malformed or
+    empty responses have no data.
     """
     data = F.from_json("response_json", RESPONSE_DDL)["data"]
     has_data = F.coalesce(F.size(data), F.lit(0)) > 0
-    return snapshots.withColumn(
-        "outcome", F.when(has_data, "success").otherwise("no_data")
-    ).withColumn(
-        "new_delay",
-        F.when(has_data, F.coalesce(F.get(data, F.lit(0))["departure"]["delay"], F.lit(0))),
+    delay = F.coalesce(F.get(data, F.lit(0))["departure"]["delay"], F.lit("0")).try_cast("int")
+    return snapshots.withColumn("new_delay", F.when(has_data, delay)).withColumn(
+        "outcome",
+        F.when(~has_data, "no_data").when(F.col("new_delay").isNull(), "failed").otherwise("success"),
     )
 
 
@@ -97,7 +96,7 @@ def refresh_log(flights: DataFrame, outcomes: DataFrame, as_of: Column) -> DataF
             "user_id",
             F.col("outcome").alias("status"),
             F.col("new_delay").alias("delay"),
-            F.when(F.col("outcome") == "no_data", "No API data available").alias("error"),
+            F.coalesce(*(F.when(F.col("outcome") == k, text) for k, text in ERRORS.items())).alias("error"),
         )
     )
 
@@ -110,11 +109,17 @@ def refresh_summary(log: DataFrame) -> DataFrame:
     )
 
 
-def _reached(min_delay: Column, previous: str | None) -> Column:
-    reached = min_delay <= F.col("delay")
-    if previous is None:
-        return reached
-    return reached & (F.col(previous).isNull() | (F.col(previous) < min_delay))
+# Delays and thresholds are compared exactly; blocks only find the pairs to compare.
+BITS = 62
+
+
+def _place(value: Column) -> Column:
+    """A whole number of BITS bits that rises with the value; extreme values share the ends."""
+    half = 1 << (BITS - 1)
+    low, high = F.lit(-half).cast("bigint"), F.lit(half - 1).cast("bigint")
+    inside = (value > low) & (value < high)
+    floor = F.floor(F.when(inside, value).try_cast("decimal(38,10)")).cast("bigint")
+    return F.coalesce(floor, F.when(value > 0, high).otherwise(low)) + half
 
 
 def entitlements_by_delay(
@@ -123,42 +128,15 @@ def entitlements_by_delay(
     """Add each entitlement whose min_delay_minutes the row's delay reaches; with
     `previous`, only if the delay in that column did not reach it already.
 
-    A small threshold table (checked) travels as literals: no join, no shuffle. A larger
-    one is joined by equality on the power-of-two blocks that cover delays from the
-    threshold upward, never by comparing all pairs.
+    A range join as an equality join, for any number of thresholds. [m, 2^BITS) is the
+    disjoint union of the block of m itself and, for each zero bit of m, the block to its
+    right; a delay lies in one block of each size. Distinct delays are matched, of which
+    there are few, and joined back to the rows; values are compared in their own types.
     """
-    rows = thresholds.select("min_delay_minutes", "entitlement")
-    small = rows.limit(MAX_LITERAL_THRESHOLDS + 1).collect()
-    if len(small) > MAX_LITERAL_THRESHOLDS:
-        return _entitlements_by_blocks(delays, rows, previous)
-    known = F.array(
-        *(
-            F.struct(
-                F.lit(r["min_delay_minutes"]).cast("bigint").alias("min_delay"),
-                F.lit(r["entitlement"]).alias("entitlement"),
-            )
-            for r in small
-        )
-    )
-    reached = F.filter(known, lambda t: _reached(t["min_delay"], previous))
-    return delays.withColumn("reached", F.explode(reached)).select(
-        *delays.columns, F.col("reached.entitlement").alias("entitlement")
-    )
-
-
-def _entitlements_by_blocks(
-    delays: DataFrame, thresholds: DataFrame, previous: str | None = None, bits: int = 31
-) -> DataFrame:
-    """Range join as an equi-join.
-
-    [m, 2^bits) is the disjoint union of the block of m itself and, for each zero bit
-    of m, the block to its right; a delay lies in one block of each size. Both sides are
-    shifted by 2^(bits-1) so that negative delays are covered too.
-    """
-    shift = 1 << (bits - 1)
-    levels = F.sequence(F.lit(0), F.lit(bits))
-    minimum = F.col("min_delay_minutes").cast("bigint")
-    start = F.greatest(minimum + shift, F.lit(0))
+    keys = ["delay"] + ([previous] if previous else [])
+    marks = thresholds.select(F.col("min_delay_minutes").alias("least"), "entitlement")
+    marks = marks.where("least IS NOT NULL").withColumn("place", _place(F.col("least")))
+    levels = F.sequence(F.lit(0), F.lit(BITS - 1))
 
     def block(value, level):
         return F.call_function("shiftright", value, level)
@@ -168,27 +146,28 @@ def _entitlements_by_blocks(
             levels,
             lambda k: F.struct(
                 k.alias("level"),
-                F.when(
-                    (k < bits) & (block(start, k).bitwiseAND(F.lit(1)) == 0), block(start, k) + 1
-                ).alias("block"),
+                F.when(block(F.col("place"), k).bitwiseAND(F.lit(1)) == 0, block(F.col("place"), k) + 1).alias("block"),
             ),
         ),
         lambda b: b["block"].isNotNull(),
     )
-    own = F.array(F.struct(F.lit(0).alias("level"), start.alias("block")))
-    spread = thresholds.select(
-        "entitlement", minimum.alias("min_delay"), F.inline(F.concat(own, right_of))
-    )
-    position = F.col("delay").cast("bigint") + shift
+    own = F.array(F.struct(F.lit(0).alias("level"), F.col("place").alias("block")))
+    spread = marks.select("entitlement", "least", F.inline(F.concat(own, right_of)))
+    values = delays.select(*keys).where("delay IS NOT NULL").distinct()
     blocks = F.transform(
-        levels, lambda k: F.struct(k.alias("level"), block(position, k).alias("block"))
+        levels, lambda k: F.struct(k.alias("level"), block(_place(F.col("delay")), k).alias("block"))
     )
-    return (
-        delays.select(*delays.columns, F.inline(blocks))
+    reached = F.col("least") <= F.col("delay")
+    if previous:
+        reached &= F.col(previous).isNull() | (F.col(previous) < F.col("least"))
+    pairs = (
+        values.select(*keys, F.inline(blocks))
         .join(spread, ["level", "block"])
-        .where(_reached(F.col("min_delay"), previous))
-        .select(*delays.columns, "entitlement")
+        .where(reached)
+        .select(*(F.col(k).alias(f"of_{k}") for k in keys), "least", "entitlement")
     )
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) if k != "delay" else F.col(k) == F.col(f"of_{k}") for k in keys]
+    return delays.join(pairs, same).select(*delays.columns, "entitlement")
 
 
 def previous_delay(steps: DataFrame, bucket: str = "hour") -> DataFrame:
@@ -213,7 +192,9 @@ def previous_delay(steps: DataFrame, bucket: str = "hour") -> DataFrame:
     )
 
 
-def entitlement_changes(snapshots: DataFrame, thresholds: DataFrame) -> DataFrame:
+def entitlement_changes(
+    snapshots: DataFrame, thresholds: DataFrame, folder: str | None = None
+) -> DataFrame:
     """(flight_number, seq, observed_at, gained): entitlements newly reached by a
     snapshot compared with the one before it; the first is compared with none.
 
@@ -226,7 +207,7 @@ def entitlement_changes(snapshots: DataFrame, thresholds: DataFrame) -> DataFram
         .select("flight_number", "seq", "observed_at", F.col("new_delay").alias("delay"))
     )
     # read twice below; this way the responses are decoded once
-    steps = previous_delay(materialise(delays, "delays"))
+    steps = previous_delay(materialise(delays, "delays", folder))
     return gained_entitlements(steps, thresholds)
 
 

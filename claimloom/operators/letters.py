@@ -103,7 +103,7 @@ def render(template: str) -> Column:
     return F.concat(*parts)
 
 
-NOT_APPLICABLE = "Email action is not applicable for this grievance type"
+NOT_APPLICABLE = "no letter is offered for this type"
 
 
 def letters(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,44 +166,49 @@ def clean_history(messages: DataFrame) -> DataFrame:
     )
 
 
-def transcripts(messages: DataFrame, segment: int = 1000) -> DataFrame:
-    """(conv_id, segment, transcript): conversations in order, in pieces of at most
-    `segment` turns, so that a very long one is never gathered in one place."""
+def _pieces(segment: int | None) -> list[Column]:
+    """A conversation is one piece; on request it is cut every `segment` turns."""
+    return [F.floor(F.col("turn") / segment).alias("segment")] if segment else []
+
+
+def transcripts(messages: DataFrame, segment: int | None = None) -> DataFrame:
+    """(conv_id, transcript): whole conversations in order.
+
+    With `segment`, pieces of at most that many turns and their number: (conv_id, segment,
+    transcript).
+    """
     entry = F.struct("turn", "role", "text")
-    return (
-        clean_history(messages)
-        .groupBy("conv_id", F.floor(F.col("turn") / segment).alias("segment"))
-        .agg(F.sort_array(F.collect_list(entry)).alias("said"))
-        .select(
-            "conv_id",
-            "segment",
-            F.array_join(
-                F.transform("said", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n"
-            ).alias("transcript"),
-        )
+    said = clean_history(messages).groupBy("conv_id", *_pieces(segment))
+    lines = F.transform("said", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
+    return said.agg(F.sort_array(F.collect_list(entry)).alias("said")).select(
+        "conv_id", *(["segment"] if segment else []), F.array_join(lines, "\n").alias("transcript")
     )
 
 
 def conversation_requests(
-    messages: DataFrame, examples: list[tuple[str, str]], segment: int = 1000
+    messages: DataFrame, examples: list[tuple[str, str]], segment: int | None = None
 ) -> DataFrame:
-    """(conv_id, segment, request): the JSON message list for a chat model; the first
-    segment starts with the example exchanges."""
+    """(conv_id, request): the JSON message list for a chat model, the example exchanges
+    first. With `segment`, a request per piece; examples lead a conversation's first one."""
     shown = [
         F.struct(F.lit(role).alias("role"), F.lit(text).alias("content"))
         for pair in examples
         for role, text in zip(("user", "assistant"), pair)
     ]
     empty = F.array().cast("array<struct<role:string,content:string>>")
-    prefix = F.when(F.col("segment") == 0, F.array(*shown)).otherwise(empty) if shown else empty
+    prefix = F.array(*shown) if shown else empty
     entry = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("message"))
-    return (
+    pieces = (
         clean_history(messages)
-        .groupBy("conv_id", F.floor(F.col("turn") / segment).alias("segment"))
+        .groupBy("conv_id", *_pieces(segment))
         .agg(F.sort_array(F.collect_list(entry)).alias("said"))
-        .select(
-            "conv_id",
-            "segment",
-            F.to_json(F.concat(prefix, F.transform("said", lambda m: m["message"]))).alias("request"),
-        )
+    )
+    if segment:
+        first = F.min("segment").over(Window.partitionBy("conv_id"))
+        pieces = pieces.withColumn("first", first)
+        prefix = F.when(F.col("segment") == F.col("first"), prefix).otherwise(empty)
+    return pieces.select(
+        "conv_id",
+        *(["segment"] if segment else []),
+        F.to_json(F.concat(prefix, F.transform("said", lambda m: m["message"]))).alias("request"),
     )

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import tokens
 from claimloom.functions.vocabulary import ANY_SCENARIO
+from claimloom.operators.joins import spread_join
 from claimloom.session import materialise
 
 TOP_K = 12
@@ -86,7 +87,9 @@ def _all_pairs(cases: DataFrame, facts: DataFrame, rules: DataFrame) -> DataFram
     )
 
 
-def _top_pairs(cases: DataFrame, facts: DataFrame, rules: DataFrame, top_k: int) -> DataFrame:
+def _top_pairs(
+    cases: DataFrame, facts: DataFrame, rules: DataFrame, top_k: int, folder: str | None
+) -> DataFrame:
     types = cases.select("grievance_type").distinct()
     vocabulary = (
         facts.select("token")
@@ -112,7 +115,7 @@ def _top_pairs(cases: DataFrame, facts: DataFrame, rules: DataFrame, top_k: int)
         .agg(F.sort_array(F.collect_list(F.struct("para", "rule_id"))).alias("members"))
         .withColumn("first", F.element_at("members", 1))
     )
-    members = materialise(members, "rule_classes")
+    members = materialise(members, "rule_classes", folder)
 
     # score of a class for a type, before facts are looked at
     type_tokens = tokens(F.col("grievance_type"))
@@ -126,7 +129,7 @@ def _top_pairs(cases: DataFrame, facts: DataFrame, rules: DataFrame, top_k: int)
             F.array_except("signature", type_tokens).alias("fact_tokens"),
         )
     )
-    classes = materialise(classes, "type_classes")
+    classes = materialise(classes, "type_classes", folder)
     by_base = Window.partitionBy("grievance_type").orderBy(F.desc("base"), "first")
     leading = (
         classes.withColumn("place", F.row_number().over(by_base))
@@ -140,7 +143,7 @@ def _top_pairs(cases: DataFrame, facts: DataFrame, rules: DataFrame, top_k: int)
     by_token = facts.join(postings, ["grievance_type", "token"]).select(
         "case_id", "grievance_type", "first", "base", F.lit(1).alias("hit")
     )
-    by_type = cases.join(leading, "grievance_type").select(
+    by_type = spread_join(cases, leading, ["grievance_type"], "case_id").select(
         "case_id", "grievance_type", "first", "base", F.lit(0).alias("hit")
     )
     scored = (
@@ -162,14 +165,38 @@ def _top_pairs(cases: DataFrame, facts: DataFrame, rules: DataFrame, top_k: int)
     )
 
 
+def _alike(cases: DataFrame, known: DataFrame, rules: DataFrame) -> DataFrame:
+    """(case_id, grievance_type, asked): the tokens of a case that some rule contains."""
+    vocabulary = rule_tokens(rules).select("token").distinct()
+    asked = (
+        case_tokens(known)
+        .join(vocabulary, "token", "left_semi")
+        .groupBy("case_id", "grievance_type")
+        .agg(F.sort_array(F.collect_set("token")).alias("asked"))
+    )
+    none = F.array().cast("array<string>")
+    return cases.join(asked, ["case_id", "grievance_type"], "left").withColumn("asked", F.coalesce("asked", none))
+
+
 def candidate_rules(
-    cases: DataFrame, known: DataFrame, rules: DataFrame, top_k: int | None = TOP_K
+    cases: DataFrame,
+    known: DataFrame,
+    rules: DataFrame,
+    top_k: int | None = TOP_K,
+    folder: str | None = None,
 ) -> DataFrame:
-    """(case_id, grievance_type, rank, rule_id, score); top_k None or <= 0 keeps all."""
-    facts = materialise(case_tokens(known), "case_tokens")
+    """(case_id, grievance_type, rank, rule_id, score); top_k None or <= 0 keeps all.
+
+    Cases of one type that ask with the same tokens get the same rules, so only the first
+    of them is ranked. `folder` takes intermediate results (see session.materialise).
+    """
+    own = materialise(_alike(cases.select("case_id", "grievance_type"), known, rules), "asked", folder)
+    alike = own.groupBy("grievance_type", "asked").agg(F.min("case_id").alias("first"))
+    firsts = alike.select(F.col("first").alias("case_id"), "grievance_type")
+    facts = alike.select(F.col("first").alias("case_id"), "grievance_type", F.explode("asked").alias("token"))
     keep_all = top_k is None or top_k <= 0
     pairs = (
-        _all_pairs(cases, facts, rules) if keep_all else _top_pairs(cases, facts, rules, top_k)
+        _all_pairs(firsts, facts, rules) if keep_all else _top_pairs(firsts, facts, rules, top_k, folder)
     )
     order = Window.partitionBy("case_id", "grievance_type").orderBy(
         F.desc("score"), "para", "rule_id"
@@ -177,9 +204,11 @@ def candidate_rules(
     ranked = pairs.withColumn("rank", F.row_number().over(order))
     if not keep_all:
         ranked = ranked.where(F.col("rank") <= top_k)
-    return ranked.select(
-        "case_id", "grievance_type", "rank", "rule_id", F.col("score").cast("int").alias("score")
+    ranked = ranked.select(
+        F.col("case_id").alias("first"), "rank", "rule_id", F.col("score").cast("int").alias("score")
     )
+    takers = own.join(alike, ["grievance_type", "asked"]).select("case_id", "grievance_type", "first")
+    return takers.join(ranked, "first").drop("first")
 
 
 def case_payloads(
@@ -243,7 +272,7 @@ def case_payloads(
     return (
         cases.join(facts, "case_id", "left")
         .join(packed, "case_id", "left")
-        .join(fields, "grievance_type", "left")
+        .transform(lambda found: spread_join(found, fields, ["grievance_type"], "case_id", "left"))
         .select("case_id", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
     )
 

@@ -13,69 +13,73 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import numbered, strip
+from claimloom.functions.text import WHITE_SPACE, numbered
 from claimloom.functions.vocabulary import ANY_SCENARIO
+from claimloom.operators.joins import spread_join
 
 MATCH_KINDS = ("non_applicable", "maybe", "exact")
 
 # Plain decimal numbers only: casting alone would also take texts like '5d' or 'NaN'.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_SPACES = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE) + "'"
+
+# What a condition compares, as SQL over texts: the only definition, for columns and for
+# the SQL functions alike.
+TEXT_SQL = f"lower(btrim({{0}}, {_SPACES}))"
+NUMBER_SQL = f"CASE WHEN {{0}} RLIKE r'{NUMBER}' THEN try_cast({{0}} AS DOUBLE) END"
+LIST_SQL = f"transform(split({{0}}, ','), part -> btrim(part, {_SPACES}))"
+TRUTH_SQL = "CASE WHEN {0} IN ('true', 'yes') THEN true WHEN {0} IN ('false', 'no') THEN false END"
+_EQUAL = "coalesce({fact}.number = {c}.number, {fact}.text = {c}.text)"
+OPERATORS = {
+    "=": _EQUAL,
+    "!=": f"NOT {_EQUAL}",
+    "<": "{fact}.number < {c}.number",
+    "<=": "{fact}.number <= {c}.number",
+    ">": "{fact}.number > {c}.number",
+    ">=": "{fact}.number >= {c}.number",
+    "in": "array_contains({c}.listed, {fact}.text)",
+    "is_true": "{fact}.truth",
+    "is_false": "NOT {fact}.truth",
+}
+
+
+def holds_sql(c: str, fact: str) -> str:
+    """True, false, or NULL when unknown, of a readable condition and fact."""
+    arms = " ".join(f"WHEN '{op}' THEN {text.format(c=c, fact=fact)}" for op, text in OPERATORS.items())
+    return f"CASE {c}.op {arms} END"
 
 
-def _number(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+def fact_sql(text: str) -> str:
+    """A fact's value read as text, number and truth value; NULL when it is blank."""
+    clean = TEXT_SQL.format(text)
+    parts = f"'text', {clean}, 'number', {NUMBER_SQL.format(clean)}, 'truth', {TRUTH_SQL.format(clean)}"
+    return f"CASE WHEN {clean} <> '' THEN named_struct({parts}) END"
 
 
-def readable_facts(known: DataFrame) -> DataFrame:
-    """Non-blank facts read once as text, number and truth value:
-    (case_id, fact_key, fact)."""
-    low = F.lower("text")
-    truth = F.when(low.isin("true", "yes"), True).when(low.isin("false", "no"), False)
+def condition_sql(fact_key: str, op: str, operand: str) -> str:
+    """A condition with its operand read the same way."""
+    clean = TEXT_SQL.format(operand)
     return (
-        known.select("case_id", "fact_key", strip(F.col("value")).alias("text"))
-        .where("text != ''")
-        .select(
-            "case_id",
-            "fact_key",
-            F.struct(
-                low.alias("text"), _number(F.col("text")).alias("number"), truth.alias("truth")
-            ).alias("fact"),
-        )
+        f"named_struct('fact_key', {fact_key}, 'op', {op}, 'text', {clean}, "
+        f"'number', {NUMBER_SQL.format(clean)}, 'listed', {LIST_SQL.format(clean)})"
     )
 
 
+def invalid_conditions(conditions: DataFrame) -> DataFrame:
+    """Conditions whose op is none of the known ones; they stay unknown for every fact."""
+    return conditions.where(F.col("op").isNull() | ~F.col("op").isin(*OPERATORS))
+
+
+def readable_facts(known: DataFrame) -> DataFrame:
+    """Non-blank facts read once: (case_id, fact_key, fact)."""
+    read = known.select("case_id", "fact_key", F.expr(fact_sql("value")).alias("fact"))
+    return read.where("fact IS NOT NULL")
+
+
 def readable_conditions(conditions: DataFrame) -> DataFrame:
     """Distinct conditions with their operand read once: (rule_id, condition)."""
     distinct = conditions.select("rule_id", "fact_key", "op", "operand").distinct()
-    clean = distinct.withColumn("text", F.lower(strip(F.col("operand"))))
-    return clean.select(
-        "rule_id",
-        F.struct(
-            "fact_key",
-            "op",
-            "text",
-            _number(F.col("text")).alias("number"),
-            F.transform(F.split("text", ","), strip).alias("listed"),
-        ).alias("condition"),
-    )
-
-
-def condition_holds(condition: Column, fact: Column) -> Column:
-    """True, false, or NULL when unknown, of a readable condition and fact."""
-    op, number = condition["op"], fact["number"]
-    bound = condition["number"]
-    equal = F.coalesce(number == bound, fact["text"] == condition["text"])
-    return (
-        F.when(op == ">=", number >= bound)
-        .when(op == "<", number < bound)
-        .when(op == "<=", number <= bound)
-        .when(op == ">", number > bound)
-        .when(op == "is_true", fact["truth"])
-        .when(op == "is_false", ~fact["truth"])
-        .when(op == "=", equal)
-        .when(op == "!=", ~equal)
-        .when(op == "in", F.array_contains(condition["listed"], fact["text"]))
-    )
+    return distinct.select("rule_id", F.expr(condition_sql("fact_key", "op", "operand")).alias("condition"))
 
 
 def _facts_by_case(known: DataFrame, conditions: DataFrame) -> DataFrame:
@@ -85,24 +89,23 @@ def _facts_by_case(known: DataFrame, conditions: DataFrame) -> DataFrame:
         readable_facts(known)
         .join(asked, "fact_key", "left_semi")
         .groupBy("case_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("fact_key", "fact"))).alias("facts"))
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("fact_key", "fact")))).alias("facts"))
     )
 
 
 def _conditions_by_rule(conditions: DataFrame) -> DataFrame:
     return readable_conditions(conditions).groupBy("rule_id").agg(
-        F.collect_list("condition").alias("conditions")
+        F.sort_array(F.collect_list("condition")).alias("conditions")
     )
 
 
-def _holds(c: Column) -> Column:
-    return condition_holds(c, F.try_element_at("facts", c["fact_key"]))
+_ENTRIES = "array<struct<key: string, value: struct<text: string, number: double, truth: boolean>>>"
+_HOLDS = holds_sql("c", "try_element_at(facts, c.fact_key)")
 
 
 def _ruled_out() -> Column:
     """Whether a condition is false; stops at the first one."""
-    found = F.exists("conditions", lambda c: ~F.coalesce(_holds(c), F.lit(True)))
-    return F.coalesce(found, F.lit(False))
+    return F.expr(f"coalesce(exists(conditions, c -> NOT coalesce({_HOLDS}, true)), false)")
 
 
 def candidate_outcomes(
@@ -115,7 +118,7 @@ def candidate_outcomes(
     brings its conditions and a case its facts.
     """
     none = F.array().cast("array<string>")
-    unknown = F.filter("conditions", lambda c: _holds(c).isNull())
+    unknown = F.expr(f"filter(conditions, c -> ({_HOLDS}) IS NULL)")
     open_keys = F.array_sort(F.array_distinct(F.transform(unknown, lambda c: c["fact_key"])))
     return (
         candidates.select("case_id", "rule_id")
@@ -163,8 +166,9 @@ def eval_rules(
     match, with the columns a rule shows to the passenger.
 
     A rule carries its own conditions and a case its own facts, limited to keys that
-    conditions ask for; each pair is then decided where the two rows meet. Nothing is
-    shuffled per pair, which matters because most rules stay 'maybe' and are returned.
+    conditions ask for. Cases of one type with the same facts have the same rules, so only
+    the first of them meets the rules, and the others take over what it got. A pair is
+    decided where the two rows meet, stopping at the first deciding condition.
     """
     actions = F.col("actions_json") if "actions_json" in rules.columns else F.lit(None)
     with_conditions = rules.select(
@@ -172,30 +176,32 @@ def eval_rules(
         "passenger_gets_text", actions.cast("string").alias("actions_json"),
     ).join(_conditions_by_rule(conditions), "rule_id", "left")
 
-    all_hold = F.forall("conditions", lambda c: F.coalesce(_holds(c), F.lit(False)))
-    return (
-        # the pairing below is the heavy part, so it is spread by case
-        cases.repartition("case_id")
-        .join(_facts_by_case(known, conditions), "case_id", "left")
-        .withColumn(
-            "scenario_type",
-            F.explode(F.array_distinct(F.array("grievance_type", F.lit(ANY_SCENARIO)))),
-        )
-        .join(with_conditions, "scenario_type")
-        .where(~_ruled_out())
-        .select(
-            "case_id", "grievance_type", "rule_id",
-            F.when(all_hold, "exact").otherwise("maybe").alias("match_kind"),
-            "source_para", "title", "passenger_gets_text", "actions_json",
-            (F.col("rule_family") == "exception").alias("is_exception"),
-        )
+    entries = F.map_entries("facts")
+    own = cases.select("case_id", "grievance_type").join(
+        _facts_by_case(known, conditions).select("case_id", entries.alias("entries")), "case_id", "left"
+    ).withColumn("entries", F.coalesce("entries", F.expr("array()").cast(_ENTRIES)))
+    alike = own.groupBy("grievance_type", "entries").agg(F.min("case_id").alias("first"))
+    scenarios = F.explode(F.array_distinct(F.array("grievance_type", F.lit(ANY_SCENARIO))))
+    met = spread_join(
+        alike.select("first", F.map_from_entries("entries").alias("facts"), scenarios.alias("scenario_type")),
+        with_conditions, ["scenario_type"], "first",
+    )
+    all_hold = F.expr(f"forall(conditions, c -> coalesce({_HOLDS}, false))")
+    decided = met.where(~_ruled_out()).select(
+        "first", "rule_id", F.when(all_hold, "exact").otherwise("maybe").alias("match_kind"),
+        "source_para", "title", "passenger_gets_text", "actions_json",
+        (F.col("rule_family") == "exception").alias("is_exception"),
     )
+    takers = own.join(alike, ["grievance_type", "entries"]).select("case_id", "grievance_type", "first")
+    return takers.join(decided, "first").drop("first")
 
 
 def evaluation_order(evaluated: DataFrame) -> DataFrame:
-    return evaluated.orderBy(
-        "case_id", "match_kind", F.col("source_para").asc_nulls_first(), "rule_id"
+    """Add place: the order in which a case's rules are shown, from 1."""
+    order = Window.partitionBy("case_id").orderBy(
+        "match_kind", F.col("source_para").asc_nulls_first(), "rule_id"
     )
+    return evaluated.withColumn("place", F.row_number().over(order))
 
 
 def top_rule_lines(evaluated: DataFrame, n: int = 3) -> DataFrame:
@@ -204,11 +210,8 @@ def top_rule_lines(evaluated: DataFrame, n: int = 3) -> DataFrame:
         F.coalesce("title", F.lit("N/A")), F.lit(": "),
         F.coalesce("passenger_gets_text", F.lit("N/A")),
     )
-    order = Window.partitionBy("case_id").orderBy(
-        "match_kind", F.col("source_para").asc_nulls_first(), "rule_id"
-    )
     first = (
-        evaluated.withColumn("place", F.row_number().over(order))
+        evaluation_order(evaluated)
         .where(F.col("place") <= n)
         .select("case_id", "place", shown.alias("line"))
     )

@@ -65,33 +65,37 @@ def run_cases(
     as_of: Column,
     top_k: int | None = retrieval.TOP_K,
     classify: Callable[[Column], Column] = classify_by_keywords,
+    folder: str | None = None,
 ) -> DataFrame:
     """Every intake row with its status and, when matched, its case-run columns.
 
     intake: (case_id, session_id, user_text). status is 'unsupported',
-    'need_more_info' (a critical field is missing) or 'matched'.
+    'need_more_info' (a critical field is missing) or 'matched'. missing_fields and
+    missing_critical_fields list the open fields in their order. With a `folder`, known
+    facts and outcomes are written there once; nothing else is written.
     """
     labelled = label_cases(intake, classify)
     cases = labelled.where(F.col("grievance_type") != UNSUPPORTED).select(
         "case_id", "grievance_type"
     )
-    known = materialise(facts_op.known_facts(cases, facts, required), "known")
+    known = materialise(facts_op.known_facts(cases, facts, required), "known", folder)
     missing = facts_op.missing_fields(cases, known, required)
-    status = materialise(facts_op.case_status(cases, missing), "status")
+    status = facts_op.case_status(cases, missing)
 
     ready = status.where("status = 'matched'").select("case_id", "grievance_type")
     known_of_ready = known.join(ready.select("case_id"), "case_id", "left_semi")
     candidates = retrieval.candidate_rules(ready, known_of_ready, rules, top_k)
     outcomes = materialise(
-        rules_op.candidate_outcomes(candidates, known_of_ready, conditions), "outcomes"
+        rules_op.candidate_outcomes(candidates, known_of_ready, conditions), "outcomes", folder
     )
     matches = match_results(outcomes, ready, required)
 
     keep_nulls = {"ignoreNullFields": "false"}
+    no_fields = F.array().cast("array<string>")
     known_map = F.coalesce("facts", F.from_json(F.lit("{}"), EMPTY_MAP))
     return (
         labelled.join(
-            status.select("case_id", "status", "n_missing", "n_missing_critical"), "case_id", "left"
+            status.drop("grievance_type"), "case_id", "left"
         )
         .join(retrieval.facts_as_map(known), "case_id", "left")
         .join(matches, "case_id", "left")
@@ -106,6 +110,8 @@ def run_cases(
             letter_available(F.col("grievance_type")).alias("letter_available"),
             F.coalesce("n_missing", F.lit(0)).alias("n_missing"),
             F.coalesce("n_missing_critical", F.lit(0)).alias("n_missing_critical"),
+            F.coalesce("missing_fields", no_fields).alias("missing_fields"),
+            F.coalesce("missing_critical_fields", no_fields).alias("missing_critical_fields"),
             F.to_json(known_map, keep_nulls).alias("facts_json"),
             F.to_json(
                 F.struct("grievance_type", known_map.alias("known_facts")), keep_nulls

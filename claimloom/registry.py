@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom import fixtures as fx
 from claimloom import samples
-from claimloom.functions.text import strip
+from claimloom.functions import sql as sql_functions
 from claimloom.operators import (
     dialogue,
     envelope,
@@ -45,6 +45,8 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = pin_semantics(spark)
         self.sf_dir = sf_dir
+        # where shared intermediate results go, if the session names a folder
+        self.folder = spark.conf.get("spark.checkpoint.dir", None)
 
     def view(self, name: str) -> DataFrame:
         return fx.view(self.spark, self.sf_dir, name)
@@ -74,11 +76,11 @@ class Inputs:
 
     @cached_property
     def required(self) -> DataFrame:
-        return materialise(self.required_query(), "required_fields")
+        return materialise(self.required_query(), "required_fields", self.folder)
 
     @cached_property
     def rules(self) -> DataFrame:
-        return materialise(self.rules_query(), "rules")
+        return materialise(self.rules_query(), "rules", self.folder)
 
     @cached_property
     def cases(self) -> DataFrame:
@@ -102,21 +104,24 @@ class Inputs:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return retrieval.candidate_rules(self.cases, self.known, self.rules)
+        return retrieval.candidate_rules(self.cases, self.known, self.rules, folder=self.folder)
 
     @cached_property
     def outcomes(self) -> DataFrame:
         return rules.candidate_outcomes(self.candidates, self.known, self.conditions)
 
     @cached_property
-    def evaluated(self) -> DataFrame:
-        with_actions = self.rules.withColumn(
+    def with_actions(self) -> DataFrame:
+        return self.rules.withColumn(
             "actions_json",
             F.when(F.col("scenario_type") == "delay", '{"next":"wait","fee":"0"}').when(
                 F.col("scenario_type") == "cross_cutting", "{broken"
             ),
         )
-        return rules.eval_rules(self.cases, self.known, with_actions, self.conditions)
+
+    @cached_property
+    def evaluated(self) -> DataFrame:
+        return rules.eval_rules(self.cases, self.known, self.with_actions, self.conditions)
 
     @cached_property
     def sections(self) -> DataFrame:
@@ -128,7 +133,7 @@ class Inputs:
 
     @cached_property
     def states(self) -> DataFrame:
-        return dialogue.dialogue_states(self.messages, self.required)
+        return dialogue.dialogue_states(self.messages, self.required, folder=self.folder)
 
 
 def query(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
@@ -207,12 +212,12 @@ def tolerant_decode(i: Inputs) -> DataFrame:
     )
 
 
-def numbered_rules(text: str) -> dict:
-    """A small extractor: one rule per line 'Section x.y: title'."""
-    found = re.findall(r"^Section (\d+\.\d+): (.+)$", text, flags=re.MULTILINE)
-    if not found:
-        raise ValueError("no numbered section")
-    return {"rules": [{"rule_id": f"s{para}", "title": title, "source_para": para} for para, title in found]}
+def numbered_rules(texts: pd.Series) -> list[dict | str]:
+    """A small extractor over a batch: one rule per line 'Section x.y: title', or what is wrong."""
+    found = texts.str.extractall(r"(?m)^Section (?P<para>\d+\.\d+): (?P<title>.+)$")
+    rules = found.assign(rule_id="s" + found["para"]).rename(columns={"para": "source_para"})
+    by_text = {k: g.to_dict("records") for k, g in rules.groupby(level=0)}
+    return [{"rules": by_text[k]} if k in by_text else "no numbered section" for k in texts.index]
 
 
 @query
@@ -281,7 +286,8 @@ def form_open_present(i: Inputs) -> DataFrame:
 
 @query
 def case_status(i: Inputs) -> DataFrame:
-    return facts.case_status(i.cases, i.missing)
+    status = facts.case_status(i.cases, i.missing)
+    return status.withColumns({c: F.array_join(c, ",") for c in ("missing_fields", "missing_critical_fields")})
 
 
 # ---- retrieval -------------------------------------------------------------------
@@ -322,6 +328,31 @@ def rules_matched(i: Inputs) -> DataFrame:
     return i.evaluated
 
 
+@query
+def rules_in_order(i: Inputs) -> DataFrame:
+    return rules.evaluation_order(i.evaluated).select("case_id", "place", "rule_id", "match_kind")
+
+
+@query
+def invalid_conditions(i: Inputs) -> DataFrame:
+    return rules.invalid_conditions(i.conditions)
+
+
+@query
+def eval_rules_sql(i: Inputs) -> DataFrame:
+    """The SQL table function, joined laterally to the cases and their facts."""
+    given = i.cases.join(retrieval.facts_as_map(i.known), "case_id", "left").select(
+        "case_id", "grievance_type", F.to_json(F.coalesce("facts", F.create_map().cast("map<string,string>"))).alias("given")
+    )
+    names = {"claimloom_rules": i.with_actions, "claimloom_conditions": i.conditions, "claimloom_given": given}
+    for name, df in names.items():
+        df.createOrReplaceTempView(name)
+    sql_functions.register_eval_rules(i.spark, "claimloom_rules", "claimloom_conditions", "claimloom_eval_rules")
+    return i.spark.sql(
+        "SELECT g.case_id, r.* FROM claimloom_given g, LATERAL claimloom_eval_rules(g.grievance_type, g.given) r"
+    )
+
+
 @query
 def top3_rule_lines(i: Inputs) -> DataFrame:
     return rules.top_rule_lines(i.evaluated)
@@ -380,7 +411,7 @@ def entitlements_by_delay(i: Inputs) -> DataFrame:
 
 @query
 def entitlement_changes(i: Inputs) -> DataFrame:
-    return flights.entitlement_changes(i.view("fx_status"), i.view("fx_thresholds"))
+    return flights.entitlement_changes(i.view("fx_status"), i.view("fx_thresholds"), i.folder)
 
 
 # ---- regulation text -------------------------------------------------------------
@@ -413,7 +444,7 @@ def section_scores(i: Inputs) -> DataFrame:
 
 @query
 def packed_context(i: Inputs) -> DataFrame:
-    written = materialise(i.sections, "sections")
+    written = materialise(i.sections, "sections", i.folder)
     return sections.packed_contexts(i.view("fx_queries"), written)
 
 
@@ -422,19 +453,18 @@ def packed_context(i: Inputs) -> DataFrame:
 
 @query
 def message_labels(i: Inputs) -> DataFrame:
-    text = F.col("text")
-    return i.messages.select(
+    return i.view("fx_replies").select(
         "conv_id",
         "turn",
-        messages.label_in_reply(text).alias("reply_label"),
-        messages.exact_label(F.element_at(F.split(strip(text), "[: ]"), 1)).alias("exact_label"),
-        messages.classify_by_keywords(text).alias("keyword_label"),
+        messages.label_in_reply(F.col("reply")).alias("reply_label"),
+        messages.exact_label(F.col("reply")).alias("exact_label"),
+        messages.classify_by_keywords(F.col("text")).alias("keyword_label"),
     )
 
 
 def shouting_model(texts):
     """Stands for a remote classifier in the query below."""
-    return texts.str.slice(0, 20).str.upper()
+    return texts.str.upper()
 
 
 @query
@@ -486,8 +516,7 @@ def conversation_transcripts(i: Inputs) -> DataFrame:
 
 @query
 def conversation_requests(i: Inputs) -> DataFrame:
-    safe = i.messages.withColumn("text", F.regexp_replace("text", r"[^A-Za-z0-9 .,:_]", "?"))
-    return messages.conversation_requests(safe, samples.CHAT_EXAMPLES)
+    return messages.conversation_requests(i.messages, samples.CHAT_EXAMPLES)
 
 
 # ---- dialogue --------------------------------------------------------------------
@@ -500,7 +529,7 @@ def dialogue_state(i: Inputs) -> DataFrame:
 
 @query
 def conversation_state(i: Inputs) -> DataFrame:
-    return dialogue.conversation_states(i.messages, i.states)
+    return dialogue.conversation_states(i.messages, i.states, i.folder)
 
 
 @query
@@ -565,6 +594,7 @@ def escalation_checklist(i: Inputs) -> DataFrame:
 @query
 def case_runs(i: Inputs) -> DataFrame:
     runs = case_plan.run_cases(
-        i.view("fx_intake"), i.facts, i.required, i.rules, i.conditions, as_of()
+        i.view("fx_intake"), i.facts, i.required, i.rules, i.conditions, as_of(), folder=i.folder
     )
-    return runs.drop("created_at")
+    lists = {c: F.array_join(c, ",") for c in ("missing_fields", "missing_critical_fields")}
+    return runs.drop("created_at").withColumns(lists)

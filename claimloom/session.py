@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,32 +37,20 @@ def pin_semantics(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names in spark.checkpoint.dir.
-
-    Where it is unset, a single-machine session gets a temporary folder of its own; on a
-    cluster there is none, since a machine's own disk is not shared.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="claimloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
-    return None
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate result once and go on from the written table.
+def materialise(df: DataFrame, name: str, folder: str | None) -> DataFrame:
+    """Write an intermediate result once below the caller's folder and go on from the table.
 
     For results that several later steps read: they are then not computed again, a lost
     executor costs a read instead of the whole lineage, and the planner sees their real
-    size. Without a shared folder the plan simply goes on.
+    size. Without a folder nothing is written and the plan goes on. The folder is the
+    caller's to remove when the results are done; on a cluster it must be one that all
+    machines share.
     """
-    folder = shared_folder(df.sparkSession)
     if folder is None:
         return df
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    local = df.sparkSession.sparkContext.master.startswith("local[")
+    if not local and "://" not in folder:
+        raise ValueError(f"not a folder that all machines share: {folder}")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,27 +8,25 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# text -> response object; raising ValueError marks the document as failed
-Extractor = Callable[[str], dict]
+# a batch of texts -> a response object per text, or the error message of one that failed
+Extractor = Callable[[pd.Series], list]
 
 
 def extract_documents(documents: DataFrame, extractor: Extractor) -> DataFrame:
     """(path, parsed) -> (path, extracted): one JSON envelope per document.
 
-    A document the extractor rejects gets its error message and a null response.
+    The extractor sees a batch at a time, as a remote model would. A document it rejects
+    gets its error message and a null response; a null text is read as empty.
     """
 
-    def envelope(text: str | None) -> str:
-        try:
-            result = {"error_message": None, "response": extractor(text or "")}
-        except ValueError as error:
-            result = {"error_message": str(error), "response": None}
+    def envelope(found: dict | str) -> str:
+        failed = isinstance(found, str)
+        result = {"error_message": found if failed else None, "response": None if failed else found}
         return json.dumps(result, ensure_ascii=False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(
-                {"path": batch["path"], "extracted": [envelope(t) for t in batch["parsed"]]}
-            )
+            found = extractor(batch["parsed"].fillna("").reset_index(drop=True))
+            yield pd.DataFrame({"path": batch["path"], "extracted": [envelope(f) for f in found]})
 
     return documents.select("path", "parsed").mapInPandas(run, "path STRING, extracted STRING")
