@@ -134,9 +134,13 @@ class Network:
         return cls(s, small[: s.word_rows], rng.standard_normal((s.char_rows, s.char_dim)).astype(np.float32) * 0.1, p)
 
     def inputs(self, word_row: np.ndarray, gram_rows: np.ndarray, gram_at: np.ndarray) -> np.ndarray:
-        """Vectors of distinct words."""
-        size = np.diff(np.append(gram_at, len(gram_rows)))
-        chars = np.add.reduceat(self.char[gram_rows], gram_at) / np.sqrt(size)[:, None].astype(np.float32)
+        """Vectors of distinct words, some thousands at a time."""
+        ends = np.append(gram_at, len(gram_rows))
+        chars = np.empty((len(word_row), self.s.char_dim), np.float32)
+        for k in range(0, len(word_row), 8192):
+            at = ends[k : k + 8193]
+            some = self.char[gram_rows[at[0] : at[-1]]]
+            chars[k : k + 8192] = np.add.reduceat(some, at[:-1] - at[0]) / np.sqrt(np.diff(at))[:, None]
         return np.concatenate((self.word[word_row], chars), 1)
 
     def forward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -280,25 +284,30 @@ def train(texts: list[str], labels: np.ndarray, share: float, s: Settings = Sett
     (_, _, words, hashes) = next(scan_words(pa.array(fit_texts, pa.large_string()), 1 << 40))
     _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
     word_row = (hashes[first] % np.uint64(s.word_rows)).astype(np.int64)
-    gram_rows, gram_at = char_grams(words, first, s)
+    parts = [char_grams(words, first[k : k + 20_000], s) for k in range(0, len(first), 20_000)]
+    base = np.cumsum([0, *(len(rows) for rows, _ in parts)])
+    gram_rows = np.concatenate([rows.astype(np.int32) for rows, _ in parts])
+    gram_at = np.concatenate([at + b for (_, at), b in zip(parts, base, strict=False)])
+    del parts
     gram_size = np.diff(np.append(gram_at, len(gram_rows)))
 
     # how telling words and n-grams are by the texts they occur in: a start for the embeddings
-    text_of = words.row_of()
-    pairs = np.unique(np.column_stack((text_of, of)), axis=0)
-    toxic, total = fit_labels.sum(), len(fit_labels)
-
-    def telling(rows: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-        seen = np.unique(owner.astype(np.int64) * size + rows)
-        hit = np.bincount(seen % size, fit_labels[seen // size], size)
-        every = np.bincount(seen % size, minlength=size)
+    toxic, total = float(fit_labels.sum()), len(fit_labels)
+    counts = [[np.zeros(n, np.float32) for _ in range(2)] for n in (s.word_rows, s.char_rows)]
+    for k, label in enumerate(fit_labels):
+        own = np.unique(of[words.rows[k] : words.rows[k + 1]])
+        size = gram_size[own]
+        each = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(gram_at[own], size)
+        for (every, hit), rows in zip(counts, (word_row[own], gram_rows[each]), strict=True):
+            rows = np.unique(rows)
+            every[rows] += 1
+            hit[rows] += label
+
+    def telling(every: np.ndarray, hit: np.ndarray) -> np.ndarray:
         prior = toxic / total  # shrunk towards it, so that a rare word tells little
         return np.log((hit + 3 * prior) / (every - hit + 3 * (1 - prior))) - np.log(prior / (1 - prior))
 
-    word_tell = telling(word_row[pairs[:, 1]], pairs[:, 0], s.word_rows)
-    size = gram_size[pairs[:, 1]]
-    each = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(gram_at[pairs[:, 1]], size)
-    gram_tell = telling(gram_rows[each], np.repeat(pairs[:, 0], size), s.char_rows)
+    word_tell, gram_tell = (telling(*c) for c in counts)
     net.word[:, 0] = np.clip(word_tell / 2, -2, 2)
     net.char[:, 0] = np.clip(gram_tell / 2, -2, 2)
     best_gram = np.maximum.reduceat(gram_tell[gram_rows], gram_at)
@@ -307,7 +316,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, s: Settings = Sett
     row, begin, length = cut_windows(words.rows, s)
     place = np.arange(s.window)
     mask = place < length[:, None]
-    index = of[np.minimum(begin[:, None] + place, len(of) - 1)]
+    index = of.astype(np.int32)[np.minimum(begin[:, None] + place, len(of) - 1)]
     rank = np.where(mask, tell[np.minimum(begin[:, None] + place, len(of) - 1)], -np.inf).max(1)
     window_label = fit_labels[row]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
