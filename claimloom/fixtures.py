@@ -23,7 +23,7 @@ VIEWS: dict[str, str] = {}
 
 VIEWS["fx_flights"] = """
 SELECT event_id AS row_id,
-       'FX' || CAST(CAST(floor(event_id / 10) AS BIGINT) AS STRING) AS flight_number,
+       'FX' || CAST(CAST(floor(event_id / 7) AS BIGINT) AS STRING) AS flight_number,
        user_id,
        ts AS initial_departure_time,
        CAST(floor(value) AS INT) AS delay,
@@ -34,7 +34,7 @@ FROM events
 
 VIEWS["fx_status"] = """
 SELECT event_id AS seq,
-       'FX' || CAST(CAST(floor(event_id / 10) AS BIGINT) AS STRING) AS flight_number,
+       'FX' || CAST(CAST(floor(event_id / 7) AS BIGINT) AS STRING) AS flight_number,
        ts AS observed_at,
        CASE CASE WHEN event_id % 11 = 4 THEN 5 ELSE event_id % 5 END
          WHEN 5 THEN '{"data":[{"departure":{"delay":"about ' || event_type || '"}}]}'

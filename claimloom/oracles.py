@@ -546,6 +546,9 @@ SELECT f.row_id, f.flight_number, f.user_id, f.initial_departure_time, coalesce(
        CASE WHEN s.flight_number IS NULL THEN f.last_check ELSE {AS_OF} END AS last_check
 FROM fx_flights f
 LEFT JOIN (SELECT * FROM due_status WHERE outcome = 'success') s ON s.flight_number = f.flight_number"""
+Q["stored_flights"] = Q["updated_flights"] = Q["flights_refreshed"]
+Q["snapshots_read"] = "SELECT seq, flight_number, observed_at, response_json FROM fx_status"
+Q["ai_extract_sql"] = "SELECT doc_id, length(text) AS length, 'length' AS asked, '2.0' AS version FROM documents"
 Q["refresh_log"] = "SELECT * FROM log"
 Q["refresh_summary"] = """
 SELECT count(*) AS processed, count(CASE WHEN status = 'success' THEN 1 END) AS successful,
@@ -680,21 +683,25 @@ LEFT JOIN (SELECT case_id, string_agg('{"fact_key":"' || fact_key || '","why_nee
                     || coalesce('"' || why_needed || '"', 'null') || '}', ',' ORDER BY fact_key) AS facts
            FROM needed GROUP BY case_id) n ON n.case_id = l.case_id"""
 
+Q["stored_case_runs"] = f"""
+SELECT session_id, user_text, grievance_type, facts_json, intake_json, match_json, {AS_OF} AS created_at, 'first' AS batch
+FROM ({Q["case_runs"]}) WHERE status = 'matched'"""
+
 _STATUS = f"""
 SELECT c.case_id, count(m.field_name) AS n_missing, count(CASE WHEN m.is_required THEN 1 END) AS n_crit, {_OPEN_LISTS}
        CASE WHEN count(CASE WHEN m.is_required THEN 1 END) > 0 THEN 'need_more_info' ELSE 'matched' END AS status
 FROM fx_cases c LEFT JOIN missing m ON m.case_id = c.case_id GROUP BY c.case_id"""
 
-REPLACED: dict[str, dict[str, str]] = {
-    "case_runs": {
-        # cases come from the classified intake, and only matched ones are retrieved for
-        "fx_cases": "SELECT case_id, grievance_type FROM labelled WHERE grievance_type <> 'unsupported'",
-        "status": _STATUS,
-        "cases_in": "SELECT c.* FROM fx_cases c JOIN status s ON s.case_id = c.case_id AND s.status = 'matched'",
-        "known_in": "SELECT k.* FROM known k JOIN cases_in c ON c.case_id = k.case_id",
-    }
+# cases come from the classified intake, and only matched ones are retrieved for
+_OF_INTAKE = {
+    "fx_cases": "SELECT case_id, grievance_type FROM labelled WHERE grievance_type <> 'unsupported'",
+    "status": _STATUS,
+    "cases_in": "SELECT c.* FROM fx_cases c JOIN status s ON s.case_id = c.case_id AND s.status = 'matched'",
+    "known_in": "SELECT k.* FROM known k JOIN cases_in c ON c.case_id = k.case_id",
 }
 
+REPLACED: dict[str, dict[str, str]] = {"case_runs": _OF_INTAKE, "stored_case_runs": _OF_INTAKE}
+
 
 def _needed(text: str, relations: dict[str, str]) -> list[str]:
     """Relations a text uses, dependencies first."""

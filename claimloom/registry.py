@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -28,7 +30,7 @@ from claimloom.plans import cases as case_plan
 from claimloom.plans import refresh as refresh_plan
 from claimloom.plans import regulations
 from claimloom.session import materialise, pin_semantics
-from claimloom.sources import extraction
+from claimloom.sources import extraction, snapshots, tables
 
 def as_of() -> Column:
     """The clock of every query."""
@@ -48,6 +50,10 @@ class Inputs:
         # where shared intermediate results go, if the session names a folder
         self.folder = spark.conf.get("spark.checkpoint.dir", None)
 
+    def new_folder(self, name: str) -> str:
+        """A folder for tables that a query writes and reads back."""
+        return f"{self.folder or tempfile.mkdtemp(prefix='claimloom-')}/{name}-{uuid.uuid4().hex}"
+
     def view(self, name: str) -> DataFrame:
         return fx.view(self.spark, self.sf_dir, name)
 
@@ -598,3 +604,66 @@ def case_runs(i: Inputs) -> DataFrame:
     )
     lists = {c: F.array_join(c, ",") for c in ("missing_fields", "missing_critical_fields")}
     return runs.drop("created_at").withColumns(lists)
+
+
+# ---- tables, files and SQL functions: what is written is read back ------------------
+
+
+@query
+def stored_flights(i: Inputs) -> DataFrame:
+    """A table replaced by its refreshed version; readers get the newest."""
+    folder = i.new_folder("flights")
+    tables.replace_table(i.view("fx_flights"), folder)
+    before = tables.read_table(i.spark, folder)
+    tables.replace_table(flights.refresh_flights(before, i.view("fx_status"), as_of()), folder)
+    return tables.read_table(i.spark, folder)
+
+
+@query
+def updated_flights(i: Inputs) -> DataFrame:
+    """The same by a keyed update, which writes only the pieces with refreshed flights."""
+    folder = i.new_folder("keyed")
+    tables.write_keyed(i.view("fx_flights"), folder, "flight_number")
+    before = tables.read_table(i.spark, folder, 0)
+    outcomes = flights.due_outcomes(before, i.view("fx_status"), as_of())
+    changed = outcomes.where("outcome = 'success'").select("flight_number")
+    tables.update_table(
+        folder, 0, before, changed, "flight_number", lambda part: flights.apply_status(part, outcomes, as_of())
+    )
+    return tables.read_table(i.spark, folder, 1).drop("piece")
+
+
+@query
+def stored_case_runs(i: Inputs) -> DataFrame:
+    """The case-run table after a batch has been stored twice."""
+    folder = i.new_folder("case_runs")
+    runs = case_plan.run_cases(
+        i.view("fx_intake"), i.facts, i.required, i.rules, i.conditions, as_of(), folder=i.folder
+    )
+    for _ in range(2):
+        tables.append_case_runs(runs, folder, "first")
+    return tables.read_case_runs(i.spark, folder).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query
+def snapshots_read(i: Inputs) -> DataFrame:
+    folder = i.new_folder("snapshots")
+    snapshots.write_snapshots(i.view("fx_status"), folder)
+    return snapshots.read_snapshots(i.spark, folder)
+
+
+@query
+def ai_extract_sql(i: Inputs) -> DataFrame:
+    """The SQL extraction function over whole texts, its answer addressed by path."""
+    sql_functions.register_ai_extract(
+        i.spark,
+        lambda text, schema, options: {"length": len(text), "asked": sorted(schema), "version": options["version"]},
+        "claimloom_ai_extract",
+    )
+    call = """claimloom_ai_extract(text, '{"length": "int"}', map('version', '2.0'))"""
+    found = table_of(i, "documents").withColumn("e", F.expr(f"parse_json({call})"))
+    return found.selectExpr("doc_id", "e:response.length::BIGINT AS length", "e:response.asked[0]::STRING AS asked", "e:response.version::STRING AS version")
+
+
+def table_of(i: Inputs, name: str) -> DataFrame:
+    return fx.table(i.spark, i.sf_dir, name)

@@ -15,6 +15,13 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(folder)
 
 
+def write_snapshots(snapshots: DataFrame, folder: str) -> None:
+    """Snapshots in the form they are read, with times to the microsecond."""
+    columns = ("seq", "flight_number", "observed_at", "response_json")
+    exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    snapshots.select(*columns).write.option("timestampNTZFormat", exact).json(folder)
+
+
 def stream_snapshots(
     spark: SparkSession, folder: str, files_per_batch: int = 1000
 ) -> DataFrame:

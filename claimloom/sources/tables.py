@@ -1,13 +1,16 @@
 """Tables in a folder of parquet files, without an updatable table format.
 
-A table that is replaced or updated is written as a new version folder; readers take
-the newest complete one, so a path being read is never overwritten and a lost executor
+A table that is replaced or updated is written as a new version folder; readers take the
+newest complete one (catalogs with an updatable format have MERGE for this), so a path being read is never overwritten and a lost executor
 only costs a retried task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed value: columns of the case-run table.
@@ -71,6 +74,59 @@ def replace_table(df: DataFrame, folder: str, version: int | None = None) -> int
     return version
 
 
+#: Pieces a keyed table is written in; an update rewrites the pieces with changed keys.
+PIECES = 64
+
+
+def _piece(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PIECES)).cast("int")
+
+
+def write_keyed(df: DataFrame, folder: str, key: str, version: int = 0) -> None:
+    """Write a version in pieces by a hash of the key, ready for update_table."""
+    df.withColumn("piece", _piece(key)).write.mode("overwrite").partitionBy("piece").parquet(
+        f"{folder}/version={version}"
+    )
+
+
+def update_table(
+    folder: str,
+    version: int,
+    table: DataFrame,
+    changed: DataFrame,
+    key: str,
+    update: Callable[[DataFrame], DataFrame],
+) -> None:
+    """Write version + 1 of a keyed table: pieces that hold a changed key are computed
+    anew by `update`, the others are copied without being read as rows.
+
+    Of `changed` at most PIECES numbers reach the driver.
+    """
+    spark = table.sparkSession
+    touched = sorted(r[0] for r in changed.select(_piece(key)).distinct().collect())
+    target = f"{folder}/version={version + 1}"
+    rows = table.drop("piece").withColumn("piece", _piece(key)).where(F.col("piece").isin(touched))
+    update(rows).write.mode("overwrite").partitionBy("piece").parquet(target)
+    jvm, fs = _filesystem(spark, folder)
+    path, conf = jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for status in fs.globStatus(path(f"{folder}/version={version}/piece=*")) or []:
+        name = status.getPath().getName()
+        if int(name.split("=")[1]) not in touched:
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, status.getPath(), fs, path(f"{target}/{name}"), False, True, conf)
+
+
+def retire_versions(spark: SparkSession, folder: str, keep: int) -> None:
+    """Delete all but the newest versions of a table."""
+    jvm, fs = _filesystem(spark, folder)
+    for version in versions(spark, folder)[:-keep]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/version={version}"), True)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    jvm, fs = _filesystem(spark, folder)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
+
+
 def case_run_rows(runs: DataFrame) -> DataFrame:
     """The matched runs, in the columns of the case-run table."""
     return runs.where("status = 'matched'").select(
@@ -78,11 +134,13 @@ def case_run_rows(runs: DataFrame) -> DataFrame:
     )
 
 
-def append_case_runs(runs: DataFrame, folder: str) -> None:
-    """Append matched runs, partitioned by the day they were made."""
-    (
-        case_run_rows(runs).selectExpr("*", "to_date(created_at) AS run_date")
-        .write.mode("append")
-        .partitionBy("run_date")
-        .parquet(folder)
-    )
+def append_case_runs(runs: DataFrame, folder: str, batch: str) -> None:
+    """Add the matched runs of one batch, which has a folder of its own: storing a batch
+    again replaces its rows instead of adding them twice."""
+    case_run_rows(runs).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+
+def read_case_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """All stored runs with the batch that added them."""
+    schema = T.StructType([*CASE_RUNS.fields, T.StructField("batch", T.StringType())])
+    return spark.read.schema(schema).parquet(folder)

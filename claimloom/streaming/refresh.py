@@ -2,57 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from claimloom.operators import flights as op
-from claimloom.sources.tables import read_table, replace_table, versions
+from claimloom.sources.tables import read_table, replace_table, retire_versions, update_table, versions
 
 
-def start_refresh(
-    snapshots: DataFrame,
-    flights_folder: str,
-    status_folder: str,
-    log_folder: str,
-    clock: Callable[[int], str],
-    checkpoint: str,
-) -> StreamingQuery:
-    """Refresh due flights once per batch of snapshots, until none are waiting.
+def collect_status(snapshots: DataFrame, status_folder: str, checkpoint: str) -> None:
+    """Take in all waiting snapshots, batch by batch, and keep the newest of every flight.
 
-    Version 0 of the flight table must exist. Batch n turns version n into n + 1 and
-    takes its time from clock(n), so running a batch again gives the same tables. The
-    newest snapshot per flight is kept as a table of its own: one that arrives late does
-    not replace a newer one.
+    Batch n turns version n of the status table into n + 1, so running a batch again gives
+    the same table. A snapshot that arrives late does not replace a newer one.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        as_of: Column = F.lit(clock(batch_id)).cast("timestamp_ntz")
         seen = batch.select("flight_number", "seq", "observed_at", "response_json")
         if batch_id in versions(spark, status_folder):
             seen = seen.unionByName(read_table(spark, status_folder, batch_id))
-        newest = (
-            seen.groupBy("flight_number")
-            .agg(
-                F.max_by(F.struct("seq", "observed_at", "response_json"), F.struct("observed_at", "seq")).alias("s")
-            )
-            .select("flight_number", "s.*")
-        )
-        replace_table(newest, status_folder, batch_id + 1)
-        status = read_table(spark, status_folder, batch_id + 1)
-        flights = read_table(spark, flights_folder, batch_id)
-        outcomes = op.due_outcomes(flights, status, as_of)
-        op.refresh_log(flights, outcomes, as_of).write.mode("overwrite").parquet(
-            f"{log_folder}/batch={batch_id}"
-        )
-        replace_table(op.apply_status(flights, outcomes, as_of), flights_folder, batch_id + 1)
-
-    return (
+        newest = F.max_by(F.struct("seq", "observed_at", "response_json"), F.struct("observed_at", "seq"))
+        kept = seen.groupBy("flight_number").agg(newest.alias("s")).select("flight_number", "s.*")
+        replace_table(kept, status_folder, batch_id + 1)
+        retire_versions(spark, status_folder, keep=2)
+
+    (
         snapshots.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
+        .awaitTermination()
+    )
+
+
+def refresh_run(
+    snapshots: DataFrame,
+    flights_folder: str,
+    status_folder: str,
+    log_folder: str,
+    run: int,
+    as_of: str,
+    checkpoint: str,
+) -> None:
+    """One run of the refresh: take in what has arrived, then update the due flights once.
+
+    Run n reads version n of the flight table and writes version n + 1. The due rows are
+    those at `as_of`, the run's one clock, so the result does not depend on how the
+    snapshots fell into batches, and running it again gives the same tables. Only the
+    partitions of flights that changed are written; the others are taken over as they are.
+    """
+    spark = snapshots.sparkSession
+    clock = F.lit(as_of).cast("timestamp_ntz")
+    collect_status(snapshots, status_folder, checkpoint)
+    flights = read_table(spark, flights_folder, run)
+    status = read_table(spark, status_folder)
+    outcomes = op.due_outcomes(flights, status, clock)
+    op.refresh_log(flights, outcomes, clock).write.mode("overwrite").parquet(f"{log_folder}/run={run}")
+    changed = outcomes.where("outcome = 'success'").select("flight_number")
+    update_table(
+        flights_folder, run, flights, changed, "flight_number", lambda part: op.apply_status(part, outcomes, clock)
     )
+    retire_versions(spark, flights_folder, keep=2)

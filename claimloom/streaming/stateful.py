@@ -1,12 +1,15 @@
 """Dialogue state and entitlement changes over streams, one small state per key.
 
-Both need the RocksDB state store (session.ROCKSDB_PROVIDER).
+Both need the RocksDB state store (session.ROCKSDB_PROVIDER). Their state expires by the
+clock, for which Spark keeps running empty batches; a run over what is available now ends
+only with spark.sql.streaming.noDataMicroBatches.enabled set to false.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,46 +19,63 @@ from claimloom.functions.vocabulary import GRIEVANCE_TYPES
 from claimloom.operators import dialogue, flights
 from claimloom.operators.messages import answers, classify_by_keywords
 
-MAX_FIELDS = 10_000
+#: State of a key that has been silent this long is dropped, and later rows are too late.
+KEPT_MS = 30 * 24 * 3600 * 1000
+CHUNK = 10_000
 
 
 class DialogueProcessor(StatefulProcessor):
-    """Applies each message's move table to the conversation's state."""
+    """Applies each message's move table to the conversation's state.
+
+    A conversation silent for `kept_ms` is forgotten.
+    """
+
+    def __init__(self, kept_ms: int = KEPT_MS):
+        self.kept_ms = kept_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", "state int")
+        self.current = handle.getValueState("current", "state int", ttlDurationMs=self.kept_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.current.get() if self.current.exists() else None
         state = held[0] if held else dialogue.INITIAL
-        arrived = pd.concat(list(rows)).sort_values("turn")
-        met = []
-        for moves in arrived["moves"]:
-            met.append((state, int(moves[state])))
-            state = met[-1][1]
+        turns, tables = [], []
+        for arrived in rows:  # a few bytes per message of the micro-batch are kept, to order them
+            turns.append(arrived["turn"].to_numpy())
+            tables.append(np.stack(arrived["moves"].to_numpy()).astype(np.int8))
+        turns, tables = np.concatenate(turns), np.concatenate(tables)
+        order = np.argsort(turns, kind="stable")
+        met = np.empty(len(order) + 1, np.int32)
+        met[0] = state
+        for n, at in enumerate(order.tolist()):
+            met[n + 1] = tables[at, met[n]]
+        state = int(met[-1])
+        for n in range(0, len(order), CHUNK):
+            at = order[n : n + CHUNK]
+            yield pd.DataFrame(
+                {"conv_id": [key[0]] * len(at), "turn": turns[at], "before": met[n : n + len(at)], "after": met[n + 1 : n + 1 + len(at)]}
+            )
         self.current.update((state,))
-        yield pd.DataFrame(
-            {
-                "conv_id": key[0],
-                "turn": arrived["turn"].to_numpy(),
-                "before": [b for b, _ in met],
-                "after": [a for _, a in met],
-            }
-        )
 
     def close(self) -> None:
         pass
 
 
 class PreviousDelay(StatefulProcessor):
-    """Adds the delay of the flight's preceding snapshot; late snapshots are dropped."""
+    """Adds the delay of the flight's preceding snapshot; one older than the last is dropped."""
+
+    def __init__(self, kept_ms: int = KEPT_MS):
+        self.kept_ms = kept_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "observed_at timestamp_ntz, seq bigint, delay int")
+        self.last = handle.getValueState(
+            "last", "observed_at timestamp_ntz, seq bigint, delay int", ttlDurationMs=self.kept_ms
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.last.get() if self.last.exists() else None
-        arrived = pd.concat(list(rows)).sort_values(["observed_at", "seq"])
+        # three numbers per snapshot of the micro-batch, to order them
+        arrived = pd.concat([r[["observed_at", "seq", "delay"]] for r in rows]).sort_values(["observed_at", "seq"])
         if held:
             newer = arrived["observed_at"] > held[0]
             same = (arrived["observed_at"] == held[0]) & (arrived["seq"] > held[1])
@@ -66,61 +86,63 @@ class PreviousDelay(StatefulProcessor):
         if held:
             before.iloc[0] = held[2]
         newest = arrived.iloc[-1]
-        self.last.update(
-            (newest["observed_at"].to_pydatetime(), int(newest["seq"]), int(newest["delay"]))
-        )
-        yield arrived.assign(flight_number=key[0], previous=before)[
+        self.last.update((newest["observed_at"].to_pydatetime(), int(newest["seq"]), int(newest["delay"])))
+        found = arrived.assign(flight_number=key[0], previous=before)[
             ["flight_number", "seq", "observed_at", "delay", "previous"]
         ]
+        for n in range(0, len(found), CHUNK):
+            yield found.iloc[n : n + CHUNK]
 
     def close(self) -> None:
         pass
 
 
-def _answered_types(text: Column, required: DataFrame) -> Column:
-    """Types all of whose fields a message names. The required fields are a question
-    list of checked size and travel as literals, so no join or aggregation is needed
-    inside the stream."""
-    fields = required.select("grievance_type", "field_name").limit(MAX_FIELDS + 1).collect()
-    if len(fields) > MAX_FIELDS:
-        raise ValueError(f"more than {MAX_FIELDS} required fields; use the batch operator")
-    found = answers(text)
+def _answered(messages: DataFrame, required: DataFrame) -> DataFrame:
+    """Add `answered`: the types all of whose fields a message names.
+
+    The required fields are one row of the plan, a map from type to names, joined to the
+    stream as a static table: nothing is collected, and there is no limit to their number.
+    """
+    fields = required.where(F.col("grievance_type").isin(*GRIEVANCE_TYPES)).groupBy("grievance_type")
+    by_type = fields.agg(F.collect_set("field_name").alias("names")).agg(
+        F.map_from_entries(F.collect_list(F.struct("grievance_type", "names"))).alias("fields")
+    )
+    found = answers(F.col("text"))
     exact = F.transform(found["pairs"], lambda p: p["name"])
     spaced = F.when(found["from_json"], F.array().cast("array<string>")).otherwise(
         F.transform(found["pairs"], lambda p: F.lower(p["name"]))
     )
-    full = []
-    for t in GRIEVANCE_TYPES:
-        names = [r["field_name"] for r in fields if r["grievance_type"] == t]
-        named = [
-            F.array_contains(exact, n) | F.array_contains(spaced, n.replace("_", " ").lower())
-            for n in names
-        ]
-        all_named = F.lit(True)
-        for one in named:
-            all_named = all_named & one
-        full.append(F.when(all_named, F.lit(t)))
-    return F.array_compact(F.array(*full))
+    rows = messages.withColumns({"exact": exact, "spaced": spaced, "one": F.lit(1)})
+
+    def full(kind: Column) -> Column:
+        names = F.coalesce(F.try_element_at("fields", kind), F.array().cast("array<string>"))
+        plain = lambda n: F.lower(F.replace(n, F.lit("_"), F.lit(" ")))
+        return F.forall(names, lambda n: F.array_contains("exact", n) | F.array_contains("spaced", plain(n)))
+
+    # one row on the right: every message meets it once
+    joined = rows.join(F.broadcast(by_type.withColumn("one", F.lit(1))), "one")
+    kinds = F.array(*(F.lit(t) for t in GRIEVANCE_TYPES))
+    return joined.withColumn("answered", F.filter(kinds, full)).drop("exact", "spaced", "one", "fields")
 
 
 def dialogue_stream(
     messages: DataFrame,
     required: DataFrame,
     classify: Callable[[Column], Column] = classify_by_keywords,
+    kept_ms: int = KEPT_MS,
 ) -> DataFrame:
     """Streaming form of operators.dialogue.dialogue_states. Messages of a conversation
-    must arrive in order of their batches."""
-    text = F.col("text")
-    steps = dialogue.user_messages(messages).select(
-        "conv_id",
-        "turn",
-        dialogue.moves(classify(text), _answered_types(text, required)).alias("moves"),
+    must arrive in order. Ids and turns may be of any type. A conversation that has been
+    silent for `kept_ms` starts anew."""
+    types = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
+    steps = _answered(dialogue.user_messages(messages), required).select(
+        "conv_id", "turn", dialogue.moves(classify(F.col("text")), F.col("answered")).alias("moves")
     )
     walked = steps.groupBy("conv_id").transformWithStateInPandas(
-        DialogueProcessor(),
-        outputStructType="conv_id bigint, turn bigint, before int, after int",
+        DialogueProcessor(kept_ms),
+        outputStructType=f"conv_id {types['conv_id']}, turn {types['turn']}, before int, after int",
         outputMode="append",
-        timeMode="none",
+        timeMode="processingTime",
     )
     before, after = F.col("before"), F.col("after")
     return walked.select(
@@ -134,19 +156,38 @@ def dialogue_stream(
     )
 
 
-def entitlement_stream(snapshots: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Streaming form of operators.flights.entitlement_changes."""
+def entitlement_stream(
+    snapshots: DataFrame, thresholds: DataFrame, late: str = "2 hours", kept_ms: int = KEPT_MS
+) -> DataFrame:
+    """Streaming form of operators.flights.entitlement_changes.
+
+    Snapshots of a flight must arrive in order; one more than `late` behind the newest is
+    dropped by the watermark, and a flight silent for `kept_ms` is forgotten.
+    """
+    at = F.col("observed_at").cast("timestamp")
     steps = (
         flights.decode_status(snapshots)
         .where("outcome = 'success'")
-        .select("flight_number", "seq", "observed_at", F.col("new_delay").alias("delay"))
+        .withColumn("event_time", at)
+        .withWatermark("event_time", late)
+        .select("flight_number", "seq", "observed_at", F.col("new_delay").alias("delay"), "event_time")
         .groupBy("flight_number")
         .transformWithStateInPandas(
-            PreviousDelay(),
+            PreviousDelay(kept_ms),
             outputStructType="flight_number string, seq bigint, observed_at timestamp_ntz, "
             "delay int, previous int",
             outputMode="append",
-            timeMode="none",
+            timeMode="processingTime",
         )
     )
-    return flights.gained_entitlements(steps, thresholds)
+    # a step meets the thresholds within its row: there is no state beyond the flight's
+    least = thresholds.groupBy("entitlement").agg(F.min("min_delay_minutes").alias("least"))
+    table = least.agg(F.collect_list(F.struct("least", "entitlement")).alias("marks")).withColumn("one", F.lit(1))
+    joined = steps.withColumn("one", F.lit(1)).join(F.broadcast(table), "one")
+    gained = F.filter(
+        "marks",
+        lambda m: (m["least"] <= F.col("delay")) & (F.col("previous").isNull() | (F.col("previous") < m["least"])),
+    )
+    return joined.select(
+        "flight_number", "seq", "observed_at", F.explode(F.transform(gained, lambda m: m["entitlement"])).alias("gained")
+    )

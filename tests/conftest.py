@@ -16,6 +16,8 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    # a stream whose state expires by the clock would go on with empty batches for ever
+    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     yield session
     session.stop()
 

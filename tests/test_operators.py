@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from claimloom.functions import sql as sql_functions
 from claimloom.functions import text as text_functions
 from claimloom.operators import dialogue, envelope, facts, flights, gold, letters, messages, rules
+from claimloom.operators import messages as op_messages
 from claimloom.plans import cases as case_plan
+from claimloom.session import materialise
 from claimloom.sources import extraction, tables
 
 
@@ -103,10 +106,8 @@ def test_json_round_trip(spark):
 def test_extraction_stage(spark):
     docs = spark.createDataFrame([("a", "ok"), ("b", None)], "path string, parsed string")
 
-    def extractor(text):
-        if not text:
-            raise ValueError("empty")
-        return {"document_id": text}
+    def extractor(texts):
+        return [{"document_id": text} if text else "empty" for text in texts]
 
     got = rows(envelope.decode_envelopes(extraction.extract_documents(docs, extractor)).select("path", "error_message", "resp.document_id"))
     assert got == [("a", None, "ok"), ("b", "empty", None)]
@@ -162,6 +163,7 @@ def test_facts_overrides(spark):
         ("<", "3", None, 1), ("<", "3", "  ", 1), ("<=", "x", "1", 1), (">", " 2 ", " 3 ", 2),
         ("=", "4", "4.0", 2), ("=", "Yes", " yes ", 2), ("!=", "4", "4.0", 0), ("!=", "a", "b", 2),
         ("in", "a, B ,c", "b", 2), ("in", "a,b", "d", 0), ("is_true", None, "YES", 2),
+        ("=>", "3", "4", 1), (">=", "3", "\t4", 2), ("in", "a,\u00a0b", " B", 2),
         ("is_true", None, "no", 0), ("is_true", None, "perhaps", 1), ("is_false", None, "false", 2),
     ],
 )
@@ -248,18 +250,70 @@ def test_refresh_is_idempotent_and_keeps_no_data(spark):
 
 
 @pytest.mark.parametrize("previous", [None, "previous"])
-def test_range_join_paths_agree(spark, previous):
+@pytest.mark.parametrize("kind", ["int", "double"])
+def test_entitlements_equal_plain_comparison(spark, previous, kind):
+    """Any delay of the type, also the extreme ones, against whole and broken thresholds."""
     rng = random.Random(3)
-    thresholds = spark.createDataFrame(
-        [(rng.randint(-50, 300), f"e{n}") for n in range(60)], "min_delay_minutes int, entitlement string"
+    ends = [-(2**31), 2**31 - 1, -1500000000, 1500000000, 0, 100, -1]
+    one = rng.randint if kind == "int" else lambda a, b: rng.uniform(a, b)
+    thresholds = [(float(rng.randint(-50, 300)), f"e{n}") for n in range(40)]
+    thresholds += [(100.5, "half"), (100.5, "half"), (-2e9, "low"), (2147483647.0, "top"), (1e300, "never"), (-1e300, "always"), (None, "x")]
+
+    def value():
+        return rng.choice([None, *(e if kind == "int" else float(e) for e in ends), *(one(-60, 400) for _ in range(9))])
+
+    delays = [(n, value(), value()) for n in range(150)]
+    got = flights.entitlements_by_delay(
+        spark.createDataFrame(delays, f"id int, delay {kind}, previous {kind}"),
+        spark.createDataFrame(thresholds, "min_delay_minutes double, entitlement string"),
+        previous,
     )
-    delays = spark.createDataFrame(
-        [(n, rng.choice([None, rng.randint(-60, 400)]), rng.choice([None, rng.randint(-60, 400)])) for n in range(200)],
-        "id int, delay int, previous int",
-    )
-    few = rows(flights.entitlements_by_delay(delays, thresholds, previous))
-    many = rows(flights._entitlements_by_blocks(delays, thresholds, previous))
-    assert few == many and few
+    want = [
+        (n, d, b, e)
+        for n, d, b in delays
+        for m, e in thresholds
+        if d is not None and m is not None and d >= m and not (previous and b is not None and b >= m)
+    ]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_conditions_with_unknown_operators_are_reported(spark):
+    conditions = spark.createDataFrame([("r", "k", "=>", "3"), ("r", "k", ">=", "3"), ("q", "k", None, "1")], "rule_id string, fact_key string, op string, operand string")
+    assert rows(rules.invalid_conditions(conditions).select("rule_id", "op")) == [("q", None), ("r", "=>")]
+
+
+def test_small_tables_are_joined_without_hot_keys(spark, sf_dir):
+    """With broadcasts off, no rows meet a table on a key of a few values alone."""
+    from claimloom import registry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("rules_matched", "required_fields_of_case", "missing_fields", "candidate_rules_topk"):
+            plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+            joined = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin) \[(.*?)\]", plan)
+            few = {"scenario_type", "grievance_type", "token", "fact_key"}
+            hot = [k for k in joined if {re.sub(r"#\d+L?", "", c).strip() for c in k.split(",")} <= few - {"token", "fact_key"}]
+            assert not hot, (name, hot)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_intermediate_results_go_only_where_the_caller_says(spark, tmp_path):
+    df = spark.range(3)
+    assert materialise(df, "t", None) is df
+    back = materialise(df, "t", str(tmp_path))
+    assert rows(back) == rows(df) and list(tmp_path.glob("t-*"))
+
+
+@pytest.mark.parametrize("turns", [5, 2500])
+def test_whole_conversations_and_pieces(spark, turns):
+    messages = spark.range(turns).selectExpr("'c' AS conv_id", "id + 1500 AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t\"', id) AS text")
+    whole = op_messages.conversation_requests(messages, [("q", "a")]).collect()
+    assert len(whole) == 1 and len(json.loads(whole[0].request)) == turns + 2
+    assert op_messages.transcripts(messages).first().transcript.count("\n") == turns - 1
+    pieces = op_messages.conversation_requests(messages, [("q", "a")], segment=1000).orderBy("segment").collect()
+    assert [json.loads(p.request)[0]["content"] == "q" for p in pieces] == [True] + [False] * (len(pieces) - 1)
+    assert sum(len(json.loads(p.request)) for p in pieces) == turns + 2
 
 
 # ---- messages and dialogue -------------------------------------------------------
@@ -393,9 +447,9 @@ def test_versions_and_case_runs(spark, tmp_path):
     runs = case_plan.run_cases(intake, given, required, table, conditions, as_of)
     assert rows(runs.select("case_id", "status")) == [(1, "matched"), (2, "unsupported"), (3, "need_more_info")]
     out = str(tmp_path / "runs")
-    tables.append_case_runs(runs, out)
-    tables.append_case_runs(runs, out)
-    stored = spark.read.parquet(out)
-    assert stored.count() == 2
+    for batch in ("one", "two", "two"):  # a batch that is stored again does not count twice
+        tables.append_case_runs(runs, out, batch)
+    stored = tables.read_case_runs(spark, out)
+    assert stored.count() == 2 and {r.batch for r in stored.collect()} == {"one", "two"}
     assert json.loads(stored.first().match_json)["applicable_rule_ids"] == ["r"]
     assert json.loads(stored.first().facts_json) == {"hours": "4"}

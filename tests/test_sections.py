@@ -1,7 +1,6 @@
-"""Sectioning and packing, compared with straightforward sequential code."""
+"""Sectioning and packing: worked examples, and what must hold for any text."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,46 +8,58 @@ from pyspark.sql import functions as F
 from claimloom.functions import vocabulary as v
 from claimloom.operators import sections as op
 
-HEADERS = [
-    (re.compile(r"(?:Section|SECTION|Chapter|CHAPTER)\s+(\d+(?:\.\d+)?)[:\s]*([^\n]+)"), True),
-    (re.compile(r"(\d+\.\d+(?:\.\d+)?)[:\.\s]+([A-Z][^\n]+)"), True),
-    (re.compile(r"([A-Z][A-Z\s]{10,})"), False),
+LINES = [
+    "Section 1: First", "SECTION 2 Second", "Section 34", "Section 3", "Chapter 2.5:\tTail ",
+    "1.2 Alpha", "1.2. Beta", "3.3.2(b) not a header", "4.5.6: Gamma", "1.2 lower",
+    "GENERAL CONDITIONS", "GENERAL CONDITIONS of carriage", "TOO SHORT", "plain words",
+    "  indented ", "", " \t ", " wide\x1c", "a: b", "Section 7 : Odd", "éà",
 ]
 
 
-def fold(text):
-    """id -> [title, lines], built one line after another."""
-    out = {"General": ["General Provisions", []]}
-    current = "General"
-    for line in map(str.strip, text.split("\n")):
-        hit = next(((m, numbered) for p, numbered in HEADERS if (m := p.match(line))), None)
-        if line and hit:
-            m, numbered = hit
-            current = m.group(1) if numbered else f"section_{len(out)}"
-            out[current] = [m.group(2 if numbered else 1).strip(), []]
-        elif line:
-            out[current][1].append(line)
-    return [(k, t, "\n".join(c)) for k, (t, c) in out.items()]
-
-
-def random_text(rng):
-    lines = [
-        "Section 1: First", "SECTION 2 Second", "Section 34", "Section 3", "Chapter 2.5:\tTail ",
-        "1.2 Alpha", "1.2. Beta", "3.3.2(b) not a header", "4.5.6: Gamma", "1.2 lower",
-        "GENERAL CONDITIONS", "GENERAL CONDITIONS of carriage", "TOO SHORT", "plain words",
-        "  indented ", "", " \t ", " wide\x1c", "a: b", "Section 7 : Odd", "éà",
-    ]
-    return "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 40)))
+def sections_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {n: [] for n in range(len(texts))}
+    for r in op.sections(docs).orderBy("doc_id", "position").collect():
+        found[r.doc_id].append(r)
+    return found
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("", [("General", "General Provisions", "")]),
+        ("\n\n", [("General", "General Provisions", "")]),
+        ("intro\nSection 2: Fees\nten\n\neleven", [("General", "General Provisions", "intro"), ("2", "Fees", "ten\neleven")]),
+        # a number that comes again keeps its place and takes the later title and lines
+        ("Section 1: A\nold\n1.2 Other\nx\nSection 1: B\nnew", [("General", "General Provisions", ""), ("1", "B", "new"), ("1.2", "Other", "x")]),
+        # capitals have no number and are named by their place
+        ("GENERAL CONDITIONS\na\nGENERAL CONDITIONS\nb", [("General", "General Provisions", ""), ("section_1", "GENERAL CONDITIONS", "a"), ("section_2", "GENERAL CONDITIONS", "b")]),
+    ],
+)
+def test_worked_examples(spark, text, want):
+    got = [(r.section_id, r.title, r.content) for r in sections_of(spark, [text])[0]]
+    assert got == want
 
 
-def test_sections_equal_fold(spark):
+def test_any_text(spark):
+    """Ids are unique, positions count up, no line is invented, doubled or out of order, and
+    without repeated headers none is lost."""
     rng = random.Random(7)
-    texts = ["", "\n\n", "Section 1: A\nSection 1: B\nx", *(random_text(rng) for _ in range(300))]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {}
-    for r in op.sections(docs).orderBy("doc_id", "position").collect():
-        got.setdefault(r.doc_id, []).append((r.section_id, r.title, r.content))
-    assert got == {i: fold(t) for i, t in enumerate(texts)}
+    texts = ["\n".join(rng.choice(LINES) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    plain = {"plain words", "indented", "a: b", "éà", "TOO SHORT", "Section 3", "1.2 lower", "3.3.2(b) not a header", "wide"}
+    for n, own in sections_of(spark, texts).items():
+        assert [r.position for r in own] == list(range(len(own)))
+        assert len({r.section_id for r in own}) == len(own)
+        assert own[0].section_id == "General"
+        source = [x.strip() for x in texts[n].split("\n") if x.strip()]
+        for r in own:
+            lines = r.content.split("\n") if r.content else []
+            assert set(lines) <= plain
+            rest = iter(source)
+            assert all(x in rest for x in lines)  # a subsequence of the text
+        headers = [x for x in source if x not in plain]
+        if len(headers) == len({r.title for r in own[1:]}) == len(own) - 1:
+            assert sum(len(r.content.split("\n")) if r.content else 0 for r in own) == len(source) - len(headers)
 
 
 @pytest.mark.parametrize(
@@ -68,50 +79,58 @@ def test_header_patterns(spark, line, kind, number, title):
     assert [tuple(r) for r in rows] == ([(kind, number, title)] if kind else [])
 
 
-def score(question, title, content):
-    text = (title + " " + content).lower()
-    total = sum(
-        10 * text.count(k) for g, words in v.SECTION_KEYWORDS.items() if g in question for k in words
-    )
-    return total + sum(text.count(w) for w in question.split() if len(w) > 3)
+def asked(spark, questions):
+    rows = [(n, d, q) for n, (d, q) in enumerate(questions)]
+    return spark.createDataFrame(rows, "query_id long, doc_id long, query string")
 
 
-def pack(question, parts, budget):
-    ranked = sorted(
-        ((score(question, t, c), t, c, k) for k, t, c in parts), key=lambda s: -s[0]
-    )
-    text, ids = v.CONTEXT_HEADING, []
-    for points, title, content, key in ranked:
-        if points == 0 or len(text) >= budget:
-            break
-        block = f"## {title}\n{content}\n\n"
-        if len(text) + len(block) <= budget:
-            text += block
-            ids.append(key)
-    return ",".join(ids), len(text), text + v.CONTEXT_NOTE
+def test_scores_by_hand(spark):
+    """A word of the question counts once per occurrence, a keyword of its group ten times."""
+    docs = spark.createDataFrame([(0, "Section 1: Delay\nzebra zebra\nSection 2: Other\nzebra")], "doc_id long, text string")
+    (word,) = v.SECTION_KEYWORDS["delay"][:1]
+    rows = op.section_scores(asked(spark, [(0, "zebra"), (0, "a zeb"), (0, "xyz delay")]), op.sections(docs)).collect()
+    got = {(r.query_id, r.position): r.score for r in rows}
+    assert got[0, 1] == 2 and got[0, 2] == 1
+    assert not [k for k in got if k[0] == 1]  # words of three letters do not count
+    text = "delay zebra zebra"
+    assert got[2, 1] == 10 * sum(text.count(k) for k in v.SECTION_KEYWORDS["delay"]) + 1
+    assert word
 
 
 @pytest.mark.parametrize("budget", [20, 60, 120, 300, 3000])
-def test_packing_equals_walk(spark, budget):
+def test_packs_are_greedy(spark, budget):
+    """Blocks come by falling score and rising position, fit the budget, and each that was
+    left out while there was room would not have fitted."""
     rng = random.Random(budget)
     words = "refund delay meal bag class hotel zzz late cancel refund".split()
-
-    def text():
-        return "\n".join(
-            rng.choice(["Section %d: %s" % (rng.randint(1, 9), rng.choice(words)),
-                        " ".join(rng.choices(words, k=rng.randint(1, 12)))])
+    texts = [
+        "\n".join(
+            rng.choice([f"Section {rng.randint(1, 9)}: {rng.choice(words)}", " ".join(rng.choices(words, k=rng.randint(1, 12)))])
             for _ in range(rng.randint(1, 40))
         )
-
-    texts = {i: text() for i in range(40)}
-    questions = ["Cancel and refund", "delay hotel hotel", "zzz", "facility of class, downgrade", "hm"]
-    queries = [(i * 10 + n, i, q) for i in texts for n, q in enumerate(questions)]
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    asked = spark.createDataFrame(queries, "query_id long, doc_id long, query string")
-    rows = op.packed_contexts(asked, op.sections(docs), budget).collect()
-    got = {r.query_id: (r.section_ids, r.packed_length, r.context) for r in rows}
-    want = {q: pack(text.lower(), fold(texts[d]), budget) for q, d, text in queries}
-    assert got == want
+        for _ in range(40)
+    ]
+    questions = [(d, q) for d in range(40) for q in ("Cancel and refund", "delay hotel hotel", "zzz", "facility of class, downgrade", "hm")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sections, queries = op.sections(docs).cache(), asked(spark, questions)
+    block = {(r.doc_id, r.position): (r.section_id, f"## {r.title}\n{r.content}\n\n") for r in sections.collect()}
+    ranked = {n: [] for n in range(len(questions))}
+    for r in op.section_scores(queries, sections).collect():
+        ranked[r.query_id].append((-r.score, r.position))
+    for r in op.packed_contexts(queries, sections, budget).collect():
+        order = [block[r.doc_id, place] for _, place in sorted(ranked[r.query_id])]
+        taken = r.section_ids.split(",") if r.section_ids else []
+        assert r.context.startswith(v.CONTEXT_HEADING) and r.context.endswith(v.CONTEXT_NOTE)
+        used = len(v.CONTEXT_HEADING)
+        for key, text in order:
+            if taken and key == taken[0]:
+                assert r.context[used : used + len(text)] == text
+                used, taken = used + len(text), taken[1:]
+            else:
+                assert used + len(text) > budget
+        assert not taken and used == r.packed_length == len(r.context) - len(v.CONTEXT_NOTE)
+        assert r.packed_length <= max(budget, len(v.CONTEXT_HEADING))
+    sections.unpersist()
 
 
 def test_pages(spark):

@@ -1,10 +1,12 @@
 """Streams give what the batch operators give."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom import fixtures as fx
 from claimloom.operators import dialogue, flights, gold
 from claimloom.sources import snapshots as snapshot_source
+from claimloom.plans import refresh as plan
 from claimloom.sources import tables
 from claimloom.streaming import cases as case_stream
 from claimloom.streaming import refresh, stateful
@@ -46,6 +48,30 @@ def test_dialogue_stream_equals_fold(spark, sf_dir, tmp_path):
     assert {"initial", "awaiting_fields", "completed"} <= {r[3] for r in got}
 
 
+def test_dialogue_stream_takes_text_ids(spark, sf_dir, tmp_path):
+    required = gold.required_fields(fx.view(spark, sf_dir, "fx_required_raw"))
+    messages = fx.view(spark, sf_dir, "fx_messages").withColumn("conv_id", F.concat(F.lit("a-"), F.col("conv_id")))
+    messages.coalesce(1).write.json(str(tmp_path / "messages"))
+    stream = spark.readStream.schema(messages.schema).json(str(tmp_path / "messages"))
+    run_to_memory(stateful.dialogue_stream(stream, required), "text_ids_out", str(tmp_path / "cp"))
+    assert as_set(spark.table("text_ids_out")) == as_set(dialogue.dialogue_states(messages, required))
+
+
+def test_silent_conversations_are_forgotten(spark, sf_dir, tmp_path):
+    required = gold.required_fields(fx.view(spark, sf_dir, "fx_required_raw"))
+    messages = fx.view(spark, sf_dir, "fx_messages")
+    for name, kept in (("kept_out", 3_600_000), ("short_out", 1)):
+        folder = str(tmp_path / name)
+        write_snapshots(messages, folder, "turn", [0, 3, 100])
+        stream = (
+            spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", "true").json(folder)
+        )
+        run_to_memory(stateful.dialogue_stream(stream, required, kept_ms=kept), name, str(tmp_path / f"cp-{name}"))
+    anew = spark.table("short_out").where("turn >= 3 AND state_before = 'awaiting_fields'").count()
+    assert anew < spark.table("kept_out").where("turn >= 3 AND state_before = 'awaiting_fields'").count()
+
+
 def test_entitlement_stream_equals_batch(spark, sf_dir, tmp_path):
     status = fx.view(spark, sf_dir, "fx_status")
     thresholds = fx.view(spark, sf_dir, "fx_thresholds")
@@ -84,33 +110,53 @@ def test_case_run_stream(spark, tmp_path):
         spark.readStream.schema(intake.schema).option("maxFilesPerTrigger", 1)
         .option("recursiveFileLookup", "true").json(folder)
     )
-    out = str(tmp_path / "runs")
+    out, told, scratch = (str(tmp_path / n) for n in ("runs", "told", "scratch"))
     for checkpoint in ("a", "b"):  # the second run repeats both batches
         case_stream.start_case_runs(
-            stream, required, rules, conditions, out, lambda n: fx.AS_OF, str(tmp_path / checkpoint)
+            stream, required, rules, conditions, out, told, lambda n: fx.AS_OF, str(tmp_path / checkpoint), folder=scratch
         ).awaitTermination()
-    stored = spark.read.parquet(out)
+    stored = tables.read_case_runs(spark, out)
     got = as_set(stored.selectExpr("session_id", "get_json_object(match_json, '$.applicable_rule_ids')"))
     assert got == {("s1", '["r"]'), ("s4", "[]")} and stored.count() == 2
+    # everyone is told something, also without a match
+    status = as_set(spark.read.parquet(told).selectExpr("session_id", "status", "array_join(missing_critical_fields, ',')"))
+    assert status == {("s1", "matched", ""), ("s4", "matched", ""), ("s2", "need_more_info", "hours"), ("s3", "unsupported", "")}
+    # what a batch wrote on the way is gone
+    assert not list((tmp_path / "scratch").rglob("*.parquet"))
 
 
-def test_refresh_stream(spark, sf_dir, tmp_path):
+@pytest.mark.parametrize("files_per_batch", [1, 1000])
+def test_refresh_does_not_depend_on_batches(spark, sf_dir, tmp_path, files_per_batch):
     tracked = fx.view(spark, sf_dir, "fx_flights")
     status = fx.view(spark, sf_dir, "fx_status")
-    folders = {n: str(tmp_path / n) for n in ("flights", "status", "log", "cp", "in")}
-    tables.replace_table(tracked, folders["flights"], 0)
-    status.coalesce(1).write.json(folders["in"])
-
-    def run(checkpoint):
-        refresh.start_refresh(
-            snapshot_source.stream_snapshots(spark, folders["in"]),
-            folders["flights"], folders["status"], folders["log"], lambda n: fx.AS_OF, checkpoint,
-        ).awaitTermination()
-        return as_set(tables.read_table(spark, folders["flights"], 1).select(sorted(tracked.columns)))
-
+    folders = {n: str(tmp_path / n) for n in ("flights", "status", "log", "in")}
+    tables.write_keyed(tracked, folders["flights"], "flight_number")
+    write_snapshots(status, folders["in"], "seq", [0, 200, 600, 100000])
     as_of = F.lit(fx.AS_OF).cast("timestamp_ntz")
-    want = as_set(flights.refresh_flights(tracked, status, as_of).select(sorted(tracked.columns)))
-    assert run(folders["cp"]) == want
-    # the same batch again, as after a lost checkpoint, changes nothing
-    assert run(folders["cp"] + "2") == want
-    assert tables.versions(spark, folders["flights"]) == [0, 1]
+    columns = sorted(tracked.columns)
+    want = as_set(flights.refresh_flights(tracked, status, as_of).select(columns))
+    log = as_set(plan.refresh(tracked, status, as_of)[1])
+    for checkpoint in ("cp", "cp2"):  # the second one repeats the run, as after a lost checkpoint
+        stream = snapshot_source.stream_snapshots(spark, folders["in"] + "/*", files_per_batch)
+        refresh.refresh_run(
+            stream, folders["flights"], folders["status"], folders["log"], 0, fx.AS_OF, str(tmp_path / checkpoint)
+        )
+        assert as_set(tables.read_table(spark, folders["flights"], 1).select(columns)) == want
+        assert as_set(spark.read.parquet(folders["log"] + "/run=0")) == log
+    assert {r[2] for r in log} == {"success", "no_data", "failed"}
+    assert len(tables.versions(spark, folders["status"])) <= 2
+
+
+def test_update_leaves_unchanged_pieces_alone(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    table = spark.range(500).selectExpr("concat('F', id) AS k", "id AS v")
+    tables.write_keyed(table, folder, "k")
+    changed = spark.createDataFrame([("F7",)], "k string")
+    read = tables.read_table(spark, folder, 0)
+    tables.update_table(folder, 0, read, changed, "k", lambda part: part.withColumn("v", F.expr("if(k = 'F7', -1, v)")))
+    after = tables.read_table(spark, folder, 1)
+    assert as_set(after.select("k", "v")) == {(f"F{n}", -1 if n == 7 else n) for n in range(500)}
+    files = lambda n: {(p.parent.name, p.name) for p in (tmp_path / "t" / f"version={n}").rglob("*.parquet")}
+    assert len({piece for piece, _ in files(1) - files(0)}) == 1 < len({piece for piece, _ in files(1)})
+    tables.retire_versions(spark, folder, keep=1)
+    assert tables.versions(spark, folder) == [1]
