@@ -136,7 +136,9 @@ SELECT CAST(floor(event_id / 8) AS BIGINT) AS case_id,
             WHEN event_id % 8 >= 6 THEN 'fact_' || CAST(user_id % 6 AS STRING)
             ELSE ' FACT_' || CAST(user_id % 6 AS STRING) END AS fact_key,
        CASE event_id % 10 WHEN 0 THEN '   ' WHEN 1 THEN NULL WHEN 2 THEN 'yes' WHEN 3 THEN 'false'
-                          ELSE ' ' || CAST(event_id % 50 AS STRING) END AS value
+                          ELSE ' ' || CAST(event_id % 50 AS STRING) END AS value,
+       CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type || ' at ' || CAST(event_id AS STRING) END AS evidence_span,
+       CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS confidence
 FROM events
 """
 

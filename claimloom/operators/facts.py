@@ -2,7 +2,8 @@
 
 Inputs: cases(case_id, grievance_type), facts(case_id, pos, origin, fact_key, value)
 with origin 'message' (extracted) or 'extra' (given by the caller), and the
-required-fields table.
+required-fields table. Facts may bring evidence_span and confidence, which stay with
+their value.
 """
 
 from __future__ import annotations
@@ -15,18 +16,27 @@ from claimloom.operators.joins import spread_join
 from claimloom.operators.messages import answer_pairs
 
 
+EVIDENCE = ("evidence_span", "confidence")
+
+
+def _with_evidence(facts: DataFrame) -> DataFrame:
+    missing = {c: F.lit(None).cast("string") for c in EVIDENCE if c not in facts.columns}
+    return facts.withColumns(missing) if missing else facts
+
+
 def required_fields_of_cases(cases: DataFrame, required: DataFrame) -> DataFrame:
     return spread_join(cases, required, ["grievance_type"], "case_id")
 
 
 def _clean_message_facts(facts: DataFrame) -> DataFrame:
-    return facts.where(
+    return _with_evidence(facts).where(
         (F.col("origin") == "message") & ~is_blank(F.col("value"))
     ).select(
         "case_id",
         "pos",
         F.lower(strip(F.coalesce("fact_key", F.lit("")))).alias("fact_key"),
         strip(F.col("value")).alias("value"),
+        *EVIDENCE,
     )
 
 
@@ -47,11 +57,12 @@ def allowed_facts(cases: DataFrame, facts: DataFrame, required: DataFrame) -> Da
     allowed = required.select("grievance_type", F.col("field_name").alias("fact_key"))
     return spread_join(
         _clean_message_facts(facts).join(cases, "case_id"), allowed.distinct(), ["grievance_type", "fact_key"], "case_id"
-    ).select("grievance_type", "fact_key", "case_id", "pos", "value")
+    ).select("grievance_type", "fact_key", "case_id", "pos", "value", *EVIDENCE)
 
 
 def known_facts(cases: DataFrame, facts: DataFrame, required: DataFrame) -> DataFrame:
-    """(case_id, grievance_type, fact_key, value, origin): one row per known key.
+    """(case_id, grievance_type, fact_key, value, origin, evidence_span, confidence): one
+    row per known key.
 
     The last extracted value wins, and an extra fact replaces an extracted one, even
     with a blank value. Extra facts are neither normalised nor checked. Whether a key
@@ -59,16 +70,17 @@ def known_facts(cases: DataFrame, facts: DataFrame, required: DataFrame) -> Data
     per (case, key), which Spark does before the shuffle, and then checked.
     """
     message = _clean_message_facts(facts).withColumn("from_extra", F.lit(0))
-    extra = facts.where("origin = 'extra' AND fact_key IS NOT NULL").select(
-        "case_id", "pos", "fact_key", "value", F.lit(1).alias("from_extra")
+    extra = _with_evidence(facts).where("origin = 'extra' AND fact_key IS NOT NULL").select(
+        "case_id", "pos", "fact_key", "value", *EVIDENCE, F.lit(1).alias("from_extra")
     )
     latest = (
         message.unionByName(extra)
         .groupBy("case_id", "fact_key")
         .agg(
-            F.max_by("value", F.struct("from_extra", "pos")).alias("value"),
+            F.max_by(F.struct("value", *EVIDENCE), F.struct("from_extra", "pos")).alias("last"),
             F.max("from_extra").alias("from_extra"),
         )
+        .select("case_id", "fact_key", "last.*", "from_extra")
     )
     allowed = required.select(
         "grievance_type", F.col("field_name").alias("fact_key"), F.lit(True).alias("allowed")
@@ -82,6 +94,7 @@ def known_facts(cases: DataFrame, facts: DataFrame, required: DataFrame) -> Data
             "fact_key",
             "value",
             F.when(F.col("from_extra") == 1, "extra").otherwise("message").alias("origin"),
+            *EVIDENCE,
         )
     )
 

@@ -95,7 +95,8 @@ FROM rules_best
 """
 
 R["allowed"] = """
-SELECT f.case_id, c.grievance_type, lower(trim(f.fact_key)) AS fact_key, trim(f.value) AS value, f.pos
+SELECT f.case_id, c.grievance_type, lower(trim(f.fact_key)) AS fact_key, trim(f.value) AS value, f.pos,
+       f.evidence_span, f.confidence
 FROM fx_facts_raw f JOIN fx_cases c ON c.case_id = f.case_id
 WHERE f.origin = 'message' AND f.value IS NOT NULL AND trim(f.value) <> ''
   AND EXISTS (SELECT 1 FROM required r WHERE r.grievance_type = c.grievance_type
@@ -104,13 +105,13 @@ WHERE f.origin = 'message' AND f.value IS NOT NULL AND trim(f.value) <> ''
 
 R["known"] = """
 SELECT case_id, grievance_type, fact_key, value,
-       CASE WHEN pr = 1 THEN 'extra' ELSE 'message' END AS origin
+       CASE WHEN pr = 1 THEN 'extra' ELSE 'message' END AS origin, evidence_span, confidence
 FROM (
   SELECT *, row_number() OVER (PARTITION BY case_id, fact_key ORDER BY pr DESC, pos DESC) AS rn
   FROM (
-    SELECT case_id, grievance_type, fact_key, value, pos, 0 AS pr FROM allowed
+    SELECT case_id, grievance_type, fact_key, value, pos, 0 AS pr, evidence_span, confidence FROM allowed
     UNION ALL
-    SELECT f.case_id, c.grievance_type, f.fact_key, f.value, f.pos, 1
+    SELECT f.case_id, c.grievance_type, f.fact_key, f.value, f.pos, 1, f.evidence_span, f.confidence
     FROM fx_facts_raw f JOIN fx_cases c ON c.case_id = f.case_id WHERE f.origin = 'extra'
   )
 ) WHERE rn = 1
