@@ -29,6 +29,9 @@ def plain(table, items):
             if not own:
                 continue
             want, best = shingles(own), None
+            n = min(5, len(own))
+            if not any(tuple(words[k : k + n]) in want for k in range(len(words) - n + 1)):
+                continue  # nothing shared, so nothing similar
             for k in range(len(words) - len(own) + 1):
                 got = shingles(words[k : k + len(own)])
                 share = sum((want & got).values()) / sum((want | got).values())
