@@ -29,16 +29,21 @@ Template = Callable[[list[Turn]], str]
 #: Control strings of the bundled template, and what escapes them inside texts.
 OPEN, CLOSE, END = "[INST]", "[/INST]", "</s>"
 ESCAPE = "\\"
+_MARKS = (OPEN, CLOSE, END, "[ROLE]", "[/ROLE]")
 _CONTROL = re.compile(r"(\\*)(\[/?INST\]|</s>|\[/?ROLE\])")
 _ESCAPED = re.compile(r"(\\+)(\[/?INST\]|</s>|\[/?ROLE\])")
 
 
 def escape(text: str) -> str:
     """Backslashes before a control string are doubled and one more is put in front of it."""
+    if not any(mark in text for mark in _MARKS):
+        return text
     return _CONTROL.sub(lambda m: m[1] * 2 + ESCAPE + m[2], text)
 
 
 def unescape(text: str) -> str:
+    if ESCAPE not in text:
+        return text
     return _ESCAPED.sub(lambda m: m[1][: (len(m[1]) - 1) // 2] + m[2], text)
 
 
