@@ -12,18 +12,19 @@ from claimloom.sources.tables import read_table, replace_table, retire_versions,
 def collect_status(snapshots: DataFrame, status_folder: str, checkpoint: str) -> None:
     """Take in all waiting snapshots, batch by batch, and keep the newest of every flight.
 
-    Batch n turns version n of the status table into n + 1, so running a batch again gives
-    the same table. A snapshot that arrives late does not replace a newer one.
+    A batch is merged into the newest version of the status table, which gives the next one.
+    Merging a batch again changes nothing, and a snapshot that arrives late does not replace
+    a newer one.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen = batch.select("flight_number", "seq", "observed_at", "response_json")
-        if batch_id in versions(spark, status_folder):
-            seen = seen.unionByName(read_table(spark, status_folder, batch_id))
+        if versions(spark, status_folder):
+            seen = seen.unionByName(read_table(spark, status_folder))
         newest = F.max_by(F.struct("seq", "observed_at", "response_json"), F.struct("observed_at", "seq"))
         kept = seen.groupBy("flight_number").agg(newest.alias("s")).select("flight_number", "s.*")
-        replace_table(kept, status_folder, batch_id + 1)
+        replace_table(kept, status_folder)
         retire_versions(spark, status_folder, keep=2)
 
     (
