@@ -1,11 +1,10 @@
 """URL filters: explicit host and path rules, and a tree of path templates per host.
 
 Paths are cut into segments and runs of digits generalised. Then, level by level from the root,
-the children of every node are counted: a child that is one of many and rare becomes a wildcard,
-and siblings whose labelled share does not differ from their node's beyond chance are merged
-into the wildcard branch as well; what stays is the common or the significantly different. A
-template is rejected when its labelled bad share, smoothed towards its host's and that towards
-the whole table's, reaches the limit.
+the children of every node are counted: siblings whose labelled share does not differ from
+their node's beyond chance are merged into a wildcard branch, however common or rare they are;
+what stays is the significantly different. A template is rejected when its labelled bad share,
+smoothed towards its host's and that towards the whole table's, reaches the limit.
 
 Every step is an aggregation over distinct skeletons or a join on (host, prefix, segment); no
 host is ever held in one task.
@@ -36,8 +35,9 @@ class Rule:
 class TreeSettings:
     #: Segments below this depth are one tail wildcard: part of the template's definition.
     depth: int = 6
-    #: A node with more children than this has rare children made wildcards ...
-    many: int = 12
+    #: A node with more children than this has rare children made wildcards whatever their
+    #: labels say; None: rarity decides nothing.
+    many: int | None = 12
     #: ... a child being rare below this share of its node's pages.
     rare: float = 0.05
     #: Deviations from the node's labelled share that keep a branch apart.
@@ -48,6 +48,10 @@ class TreeSettings:
     reject: float = 0.5
 
 
+#: Only labelled evidence keeps branches apart or merges them.
+BY_EVIDENCE = TreeSettings(many=None)
+
+
 def parts(url: Column) -> tuple[Column, Column]:
     """Host and path: after the first `://`; null or no `://`: both empty."""
     at = F.locate("://", F.coalesce(url, F.lit("")))
@@ -88,8 +92,9 @@ def templates(skeletons: DataFrame, settings: TreeSettings) -> DataFrame:
         share = (F.col("node_b") + 0.5) / (F.col("node_l") + 1.0)
         gap = F.abs(F.col("bad") - F.col("labelled") * share)
         apart = gap > settings.apart * F.sqrt(F.col("labelled") * share * (1 - share))
-        rare = (F.col("kinds") > settings.many) & (F.col("n") < settings.rare * F.col("node_n"))
-        keep = (F.col("kinds") == 1) | ((F.col("labelled") > 0) & apart & ~rare)
+        if settings.many is not None:
+            apart &= ~((F.col("kinds") > settings.many) & (F.col("n") < settings.rare * F.col("node_n")))
+        keep = (F.col("kinds") == 1) | ((F.col("labelled") > 0) & apart)
         named = children.join(nodes, ["host", "prefix"]).select(
             "host", "prefix", "segment", F.when(keep, F.col("segment")).otherwise("*").alias("branch")
         )
@@ -117,7 +122,7 @@ def filter_urls(
     pages: DataFrame,
     labels: DataFrame,
     rules: list[Rule],
-    settings: TreeSettings = TreeSettings(),
+    settings: TreeSettings = BY_EVIDENCE,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:

@@ -105,6 +105,23 @@ def test_templates_that_are_rejected(spark):
     assert hot["/en/spam/*"] == "block" and hot["/en/*/*"] == "allow"
 
 
+def test_small_bad_section_of_a_large_host(spark):
+    rng = random.Random(8)
+    sizes = {"spam": 0.01, "scam": 0.04, **{f"user{c}{d}": 0.95 / 28 for c in "abcdefg" for d in "wxyz"}}
+    pages, labels = [], []
+    for k, section in enumerate(rng.choices(list(sizes), sizes.values(), k=6000)):
+        pages.append((k, f"https://big.org/{section}/{k}", ""))
+        if rng.random() < 0.5:
+            labels.append((k, int(section in ("spam", "scam") or rng.random() < 0.05)))
+    found = U.filter_urls(spark.createDataFrame(pages, SCHEMA), spark.createDataFrame(labels, "id bigint, bad int"), RULES)
+    got = sorted((tuple(r) for r in found.collect()), key=lambda r: repr(r[:6]))
+    # the plain version with no node above the limit of children: rarity decides nothing
+    assert got == plain_filter(pages, labels, RULES, U.TreeSettings(many=10**9))
+    assert len({r[2].split("/")[1] for r in got}) == 30
+    assert {r[4] for r in got if r[2].startswith(("/spam/", "/scam/"))} == {"block"}
+    assert {r[4] for r in got if r[5] == "/*/#"} == {"allow"}
+
+
 def test_empty_tables(spark):
     assert check(spark, [], []) == []
     check(spark, [(1, "http://a.org/x", "")], [])
