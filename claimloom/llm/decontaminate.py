@@ -7,7 +7,8 @@ below twice their number, two fingerprints within the radius agree in some block
 bit, so the lookup returns all of them. Those within the radius are verified by the exact
 weighted similarity of five-word shingles: the sum of the smaller over the sum of the larger
 counts. Windows that hold no shingle of any item have similarity zero to all and get no
-fingerprint.
+fingerprint. On request a document of fewer words than an item is compared with it too, its
+whole text being the one window.
 
 Words are runs of letters, digits and wider characters, lower-cased, so punctuation and case
 do not hide a passage. The benchmark is the stated query set: it is taken in blocks of a
@@ -135,14 +136,20 @@ class Items:
             out[length] = at[known[place] == grams[at]]
         return out
 
-    def matches(self, hashes: np.ndarray) -> list[tuple[int, int, float]]:
-        """(item, start, similarity) of the best window of every item that the words of one stretch match."""
+    def matches(self, hashes: np.ndarray, whole: bool = False) -> list[tuple[int, int, float]]:
+        """(item, start, similarity) of the best window of every item that the words of one stretch match.
+
+        whole: the stretch is a document, and the one window for items of more words.
+        """
         votes = _votes(hashes)
         best: dict[int, tuple[float, int]] = {}
         for n, (keys, items) in self.keys.items():
-            if n > len(hashes):
+            length = min(SHINGLE, n)
+            size = min(n, len(hashes))
+            # a window of fewer words can at best hold its own share of the item's shingles
+            if size < n and (not whole or size < length or (size - length + 1) / (n - length + 1) < SIMILARITY):
                 continue
-            prints = _prints(votes, n)
+            prints = _prints(votes, size)
             own = _block_values(prints) | (np.arange(BLOCKS) << 16)
             left, right = np.searchsorted(keys, own, "left").ravel(), np.searchsorted(keys, own, "right").ravel()
             count = right - left
@@ -153,16 +160,18 @@ class Items:
             item = items[np.repeat(left, count) + step]
             far = np.bitwise_count(prints[window] ^ self.prints[item]).sum(1) > RADIUS
             pairs = np.unique(np.column_stack((window[~far], item[~far])), axis=0)
-            length = min(SHINGLE, n)
             grams = textscan.windows(hashes, length)
             for w, k in pairs.tolist():
-                found = similarity(grams[w : w + n - length + 1], self.shingles[k])
+                found = similarity(grams[w : w + size - length + 1], self.shingles[k])
                 if found >= SIMILARITY and (k not in best or (-found, w) < (-best[k][0], best[k][1])):
                     best[k] = (found, w)
         return [(k, w, s) for k, (s, w) in best.items()]
 
-    def scan(self, column: pa.Array) -> Iterator[tuple[int, int, int, float]]:
-        """(row, item, first word, similarity): the best match of every item in every row."""
+    def scan(self, column: pa.Array, short: bool = False) -> Iterator[tuple[int, int, int, float]]:
+        """(row, item, first word, similarity): the best match of every item in every row.
+
+        short: rows of fewer words than an item count as its one window.
+        """
         if not self.ids:
             return
         reach = int(self.sizes.max())
@@ -182,7 +191,8 @@ class Items:
                 # a stretch of any length, in steps that overlap by the longest window
                 for at in range(int(begin[s]), int(end[t - 1]), 8192):
                     stop = min(at + 8192 + reach, int(end[t - 1]))
-                    for k, w, found in self.matches(hashes[at:stop]):
+                    whole = short and at == base and stop == words.rows[r + 1]
+                    for k, w, found in self.matches(hashes[at:stop], whole):
                         place = at + w - base
                         if (r, k) not in best or (-found, place) < (-best[r, k][0], best[r, k][1]):
                             best[r, k] = (found, place)
@@ -208,9 +218,12 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    short: bool = False,
 ) -> DataFrame:
     """(id, item_id, start, similarity): the best window of every document and item that match.
 
+    Windows have the item's number of words. short: a document of fewer words than an item is
+    its one window; otherwise it matches no longer item.
     start counts words from 0. Null and empty texts and items match nothing; an item of fewer
     than five words is one shingle, its whole sequence. Equal windows: the first. Repeated rows
     and items each get their rows; null ids stay null. Empty tables give no rows. Other columns
@@ -227,7 +240,7 @@ def contaminated(
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in batches:
-                found = list(items.scan(batch.column(1)))
+                found = list(items.scan(batch.column(1), short))
                 if found:
                     row, item, start, share = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -240,8 +253,15 @@ def contaminated(
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, unchanged, that match no item."""
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    short: bool = False,
+) -> DataFrame:
+    """The rows of docs, unchanged, that match no item; short as in contaminated."""
     at = docs.columns.index(text_col)
     for items in _item_blocks(benchmark, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -249,7 +269,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = np.zeros(batch.num_rows, bool)
-                found[[row for row, *_ in shared.value.scan(batch.column(at))]] = True
+                found[[row for row, *_ in shared.value.scan(batch.column(at), short)]] = True
                 yield batch.filter(pa.array(~found))
 
         docs = docs.mapInArrow(keep, docs.schema)

@@ -5,7 +5,9 @@ from collections import Counter
 import numpy as np
 from cases import PASSAGE, documents, empty, rows, with_clashes
 
+import corpus_pipeline
 from claimloom.llm import decontaminate as D
+from claimloom.llm.queries import queries
 
 ITEMS = "item_id bigint, text string"
 
@@ -90,6 +92,46 @@ def test_benchmark_in_several_blocks(spark, monkeypatch):
     assert got == [(k, k, 1, 1.0) for k in range(9)]
 
 
+def plain_with_short(table, items):
+    """The same, and the whole of a document of fewer words than an item as its one window."""
+    out = plain(table, items)
+    for r in table:
+        words = tokens(r[1])
+        for item, text in items:
+            want = shingles(tokens(text))
+            if words and len(words) < len(tokens(text)):
+                got = shingles(words)
+                share = sum((want & got).values()) / sum((want | got).values())
+                if share >= 0.8:
+                    out.append((r[0], item, 0, share))
+    return sorted(out, key=repr)
+
+
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(5)
+    sizes = [2, 4, 5, 6, 14, 30, 45, 60, 60]
+    items = [(k, " ".join(f"i{k}x{rng.randrange(900)}" for _ in range(n))) for k, n in enumerate(sizes)]
+    texts = [text.split()[a : len(text.split()) - b] for _, text in items for a, b in [(0, 1), (1, 0), (1, 1), (0, 6), (2, 5), (0, 20)]]
+    texts.append([*items[7][1].split()[:57], "other"])
+    table = [(k, " ".join(words), "en", "a", 1) for k, words in enumerate(texts)]
+    docs, bench = documents(spark, table), benchmark(spark, items)
+    got = rows(D.contaminated(docs, bench, short=True))
+    assert got == plain_with_short(table, items)
+    cut = [k for k, words in enumerate(texts) if words == items[7][1].split()[:59]]
+    assert [r[1:] for r in got if r[0] in cut] == [(7, 0, 55 / 56)]
+    kept = {r.doc_id for r in D.clean(docs, bench, short=True).collect()}
+    assert kept == set(range(len(table))) - {r[0] for r in got}
+
+
+def test_registered_queries_take_short_documents(spark, tmp_path):
+    item = " ".join(f"w{k}" for k in range(60))
+    documents(spark, [(1, item.rsplit(" ", 1)[0], "en", "a", 1), (2, "w1 w2 w3", "en", "a", 1)]).write.parquet(f"{tmp_path}/documents.parquet")
+    benchmark(spark, [(0, item)]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert rows(queries()["op4_decontaminate"](spark, str(tmp_path))) == [(1, 0, 0, 55 / 56)]
+    left = corpus_pipeline.drop_leaks(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert [r.doc_id for r in left.collect()] == [2]
+
+
 def test_empty_tables(spark):
     assert rows(D.contaminated(empty(spark), benchmark(spark, [(0, PASSAGE)]))) == []
     assert rows(D.contaminated(documents(spark), spark.createDataFrame([], ITEMS))) == []
