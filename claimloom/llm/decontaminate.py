@@ -31,12 +31,14 @@ from claimloom.llm import textscan
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BLOCKS = 12
+BLOCKS = 16
 RADIUS = 2 * BLOCKS - 1
 #: Bytes of benchmark text held at once; more is taken in several blocks of items.
 BENCHMARK_BYTES = 16 << 20
 _CUTS = [round(k * 128 / BLOCKS) for k in range(BLOCKS + 1)]
 _FILTER_BITS = 22
+#: Candidates of a stretch compared at once.
+_PAIRS = 1 << 20
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, textscan.Words, np.ndarray]]:
@@ -155,11 +157,17 @@ class Items:
             count = right - left
             if not count.any():
                 continue
-            window = np.repeat(np.arange(len(prints)).repeat(BLOCKS), count)
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            item = items[np.repeat(left, count) + step]
-            far = np.bitwise_count(prints[window] ^ self.prints[item]).sum(1) > RADIUS
-            pairs = np.unique(np.column_stack((window[~far], item[~far])), axis=0)
+            # in steps of so many block values that their candidates stay bounded
+            cut = np.searchsorted(np.cumsum(count), np.arange(_PAIRS, count.sum() + _PAIRS, _PAIRS), "left") + 1
+            close = []
+            for s, t in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True):
+                part = count[s:t]
+                window = np.repeat(np.arange(s, s + len(part)) // BLOCKS, part)
+                step = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+                item = items[np.repeat(left[s:t], part) + step]
+                far = np.bitwise_count(prints[window] ^ self.prints[item]).sum(1) > RADIUS
+                close.append(np.column_stack((window[~far], item[~far])))
+            pairs = np.unique(np.concatenate(close), axis=0)
             grams = textscan.windows(hashes, length)
             for w, k in pairs.tolist():
                 found = similarity(grams[w : w + size - length + 1], self.shingles[k])

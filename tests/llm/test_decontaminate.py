@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from cases import PASSAGE, documents, empty, rows, with_clashes
 
 import corpus_pipeline
@@ -107,6 +108,19 @@ def plain_with_short(table, items):
     return sorted(out, key=repr)
 
 
+def test_long_items_just_above_the_similarity(monkeypatch):
+    rng = random.Random(9)
+    items = [[f"l{k}x{rng.randrange(10**6)}" for _ in range(200)] for k in range(300)]
+    # 21 foreign words at the end of the one window that is similar enough
+    texts = [" ".join([*words[:179], *(f"f{rng.randrange(10**6)}" for _ in range(21))]) for words in items]
+    lookup = D.Items.build(list(range(300)), [" ".join(words) for words in items])
+    got = list(lookup.scan(pa.array(texts)))
+    assert {(row, item, start, round(found, 6)) for row, item, start, found in got} <= {(k, k, 0, round(175 / 217, 6)) for k in range(300)}
+    assert len(got) >= 0.99 * len(items)
+    monkeypatch.setattr(D, "_PAIRS", 7)
+    assert list(lookup.scan(pa.array(texts[:5]))) == [g for g in got if g[0] < 5]
+
+
 def test_documents_shorter_than_the_item(spark):
     rng = random.Random(5)
     sizes = [2, 4, 5, 6, 14, 30, 45, 60, 60]
