@@ -8,14 +8,17 @@ from collections import defaultdict
 import compare
 import numpy as np
 import pytest
+from test_decontaminate import plain_with_short
 from test_mixing import plain_targets
 from test_simhash_dedup import plain_components, plain_print
 from test_substring_dedup import plain as plain_substrings
+from test_url_filter import plain_filter
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from claimloom.llm import queries as Q
+from claimloom.llm.url_filter import TreeSettings
 
 COLUMNS = {
     "op1_simhash": ["doc_id", "fingerprint", "component_id"],
@@ -78,6 +81,13 @@ def test_op3(spark, sf_dir, docs):
     assert got == want
 
 
+def test_op4(spark, sf_dir, docs):
+    got = sorted((tuple(r) for r in run(spark, sf_dir, "op4_decontaminate")), key=repr)
+    benchmark = [tuple(r) for r in Q.table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
+    assert got == plain_with_short(docs, benchmark)
+    assert got
+
+
 def test_op5(spark, sf_dir, docs):
     got = run(spark, sf_dir, "op5_mixing")
     size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t, *_ in docs}
@@ -125,6 +135,15 @@ def test_op7(spark, sf_dir, docs):
     assert got == want
 
 
+def test_op9(spark, sf_dir):
+    got = sorted((tuple(r) for r in run(spark, sf_dir, "op9_urls")), key=lambda r: repr(r[:6]))
+    pages = [tuple(r) for r in Q.table(spark, sf_dir, "pages").select("page_id", "url", "html").collect()]
+    labels = [(r.doc_id, None if r.quality is None else 1 - r.quality) for r in Q.table(spark, sf_dir, "labels").collect()]
+    # the plain version with no node above the limit of children: rarity decides nothing
+    assert got == plain_filter(pages, labels, Q.RULES, TreeSettings(many=10**9))
+    assert {r[4] for r in got} == {"allow", "block"}
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against a plain version on what it is given."""
     frame = Q.table(spark, sf_dir, "documents")
@@ -144,9 +163,11 @@ def test_pipeline(spark, sf_dir):
     assert {r[0] for r in after["toxicity"]} == {d for d, s in scores.items() if s < Q.TOXIC}
     groups = plain_components([plain_print(r[1]) for r in after["toxicity"]])
     assert after["near_duplicates"] == [r for k, r in enumerate(after["toxicity"]) if groups[k] == k]
-    leaks = {r[0] for r in plain_leaks(after["near_duplicates"], benchmark)}
+    found = plain_leaks(after["near_duplicates"], benchmark)
+    leaks, exact = {r[0] for r in found}, {r[0] for r in found if r[3] == 1}
     gone = {r[0] for r in after["near_duplicates"]} - {r[0] for r in after["decontamination"]}
     assert gone <= leaks and len(gone) >= 0.9 * len(leaks)
+    assert exact and exact <= gone
     assert set(after["mixing"]) <= set(after["decontamination"])
     tokenizer, start, want = Tokenizer.from_file(Q.tokenizer_path()), 0, []
     for r in after["mixing"]:
