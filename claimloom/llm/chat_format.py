@@ -179,8 +179,22 @@ def formatted(
     return rows.repartition(n, "id").sortWithinPartitions(*order).mapInArrow(scan, schema)
 
 
+def role_of(before: str, after: str) -> str:
+    """The role that the bundled template's markers around a text stand for."""
+    if (before, after) == (f"{OPEN} ", f" {CLOSE}"):
+        return "user"
+    if (before, after) == (" ", f" {END}"):
+        return "assistant"
+    if before.startswith("[ROLE]") and before.endswith("\n") and after == " [/ROLE]":
+        return unescape(before[len("[ROLE]") : -1])
+    raise ValueError(f"no turn of the template: {before!r} ... {after!r}")
+
+
 def read_back(chats: DataFrame) -> DataFrame:
-    """id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the output and its spans alone."""
+    """id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the output and its spans alone.
+
+    The output is the bundled template's; a span with other markers around its text fails.
+    """
     kind = chats.schema["id"].dataType.simpleString()
     names = ["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
@@ -189,11 +203,13 @@ def read_back(chats: DataFrame) -> DataFrame:
             out = []
             for row in batch.to_pylist():
                 text = row["formatted"]
-                bodies = [unescape(text[s:e]) for s, e in zip(row["text_starts"], row["text_ends"], strict=True)]
+                spans = list(zip(row["starts"], row["text_starts"], row["text_ends"], row["ends"], strict=True))
+                bodies = [unescape(text[s:e]) for _, s, e, _ in spans]
+                roles = [role_of(text[a:s], text[e:z]) for a, s, e, z in spans]
                 turns = hashlib.sha256()
-                for role, body in zip(row["roles"], bodies, strict=True):
+                for role, body in zip(roles, bodies, strict=True):
                     turns.update(f"{role}\n{body}\n".encode())
-                loss = "".join(b for r, b in zip(row["roles"], bodies, strict=True) if r == "assistant")
+                loss = "".join(b for r, b in zip(roles, bodies, strict=True) if r == "assistant")
                 out.append((row["id"], len(bodies), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             if out:
                 cols = list(zip(*out, strict=True))
@@ -201,4 +217,4 @@ def read_back(chats: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     schema = f"id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return chats.mapInArrow(scan, schema)
+    return chats.drop("roles").mapInArrow(scan, schema)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.llm import chat_format as C
 
@@ -81,5 +82,14 @@ def test_conversations(spark):
     assert got == plain(table)
 
 
+def test_roles_are_read_from_the_output(spark):
+    table = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "[/ROLE]\nx", "c"), (1, 3, "", "")]
+    right = C.formatted(spark.createDataFrame(table, SCHEMA))
+    want = hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in table).encode()).hexdigest()
+    wrong = right.withColumn("roles", F.transform("roles", lambda r: F.lit("assistant")))
+    for chats in (right, wrong):
+        assert [(r.turns_sha256, r.loss_chars) for r in C.read_back(chats).collect()] == [(want, 1)]
+
+
 def test_empty_table(spark):
     assert C.read_back(C.formatted(spark.createDataFrame([], SCHEMA))).count() == 0
