@@ -33,8 +33,8 @@ class Rule:
 
 @dataclass(frozen=True)
 class TreeSettings:
-    #: Segments below this depth are one tail wildcard: part of the template's definition.
-    depth: int = 6
+    #: Segments below this depth are one tail wildcard; None: the tree goes as deep as the paths.
+    depth: int | None = 6
     #: A node with more children than this has rare children made wildcards whatever their
     #: labels say; None: rarity decides nothing.
     many: int | None = 12
@@ -48,8 +48,8 @@ class TreeSettings:
     reject: float = 0.5
 
 
-#: Only labelled evidence keeps branches apart or merges them.
-BY_EVIDENCE = TreeSettings(many=None)
+#: Only labelled evidence keeps branches apart or merges them, at any depth.
+BY_EVIDENCE = TreeSettings(depth=None, many=None)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -72,9 +72,11 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule: string, verdict: string>")
 
 
-def skeleton(path: Column, depth: int) -> Column:
+def skeleton(path: Column, depth: int | None) -> Column:
     """The segments of a path with runs of digits as `#`; a deeper tail is `**`."""
     segments = F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "#"), "/"), lambda s: s != "")
+    if depth is None:
+        return segments
     return F.when(F.size(segments) > depth, F.concat(F.slice(segments, 1, depth), F.array(F.lit("**")))).otherwise(segments)
 
 

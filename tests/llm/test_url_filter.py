@@ -122,6 +122,16 @@ def test_small_bad_section_of_a_large_host(spark):
     assert {r[4] for r in got if r[5] == "/*/#"} == {"allow"}
 
 
+def test_branches_below_the_sixth_segment(spark):
+    kinds = ["bad/x", "good/x", "good/y"]
+    pages = [(k, f"https://deep.org/a/b/c/d/e/f/{kinds[k % 3]}", "") for k in range(300)]
+    labels = [(k, int(k % 3 == 0)) for k in range(0, 300, 2)]
+    found = U.filter_urls(spark.createDataFrame(pages, SCHEMA), spark.createDataFrame(labels, "id bigint, bad int"), RULES)
+    got = sorted((tuple(r) for r in found.collect()), key=lambda r: repr(r[:6]))
+    assert got == plain_filter(pages, labels, RULES, U.TreeSettings(depth=10**9, many=10**9))
+    assert {(r[2].split("/")[7], r[4]) for r in got} == {("bad", "block"), ("good", "allow")}
+
+
 def test_empty_tables(spark):
     assert check(spark, [], []) == []
     check(spark, [(1, "http://a.org/x", "")], [])
