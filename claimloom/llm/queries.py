@@ -12,7 +12,10 @@ from claimloom.llm import (
     decontaminate,
     line_dedup,
     mixing,
+    periodic_runs,
+    sentence_pieces,
     simhash_dedup,
+    source_divergence,
     substring_dedup,
     token_files,
     topk_search,
@@ -125,6 +128,55 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
 
 
+@query
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), decoded=True)
+    ids = F.concat_ws(" ", F.col("tokens").cast("array<string>"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("tokens").cast("bigint").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by its id's checksum, repeats some of its words from a place on to its end."""
+    code = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", code.alias("code"))
+    rows = rows.withColumn("words", F.when(F.col("code") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))))
+    rows = rows.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("code") / 10))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    mended = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), F.lit(1), F.col("n"))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(mended, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", periodic_runs.best(F.col("runs")))
+    start, length, period = (F.col("best")[c] for c in ("start", "length", "period"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("bigint").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"), k=200)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -146,6 +198,44 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
             FROM marked GROUP BY doc_id""",
+        "op13_divergence": f"""
+            WITH docs AS (
+                SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+                FROM documents
+            ), words AS (
+                SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs
+            ), kept AS (
+                SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT doc) >= {source_divergence.MIN_DOCS}
+            ), used AS (
+                SELECT w.lang, source, term, count(*) AS n FROM words w SEMI JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL
+            ), langs AS (
+                SELECT lang, count(*) + sum(n) AS size FROM kept GROUP BY ALL
+            ), sources AS (
+                SELECT d.lang, d.source, coalesce(v, 0) + coalesce(n, 0) AS size
+                FROM (SELECT DISTINCT lang, source FROM docs) d
+                LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY ALL) v ON v.lang = d.lang
+                LEFT JOIN (SELECT lang, source, sum(n) AS n FROM used GROUP BY ALL) u ON u.lang = d.lang AND u.source = d.source
+            ), every AS (
+                SELECT s.lang, s.source, k.term, coalesce(u.n, 0) AS n,
+                       1 + 1000000000::HUGEINT * (coalesce(u.n, 0) + 1) // s.size AS p,
+                       1 + 1000000000::HUGEINT * (k.n + 1) // l.size AS q
+                FROM sources s JOIN kept k ON k.lang = s.lang JOIN langs l ON l.lang = s.lang
+                LEFT JOIN used u ON u.lang = s.lang AND u.source = s.source AND u.term = k.term
+            ), parts AS (
+                SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 
+                       sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+                FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN every x ON x.lang = a.lang AND x.source = a.source
+                LEFT JOIN every y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+                WHERE x.term IS NULL OR y.term IS NOT NULL
+                GROUP BY ALL
+                UNION ALL
+                SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM every WHERE n > 0 AND p > q
+            )
+            SELECT lang, source, part, item, CAST(coalesce(value, 0) AS BIGINT) AS value,
+                   CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY coalesce(value, 0) DESC, item) AS INTEGER) AS rank
+            FROM parts QUALIFY part = 'pair' OR rank <= 200""",
         "op10_topk": """
             WITH vectors AS (
                 SELECT vec_id, [floor(256.0::DOUBLE * x::DOUBLE) for x in embedding] AS vec

@@ -4,12 +4,15 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import compare
 import numpy as np
 import pytest
 from test_decontaminate import plain_with_short
 from test_mixing import plain_targets
+from test_periodic_runs import plain as plain_runs
+from test_periodic_runs import plain_kept
 from test_simhash_dedup import plain_components, plain_print
 from test_substring_dedup import plain as plain_substrings
 from test_url_filter import plain_filter
@@ -31,6 +34,9 @@ COLUMNS = {
     "op8_lines": ["doc_id", "n_lines", "n_removed", "kept_sha256"],
     "op9_urls": ["page_id", "host", "path", "rule", "verdict"],
     "op10_topk": ["query_id", "rank", "vec_id", "score"],
+    "op11_pieces": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op12_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op13_divergence": ["lang", "source", "part", "item", "value", "rank"],
 }
 
 
@@ -144,6 +150,36 @@ def test_op9(spark, sf_dir):
     assert {r[4] for r in got} == {"allow", "block"}
 
 
+def test_op11(spark, sf_dir, docs):
+    from sentencepiece import SentencePieceProcessor
+
+    library, want = SentencePieceProcessor(model_file=Q.tokenizer_path("piece_bpe_32k.model")), []
+    for doc, text, *_ in docs:
+        ids = library.encode(text or "", add_eos=True)
+        digests = (hashlib.sha256(t.encode()).hexdigest() for t in (" ".join(map(str, ids)), library.decode(ids)))
+        want.append((doc, len(ids), *digests))
+    assert sorted(tuple(r) for r in run(spark, sf_dir, "op11_pieces")) == want
+
+
+def test_op12(spark, sf_dir, docs):
+    want = []
+    for doc, text, *_ in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        h, n = zlib.crc32(str(doc).encode()), len(words)
+        if h % 10 == 0 and n:
+            a, g = (h // 10) % n, h // 10
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+        runs = plain_runs(words)
+        top = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=(None,) * 3)
+        milli = 1000 * top[1] // top[2] if runs else None
+        digests = ("".join(f"{s},{size},{q}\n" for s, size, q in runs), plain_kept(words, runs))
+        want.append((doc, len(runs), *top, milli, *(hashlib.sha256(t.encode()).hexdigest() for t in digests)))
+    got = sorted(tuple(r) for r in run(spark, sf_dir, "op12_runs"))
+    assert got == want
+    assert sum(r[1] > 0 for r in got) > 5
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against a plain version on what it is given."""
     frame = Q.table(spark, sf_dir, "documents")
