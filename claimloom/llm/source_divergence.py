@@ -40,10 +40,10 @@ _GAPS = np.zeros(256, bool)
 _GAPS[:128] = [not chr(b).isalpha() for b in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Entries a task gathers before it sends them.
-FLUSH = 1_500_000
+#: Entries a task gathers before it sends them, and rows it sends at once.
+FLUSH, SENT = 400_000, 1 << 15
 #: Counts of terms by source in a piece, about; sources in a block; cells of a dense step.
-PIECE, BLOCK, CELLS = 500_000, 256, 1 << 20
+PIECE, BLOCK, CELLS = 250_000, 256, 1 << 17
 #: Skybands merged at once.
 FAN = 16
 
@@ -79,6 +79,11 @@ class _Counts:
         self.hashes.append(keys)
         self.size += len(own) + n
 
+    def batches(self, groups: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+        whole = self.batch(groups)
+        for k in range(0, whole.num_rows, SENT):  # the other side holds a batch at a time
+            yield whole.slice(k, SENT)
+
     def batch(self, groups: list[tuple[str, str]]) -> pa.RecordBatch:
         group, key, n, docs = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         keys, first = np.unique(np.concatenate(self.hashes), return_index=True)
@@ -108,10 +113,11 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             for a, b, data, offs in textscan.blocks(batch.column(2)):
                 counts.add(data, offs, group[a:b])
                 if counts.size > FLUSH:
-                    yield counts.batch(list(groups))
+                    yield from counts.batches(list(groups))
                     counts = _Counts()
+            textscan.release()
         if counts.parts:
-            yield counts.batch(list(groups))
+            yield from counts.batches(list(groups))
         none = [pa.nulls(len(groups), pa.string()), *[pa.array(np.zeros(len(groups), np.int64))] * 2]
         names = [pa.array([g[k] for g in groups], pa.string()) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays([*names, *none], ["lang", "source", "term", "n", "docs"])
@@ -293,8 +299,9 @@ def divergence(
 
     def work(key: tuple, terms: pa.Table, own: pa.Table) -> pa.Table:
         lang, piece, block = (x.as_py() for x in key)
-        found = list(_piece(lang, piece, block, terms, own, k))
-        return pa.Table.from_batches(found or [_rows(lang, [], 0, [], [])])
+        found = pa.Table.from_batches(list(_piece(lang, piece, block, terms, own, k)) or [_rows(lang, [], 0, [], [])])
+        textscan.release()
+        return found
 
     keys = ("lang", "piece", "block")
     found = stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, _PART), "divergence-parts")

@@ -9,6 +9,7 @@ into blocks of texts only to bound the memory of the temporary arrays.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -62,6 +63,21 @@ def _table(lower: bool) -> np.ndarray:
     return t
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's malloc_trim, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on after a task, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -66,7 +66,7 @@ def test_against_plain(spark, k):
 
 def test_many_pieces_and_blocks(spark, monkeypatch):
     """Terms in many pieces merged in several levels, sources in blocks, dense steps of a few rows."""
-    for name, value in (("PIECE", 40), ("BLOCK", 2), ("CELLS", 16), ("FAN", 2), ("FLUSH", 50)):
+    for name, value in (("PIECE", 40), ("BLOCK", 2), ("CELLS", 16), ("FAN", 2), ("FLUSH", 50), ("SENT", 3)):
         monkeypatch.setattr(D, name, value)
     table = corpus(9, 200, 60)
     assert rows(D.divergence(frame(spark, table), k=5)) == sorted(plain(table, 5), key=repr)
