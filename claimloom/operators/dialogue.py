@@ -22,7 +22,8 @@ from claimloom.session import materialise
 INITIAL = 0
 COMPLETED = len(GRIEVANCE_TYPES) + 1
 STATES = range(COMPLETED + 1)
-FAN = 1000
+#: Turns that are chained in one list.
+FAN = 64
 
 
 def state_name(code: Column) -> Column:
@@ -69,11 +70,13 @@ def fully_answered(messages: DataFrame, required: DataFrame) -> DataFrame:
     )
 
 
+def is_user_message() -> Column:
+    """Whether a message reaches the dialogue: from the user and not blank."""
+    return (F.coalesce("role", F.lit("user")) == "user") & (strip(F.col("text")) != "")
+
+
 def user_messages(messages: DataFrame) -> DataFrame:
-    """Messages that reach the dialogue: from the user and not blank."""
-    return messages.where(
-        (F.coalesce("role", F.lit("user")) == "user") & (strip(F.col("text")) != "")
-    )
+    return messages.where(is_user_message())
 
 
 def message_moves(
@@ -106,6 +109,15 @@ def _after(table: Column, state: Column) -> Column:
     return F.element_at(table, state + 1)
 
 
+def _depth(pieces: DataFrame, fan: int) -> int:
+    """Levels of lists of `fan` places that take the largest place of the table: one aggregate."""
+    largest = pieces.agg(F.max(F.abs("place"))).first()[0] or 0
+    depth = 0
+    while largest >= fan:
+        largest, depth = largest // fan, depth + 1
+    return depth
+
+
 def _starts(pieces: DataFrame, levels: int, fan: int) -> DataFrame:
     """(conv_id, place, moves) -> (conv_id, place, start): the state each piece meets."""
     if levels == 0:
@@ -138,7 +150,10 @@ def _join_starts(grouped: DataFrame, levels: int, fan: int) -> DataFrame:
 
 
 def _spread(grouped: DataFrame) -> DataFrame:
-    """Walk each list from its start and give every entry the state it meets."""
+    """Walk each list from its start and give every entry the state it meets.
+
+    The array of states is copied at each step, which a list of at most `fan` entries bounds.
+    """
     walk = F.aggregate(
         "parts",
         F.struct(F.col("start").alias("state"), F.array().cast("array<int>").alias("met")),
@@ -161,18 +176,19 @@ def dialogue_states(
     messages: DataFrame,
     required: DataFrame,
     classify: Callable[[Column], Column] = classify_by_keywords,
-    levels: int = 1,
     fan: int = FAN,
     folder: str | None = None,
 ) -> DataFrame:
     """(conv_id, turn, state_before, state_after, grievance_type) per user message.
 
     grievance_type is the one being handled after the message; a completed dialogue
-    keeps it until the next message clears it. `levels` grows with the longest
-    conversation: lists hold at most `fan` entries below the top level.
+    keeps it until the next message clears it. Turns are whole numbers. Lists hold at most
+    `fan` turns whatever the length of a conversation: the largest turn of the table gives the
+    number of levels in which pieces are chained.
     """
     steps = materialise(message_moves(messages, required, classify), "moves", folder)
-    met = _starts(steps.select("conv_id", F.col("turn").alias("place"), "moves"), levels, fan)
+    pieces = steps.select("conv_id", F.col("turn").alias("place"), "moves")
+    met = _starts(pieces, _depth(messages.select(F.col("turn").alias("place")), fan), fan)
     before = F.col("start")
     after = _after(F.col("moves"), before)
     return (

@@ -219,3 +219,18 @@ def gained_entitlements(steps: DataFrame, thresholds: DataFrame) -> DataFrame:
     return entitlements_by_delay(steps, least, previous="previous").select(
         "flight_number", "seq", "observed_at", F.col("entitlement").alias("gained")
     )
+
+
+def gained_in_row(steps: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """gained_entitlements for a stream: a step meets the thresholds, one value per entitlement,
+    within its own row, so there is no join state. A late step gives one row with gained null."""
+    least = thresholds.groupBy("entitlement").agg(F.min("min_delay_minutes").alias("least"))
+    # one row on the right: every step meets it once
+    table = least.agg(F.collect_list(F.struct("least", "entitlement")).alias("marks")).withColumn("one", F.lit(1))
+    joined = steps.withColumn("one", F.lit(1)).join(F.broadcast(table), "one")
+    gained = F.filter(
+        "marks",
+        lambda m: (m["least"] <= F.col("delay")) & (F.col("previous").isNull() | (F.col("previous") < m["least"])),
+    )
+    names = F.when(F.col("late"), F.array(F.lit(None).cast("string"))).otherwise(F.transform(gained, lambda m: m["entitlement"]))
+    return joined.select("flight_number", "seq", "observed_at", F.explode(names).alias("gained"))

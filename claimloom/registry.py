@@ -628,9 +628,9 @@ def updated_flights(i: Inputs) -> DataFrame:
     outcomes = flights.due_outcomes(before, i.view("fx_status"), as_of())
     changed = outcomes.where("outcome = 'success'").select("flight_number")
     tables.update_table(
-        folder, 0, before, changed, "flight_number", lambda part: flights.apply_status(part, outcomes, as_of())
+        i.spark, folder, 0, changed, "flight_number", lambda part: flights.apply_status(part, outcomes, as_of())
     )
-    return tables.read_table(i.spark, folder, 1).drop("piece")
+    return tables.read_table(i.spark, folder, 1)
 
 
 @query

@@ -395,7 +395,7 @@ def test_long_conversation_in_pieces(spark, levels, fan):
         "grievance_type string, field_name string, field_order int, is_required boolean",
     )
     df = spark.createDataFrame(log, "conv_id long, turn long, role string, text string")
-    got = dialogue.dialogue_states(df, required, levels=levels, fan=fan)
+    got = dialogue.dialogue_states(df, required, fan=fan)
     want = sequential_states(log, fields)
     assert rows(got) == want
     assert {"initial", "awaiting_fields", "completed"} == {r[3] for r in want}
