@@ -9,13 +9,14 @@ parallel and skip stripes and strides by their statistics and Bloom filters.
 
 Encoding goes through the tokenizers library. Pre-tokens never cross white space, nor an edge
 between an ASCII letter, a digit and other ASCII signs (the apostrophe apart), so a text is cut
-there, and each distinct piece is encoded once per worker and kept by its 64-bit hash in a
-bounded cache. This holds for tokenizers whose normaliser and pre-tokeniser keep these edges
+there, and each distinct piece is encoded once and kept by its 64-bit hash in a cache of
+bounded bytes. This holds for tokenizers whose normaliser and pre-tokeniser keep these edges
 (`word_pieces=True`); any other is run over whole texts.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,10 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm import textscan
+from claimloom.llm.piece_cache import PieceCache
 
 END_ID = 1
-#: Pieces a worker keeps; when full, the cache starts again.
-CACHE = 1_500_000
+#: Pieces and ids a worker keeps, some 25 MB.
+CACHE = (1 << 19, 1 << 21)
+#: Bytes of text handled at once, and new pieces that the library gets at once: it takes some
+#: hundred bytes for each of their ids.
+BLOCK, NEW = 1 << 19, 1 << 13
 ROW_STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
 
@@ -60,6 +65,8 @@ class Encoder:
     """A tokenizer and the ids of the pieces it has seen."""
 
     def __init__(self, path: str):
+        # a task has one core, and every thread of the library keeps memory of its own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,13 +74,7 @@ class Encoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, k in vocabulary.items():
             self.ends_word[k] = token.endswith("</w>")
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes
-        self.place = np.zeros(0, np.int64)  # where the ids of a key start
-        self.length = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.cache = PieceCache(*CACHE)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,16 +95,6 @@ class Encoder:
             out[k] = np.array(own, np.int32)
         return out
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        new = self._encode_new(pieces)
-        length = np.fromiter(map(len, new), np.int64, len(new))
-        place = np.cumsum(length) - length + len(self.ids)
-        at = np.argsort(np.concatenate((self.keys, keys)), kind="stable")
-        self.keys = np.concatenate((self.keys, keys))[at]
-        self.place = np.concatenate((self.place, place))[at]
-        self.length = np.concatenate((self.length, length))[at]
-        self.ids = np.concatenate((self.ids, *new)) if new else self.ids
-
     def block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts and the number of ids of each text."""
         kinds = _KIND[data]
@@ -118,25 +109,21 @@ class Encoder:
         words.data, words.starts, words.ends = data, starts, ends
         hashes = words.hashes(lower=True)
         keys, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE:
-            self._clear()
-        at = np.searchsorted(self.keys, keys)
-        known = (self.keys[np.minimum(at, len(self.keys) - 1)] == keys) if len(self.keys) else np.zeros(len(keys), bool)
-        if not known.all():
-            raw = data.tobytes()
-            new = np.flatnonzero(~known)
-            self._learn(keys[new], [raw[starts[k] : ends[k]].lower() for k in first[new]])
-            at = np.searchsorted(self.keys, keys)
-        own = at[of]
-        length = self.length[own]
-        total = np.cumsum(length)
-        where = np.arange(total[-1] if len(total) else 0) + np.repeat(self.place[own] - (total - length), length)
-        rows = np.searchsorted(starts, offs)
-        upto = np.concatenate(([0], total))[rows]
-        return self.ids[where], np.diff(upto)
+        at = self.cache.find(keys)
+        new = np.flatnonzero(at < 0)
+        raw = data.tobytes() if len(new) else b""
+        lists: list[np.ndarray] = []
+        for k in range(0, len(new), NEW):
+            lists += self._encode_new([raw[starts[j] : ends[j]].lower() for j in first[new[k : k + NEW]]])
+        length = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+        out, own = self.cache.gather(at, length, ids, of)
+        self.cache.add(keys[new], length, ids)
+        total = np.concatenate(([0], np.cumsum(own)))
+        return out, np.diff(total[np.searchsorted(starts, offs)])
 
     def texts(self, column: pa.Array, word_pieces: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, _, data, offs in textscan.blocks(column):
+        for _, _, data, offs in textscan.blocks(column, BLOCK):
             if word_pieces and b"<|" not in data.tobytes():
                 yield self.block(data, offs)
                 continue
@@ -199,6 +186,7 @@ def write_tokens(
                 ]
                 before, first = before + int(upto[-1]), first + k
                 yield pa.RecordBatch.from_arrays(cols, ["part", "before", "doc_id", "n_tokens", "tokens"])
+            textscan.release()
 
     writer = rows.mapInArrow(encode, schema).write.option("compression", "zstd")
     writer = writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
@@ -230,10 +218,11 @@ def checksums(tokens: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(3)
             offs = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            sums = [zlib.crc32(flat[s:e].data) for s, e in zip(offs[:-1], offs[1:], strict=True)]
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            sums = [zlib.crc32(flat[s:e].astype("<u4").data) for s, e in zip(offs[:-1], offs[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
             )
+            textscan.release()
 
     return tokens.mapInArrow(scan, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -52,11 +52,16 @@ class Settings:
     grams: tuple[int, ...] = (3, 4, 5)
 
 
+#: Windows that go through the network at once when texts are scored.
+STEP = 1024
+
 # ---- words -------------------------------------------------------------------------
 
 
-def scan_words(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, textscan.Words, np.ndarray]]:
-    for a, b, data, offs in textscan.blocks(pc.utf8_lower(column.fill_null("")), limit):
+def scan_words(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, textscan.Words, np.ndarray]]:
+    """(first row, row after the last, words, hashes) of blocks of texts, lower-cased a block at a time."""
+    for a, b, *_ in textscan.blocks(column, limit):
+        data, offs = textscan.buffers(pc.utf8_lower(column.slice(a, b - a).fill_null("")))
         words = textscan.Words(data, offs, textscan.SIGNS)
         yield a, b, words, words.hashes()
 
@@ -219,11 +224,11 @@ class Network:
         x = self.inputs((hashes[first] % np.uint64(self.s.word_rows)).astype(np.int64), *char_grams(words, first, self.s))
         out = np.empty(len(row), np.float32)
         place = np.arange(self.s.window)
-        for k in range(0, len(row), 2048):
-            mask = place < length[k : k + 2048, None]
-            index = of[np.minimum(begin[k : k + 2048, None] + place, len(of) - 1)]
+        for k in range(0, len(row), STEP):
+            mask = place < length[k : k + STEP, None]
+            index = of[np.minimum(begin[k : k + STEP, None] + place, len(of) - 1)]
             used, index = np.unique(index, return_inverse=True)
-            out[k : k + 2048] = self.forward(x[used], index.reshape(mask.shape), mask)
+            out[k : k + STEP] = self.forward(x[used], index.reshape(mask.shape), mask)
         return row, out
 
     def evidence(self, column: pa.Array) -> np.ndarray:
@@ -392,20 +397,21 @@ def fit(
 ) -> Network:
     """Train on a bounded sample of the labelled rows that are not held out.
 
-    The sample is drawn by a hash of the id: `per_class` texts of either class. Rows without
-    id, label or text, and texts over `fit_chars` characters, are not fitted.
+    The sample is drawn by a hash of the id: `per_class` texts of either class, among the
+    labelled rows that have a text of 1 to `fit_chars` characters.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     marks = marks.where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
     counts = marks.agg(F.sum("y"), F.count("*")).first()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.where(F.length("text").between(1, s.fit_chars))
+    usable = marks.join(texts.select("id").distinct(), "id", "left_semi")  # ids alone are shuffled
     drawn = None
     for y in (0, 1):
-        part = marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(s.per_class)
+        part = usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(s.per_class)
         drawn = part if drawn is None else drawn.unionByName(part)
     drawn = F.broadcast(drawn)  # 2 * per_class rows at most
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.where(F.length("text").between(1, s.fit_chars)).join(drawn, "id")
-    rows = texts.groupBy("id", "y").agg(F.min("text").alias("text")).collect()  # as many as drawn
+    rows = texts.join(drawn, "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()  # as many as drawn
     rows.sort(key=lambda r: str(r.id))
     share = float(counts[0] or 0) / counts[1] if counts[1] else 0.0
     return train([r.text for r in rows], np.array([r.y for r in rows], np.float32), share, s)
@@ -425,6 +431,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)))], ["id", "score"])
+            textscan.release()
 
     return rows.mapInArrow(scan, f"id {kind}, score double")
 
@@ -437,5 +444,6 @@ def accepted(docs: DataFrame, net: Network, limit: float, text_col: str = "text"
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(batch.column(at)) < limit))
+            textscan.release()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -92,7 +92,7 @@ def test_pieces_agree_with_whole_texts(tokenizer):
 def test_cache_starts_again_when_full(monkeypatch, tokenizer):
     import pyarrow as pa
 
-    monkeypatch.setattr(T, "CACHE", 5)
+    monkeypatch.setattr(T, "CACHE", (5, 9))
     own = T.Encoder(tokenizer_path())
     texts = [f"some words number {k} here" for k in range(40)]
     got = [ids.tolist() for t in texts for ids, _ in own.texts(pa.array([t]), True)]
