@@ -16,6 +16,7 @@ over whole texts, batch by batch, in Arrow.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -387,18 +388,13 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "toxic",
-    s: Settings = Settings(),
-) -> Network:
-    """Train on a bounded sample of the labelled rows that are not held out.
+def sample(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, s: Settings
+) -> tuple[DataFrame, float]:
+    """(id, y, text) of the training sample, and the share of toxic labels.
 
-    The sample is drawn by a hash of the id: `per_class` texts of either class, among the
-    labelled rows that have a text of 1 to `fit_chars` characters.
+    It is drawn by a hash of the id: `per_class` texts of either class, among the labelled rows
+    that are not held out and have a text of 1 to `fit_chars` characters.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     marks = marks.where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
@@ -411,10 +407,32 @@ def fit(
         part = usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(s.per_class)
         drawn = part if drawn is None else drawn.unionByName(part)
     drawn = F.broadcast(drawn)  # 2 * per_class rows at most
-    rows = texts.join(drawn, "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()  # as many as drawn
-    rows.sort(key=lambda r: str(r.id))
-    share = float(counts[0] or 0) / counts[1] if counts[1] else 0.0
-    return train([r.text for r in rows], np.array([r.y for r in rows], np.float32), share, s)
+    rows = texts.join(drawn, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    return rows, float(counts[0] or 0) / counts[1] if counts[1] else 0.0
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    s: Settings = Settings(),
+) -> Network:
+    """Train on a bounded sample of the labelled rows that are not held out (see `sample`).
+
+    One task trains, and only the network, a few megabytes, comes to the driver.
+    """
+    rows, share = sample(docs, labels, id_col, text_col, label_col, s)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: str(r["id"]))
+        net = train([r["text"] for r in drawn], np.array([r["y"] for r in drawn], np.float32), share, s)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+        textscan.release()
+
+    found = rows.repartition(1).mapInArrow(work, "net binary").collect()
+    return pickle.loads(found[0].net) if found else train([], np.zeros(0, np.float32), share, s)
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

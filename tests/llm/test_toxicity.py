@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 from cases import documents, empty, rows, with_clashes
@@ -54,6 +56,90 @@ def test_windows_cover_every_word():
     assert set(row.tolist()) == {1, 2, 3, 4, 5}
 
 
+def plain_words(text):
+    """Runs of letters, digits and wider characters, lower-cased."""
+    return re.findall(r"[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", text.lower())
+
+
+def plain_logit(net, words):
+    """One window, word by word, by the equations of the gated unit and of the attention."""
+    s, p = net.s, {k: v.astype(np.float64) for k, v in net.p.items()}
+    h = s.hidden
+
+    def sigmoid(v):
+        return 1 / (1 + np.exp(-v))
+
+    xs = []
+    for word in words:
+        own = T.textscan.Words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]), T.textscan.SIGNS)
+        marked = [256, *word.encode(), 257]
+        grams = []
+        for n in s.grams:
+            for k in range(len(marked) - n + 1):
+                code = 0
+                for b in marked[k : k + n]:
+                    code = (code * 0x9E3779B97F4A7C15 + b + 1) % 2**64
+                grams.append(int(T.textscan.mix(np.array([(code + n) % 2**64], np.uint64))[0]) % s.char_rows)
+        chars = net.char[grams].astype(np.float64).sum(0) / np.sqrt(len(grams))
+        xs.append(np.concatenate((net.word[int(own.hashes()[0]) % s.word_rows], chars)))
+    sides = []
+    for side, order in ((0, xs), (1, xs[::-1])):
+        state, states = np.zeros(h), []
+        for x in order:
+            a, r = x @ p["wx"][side] + p["b"][side][0], state @ p["wh"][side]
+            update, reset = sigmoid(a[:h] + r[:h]), sigmoid(a[h : 2 * h] + r[h : 2 * h])
+            candidate = np.tanh(a[2 * h :] + reset * r[2 * h :])
+            state = update * state + (1 - update) * candidate
+            states.append(state)
+        sides.append(states if side == 0 else states[::-1])
+    joined = [np.concatenate(pair) for pair in zip(*sides, strict=True)]
+    energy = np.array([np.tanh(j @ p["wa"] + p["ba"]) @ p["va"] for j in joined])
+    weight = np.exp(energy - energy.max())
+    pooled = sum(w * j for w, j in zip(weight / weight.sum(), joined, strict=True))
+    return float(pooled @ p["u"] + p["c"][0])
+
+
+def plain_score(net, text):
+    words, s = plain_words(text or ""), net.s
+    if not words:
+        return 0.0
+    starts = [0]
+    while starts[-1] + s.window < len(words):
+        starts.append(starts[-1] + s.stride)
+    logits = sorted((plain_logit(net, words[k : k + s.window]) for k in starts), reverse=True)
+    evidence = [logits[0], logits[1] if len(logits) > 1 else -6.0, np.log(len(logits))]
+    return float(1 / (1 + np.exp(-(np.dot(evidence, net.scale[:-1]) + net.scale[-1]))))
+
+
+def test_scores_against_a_plain_forward_pass():
+    """Whole texts, window by window, with a network of random weights and a calibration that uses all evidence."""
+    net = _net()
+    rng = np.random.default_rng(5)
+    for k in net.p:
+        net.p[k] = net.p[k] + rng.standard_normal(net.p[k].shape).astype(np.float32) * 0.3
+    net.char *= 4
+    net.word *= 4
+    net.scale = np.array([0.9, 0.4, -0.3, 0.2])
+    vocabulary = ["été", "naïve", "中文", "a", "It's", "x1", "LONGER-word", "\U0001f600", "the", "of", "ΩΑ"]
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (1, 2, 31, 32, 33, 56, 57, 80, 81, 300, 1500)]
+    texts += ["", None, " \n", "!!!", "one\tand\x0btwo", "a" * 4000]
+    got = net.scores(pa.array(texts))
+    want = [plain_score(net, t) for t in texts]
+    assert np.allclose(got, want, atol=2e-4), list(zip(got, want, strict=True))
+    assert np.ptp(want) > 0.2
+
+
+def test_unusable_labels_do_not_shrink_the_sample(spark):
+    """Labelled rows without a text, or with one too long, are not drawn."""
+    rows_ = [(k, f"{'vile' if k % 2 else 'kind'} words number {k}") for k in range(400)]
+    docs = spark.createDataFrame(rows_ + [(k, None if k % 2 else "x" * 50) for k in range(400, 4000)], "doc_id long, text string")
+    labels = spark.range(4000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    s = T.Settings(word_rows=64, char_rows=64, per_class=100, fit_chars=40, rounds=1, steps=1)
+    drawn, share = T.sample(docs, labels, "doc_id", "text", "toxic", s)
+    assert [tuple(r) for r in drawn.groupBy("y").count().orderBy("y").collect()] == [(0, 100), (1, 100)]
+    assert abs(share - 0.5) < 0.05
+
+
 def test_score_does_not_depend_on_neighbours():
     net = _net()
     texts = ["a b c", "", None, "some other words " * 40, "été 'x'"]
