@@ -21,7 +21,6 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from claimloom.llm import queries as Q
-from claimloom.llm.url_filter import TreeSettings
 
 COLUMNS = {
     "op1_simhash": ["doc_id", "fingerprint", "component_id"],
@@ -145,8 +144,7 @@ def test_op9(spark, sf_dir):
     got = sorted((tuple(r) for r in run(spark, sf_dir, "op9_urls")), key=lambda r: repr(r[:6]))
     pages = [tuple(r) for r in Q.table(spark, sf_dir, "pages").select("page_id", "url", "html").collect()]
     labels = [(r.doc_id, None if r.quality is None else 1 - r.quality) for r in Q.table(spark, sf_dir, "labels").collect()]
-    # the plain version with no node above the limit of children: rarity decides nothing
-    assert got == plain_filter(pages, labels, Q.RULES, TreeSettings(many=10**9))
+    assert got == plain_filter(pages, labels, Q.RULES)
     assert {r[4] for r in got} == {"allow", "block"}
 
 

@@ -24,7 +24,57 @@ def plain_rule(host, path, rules):
     return max(fits, key=lambda r: len(r.text), default=None)
 
 
-def plain_filter(pages, labels, rules, s):
+def named(segment):
+    return "=" + segment if segment[0] in "*=" else segment
+
+
+def plain_node(rows, level, prefix, s):
+    """Templates of the paths of a node, level by level until one splits it."""
+    while True:
+        here = [r for r in rows if len(r[3]) > level]
+        for r in rows:
+            if len(r[3]) <= level:
+                r[5] = prefix
+        if not here:
+            return
+        marks = [r[4] for r in here if r[4] is not None]
+        share = (sum(marks) + 0.5) / (len(marks) + 1)
+        children = defaultdict(list)
+        for r in here:
+            children[r[3][level]].append(r)
+
+        def apart(got, share):
+            return bool(got) and abs(sum(got) - len(got) * share) > s.apart * math.sqrt(len(got) * share * (1 - share))
+
+        labelled = {k: [r[4] for r in own if r[4] is not None] for k, own in children.items()}
+        out = {k: sum(labelled[k]) > len(labelled[k]) * share for k in children if apart(labelled[k], share)}
+        if out:
+            branches = defaultdict(list)
+            for above in (True, False):
+                groups = []
+                for k in sorted((k for k in out if out[k] == above), key=lambda k: (sum(labelled[k]) / len(labelled[k]), k)):
+                    if groups:
+                        (b, n), (c, m) = ((sum(labelled[j]), len(labelled[j])) for j in (k, groups[-1][-1]))
+                        both = (b + c + 0.5) / (n + m + 1)
+                        if abs(b / n - c / m) <= s.apart * math.sqrt(both * (1 - both) * (1 / n + 1 / m)):
+                            groups[-1].append(k)
+                            continue
+                    groups.append([k])
+                for i, group in enumerate(groups, 1):
+                    name = f"*{'+' if above else '-'}{i}" if len(group) > 1 else named(group[0])
+                    for k in group:
+                        branches[name] += children[k]
+            for k in children:
+                if k not in out:
+                    branches["*"] += children[k]
+            for name, own in branches.items():
+                plain_node(own, level + 1, f"{prefix}/{name}", s)
+            return
+        prefix += "/" + (named(next(iter(children))) if len(children) == 1 else "*")
+        rows, level = here, level + 1
+
+
+def plain_filter(pages, labels, rules, s=U.TreeSettings()):
     """The tree built node by node, from the root."""
     bad = {}
     for i, b in labels:
@@ -34,25 +84,12 @@ def plain_filter(pages, labels, rules, s):
     for page, url, _ in pages:
         host, path = plain_parts(url)
         segments = [x for x in re.sub("[0-9]+", "#", path).split("/") if x]
-        if len(segments) > s.depth:
-            segments = [*segments[: s.depth], "**"]
         rows.append([page, host, path, segments, bad.get(page), ""])
-    for level in range(max((len(r[3]) for r in rows), default=0)):
-        nodes = defaultdict(lambda: defaultdict(list))
-        for r in rows:
-            if len(r[3]) > level:
-                nodes[r[1], r[5]][r[3][level]].append(r)
-        for children in nodes.values():
-            marks = [r[4] for c in children.values() for r in c if r[4] is not None]
-            share = (sum(marks) + 0.5) / (len(marks) + 1)
-            size = sum(map(len, children.values()))
-            for segment, own in children.items():
-                got = [r[4] for r in own if r[4] is not None]
-                apart = abs(sum(got) - len(got) * share) > s.apart * math.sqrt(len(got) * share * (1 - share))
-                rare = len(children) > s.many and len(own) < s.rare * size
-                keep = len(children) == 1 or (got and apart and not rare)
-                for r in own:
-                    r[5] += "/" + (segment if keep else "*")
+    hosts = defaultdict(list)
+    for r in rows:
+        hosts[r[1]].append(r)
+    for own in hosts.values():
+        plain_node(own, 0, "", s)
     marks = [r[4] for r in rows if r[4] is not None]
     total = (sum(marks) + 0.5) / (len(marks) + 1)
     host_marks, kind_marks = defaultdict(list), defaultdict(list)
@@ -115,8 +152,7 @@ def test_small_bad_section_of_a_large_host(spark):
             labels.append((k, int(section in ("spam", "scam") or rng.random() < 0.05)))
     found = U.filter_urls(spark.createDataFrame(pages, SCHEMA), spark.createDataFrame(labels, "id bigint, bad int"), RULES)
     got = sorted((tuple(r) for r in found.collect()), key=lambda r: repr(r[:6]))
-    # the plain version with no node above the limit of children: rarity decides nothing
-    assert got == plain_filter(pages, labels, RULES, U.TreeSettings(many=10**9))
+    assert got == plain_filter(pages, labels, RULES)
     assert len({r[2].split("/")[1] for r in got}) == 30
     assert {r[4] for r in got if r[2].startswith(("/spam/", "/scam/"))} == {"block"}
     assert {r[4] for r in got if r[5] == "/*/#"} == {"allow"}
@@ -128,10 +164,56 @@ def test_branches_below_the_sixth_segment(spark):
     labels = [(k, int(k % 3 == 0)) for k in range(0, 300, 2)]
     found = U.filter_urls(spark.createDataFrame(pages, SCHEMA), spark.createDataFrame(labels, "id bigint, bad int"), RULES)
     got = sorted((tuple(r) for r in found.collect()), key=lambda r: repr(r[:6]))
-    assert got == plain_filter(pages, labels, RULES, U.TreeSettings(depth=10**9, many=10**9))
+    assert got == plain_filter(pages, labels, RULES)
     assert {(r[2].split("/")[7], r[4]) for r in got} == {("bad", "block"), ("good", "allow")}
 
 
 def test_empty_tables(spark):
     assert check(spark, [], []) == []
     check(spark, [(1, "http://a.org/x", "")], [])
+
+
+def test_alike_bad_sections_are_one_template(spark):
+    """Each of two thin bad sections has too little to be rejected alone; a third, half bad, stays apart."""
+    pages, labels = [], []
+    for section, n, share in (("spam", 6, 1.0), ("scam", 6, 1.0), ("news", 300, 0.02), ("wiki", 300, 0.02), ("half", 200, 0.3)):
+        for k in range(n):
+            pages.append((len(pages), f"https://big.org/{section}/{'abc'[k % 3]}", ""))
+            labels.append((len(labels), int(k < share * n)))
+    got = check(spark, pages, labels)
+    by_section = {r[2].split("/")[1]: (r[5], r[4]) for r in got}
+    assert by_section["spam"] == by_section["scam"] == ("/*+2/*", "block")
+    assert by_section["half"] == ("/half/*", "allow")
+
+
+def jobs_of(spark, work):
+    spark.sparkContext.setJobGroup("urls", "", False)
+    work()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup("urls"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return n
+
+
+def test_deep_paths_add_no_jobs(spark):
+    """A path of 2,000 segments, and labelled ones that differ at every level, cost their segments only."""
+    base = [(k, f"https://trap.org/{'bad' if k % 3 == 0 else 'good'}/x{k % 7}", "") for k in range(200)]
+    labels = [(k, int(k % 3 == 0)) for k in range(200)] + [(200 + k, int(k % 3 == 0)) for k in range(20)]
+    deep = [(1000, "https://trap.org/" + "/".join(f"s{'ab'[j % 2]}{'x' * (j % 5)}" for j in range(2000)), "")]
+    deep += [(200 + k, f"https://trap.org/{'bad' if k % 3 == 0 else 'good'}/" + "/".join(f"{chr(97 + k)}{'y' * (j % 3)}" for j in range(80)), "") for k in range(20)]
+    found = {}
+    count = {}
+    for name, pages in (("flat", base), ("deep", base + deep)):
+        def work(pages=pages, name=name):
+            df = spark.createDataFrame(pages, SCHEMA).coalesce(2)
+            out = U.filter_urls(df, spark.createDataFrame(labels, "id bigint, bad int"), RULES)
+            found[name] = sorted((tuple(r) for r in out.collect()), key=lambda r: repr(r[:6]))
+
+        count[name] = jobs_of(spark, work)
+    assert found["deep"] == plain_filter(base + deep, labels, RULES)
+    assert 0 < count["deep"] <= count["flat"] + 8
+
+
+def test_segments_that_look_like_wildcards(spark):
+    pages = [(k, f"https://odd.org/{['*', '*+', '=', 'x'][k % 4]}/y", "") for k in range(80)]
+    got = check(spark, pages, [(k, int(k % 4 == 0)) for k in range(80)])
+    assert {r[5] for r in got} == {"/=*/y", "/*/y"}
