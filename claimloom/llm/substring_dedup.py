@@ -37,7 +37,7 @@ COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries a map batch gathers before it sends them.
 FLUSH = 3_000_000
-#: Stands for a null id, which sorts last.
+#: Stands for a null id, which sorts last; the sign of a row's tag tells it from a real id of that value.
 NO_ID = 2**63 - 1
 
 _PACKED = "bucket int, kind tinyint, docs binary, tags binary, counts binary, places binary, keys binary, more binary"
@@ -154,11 +154,13 @@ def _repeated_anchors(e: Entries) -> tuple[np.ndarray, np.ndarray]:
 
 def _later_windows(e: Entries) -> tuple[np.ndarray, np.ndarray]:
     """Of a set of windows: which have an earlier equal one in it, and the others."""
-    order = np.lexsort((e.place, e.doc, e.key, e.bucket))
+    no_id = e.tag < 0
+    order = np.lexsort((e.place, no_id, e.doc, e.key, e.bucket))
     cut = _runs(e.bucket[order], e.key[order])
     first = np.repeat(order[cut[:-1]], np.diff(cut))
     later = np.zeros(len(e), bool)
-    later[order] = (e.doc[order] != e.doc[first]) | (e.place[order] != e.place[first])
+    other = (e.doc[order] != e.doc[first]) | (no_id[order] != no_id[first])
+    later[order] = other | (e.place[order] != e.place[first])
     return later, ~later
 
 
@@ -291,8 +293,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_words, n_removed, kept): kept is the words that stay, joined by one space.
 
     Null and empty texts have no words and give an empty kept. Ids are whole numbers; a null id
-    counts as the largest (2^63 - 1, which no real id may be). Rows that share an id are one document for the order: a window is
-    not repeated by one at the same place of another row of that id. Repeated rows each get
+    comes after all others. Rows that share an id (or have none) are one document for the order:
+    a window is not repeated by one at the same place of another row of that id. Repeated rows each get
     the same result. A text shorter than a window keeps all its words. An empty table gives no
     rows. Other columns are not read, whatever their names.
     """
@@ -300,7 +302,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID).cast("bigint")).alias("doc"),
-        F.hash(text).alias("tag"),
+        F.when(F.col(id_col).cast("bigint").isNull(), F.hash(text).bitwiseOR(F.lit(-(2**31))))
+        .otherwise(F.hash(text).bitwiseAND(F.lit(2**31 - 1)))
+        .cast("int")
+        .alias("tag"),
         text.alias("text"),
     )
 
@@ -316,7 +321,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            ids = [None if tag < 0 else doc for doc, tag in pairs]
             for a, words, gone, b in _removed(batch):
                 raw = words.data.tobytes()
                 out = []
@@ -328,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         n = len(keep)
                     else:
                         kept, n = b" ".join(raw[words.offs[k] : words.offs[k + 1]].split()), e - s
-                    out.append((None if ids[a + k] == NO_ID else ids[a + k], e - s, e - s - n, kept.decode()))
+                    out.append((ids[a + k], e - s, e - s - n, kept.decode()))
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_words", "n_removed", "kept"])

@@ -48,6 +48,16 @@ def test_shifted_and_nested_repeats(spark):
     assert sum(r[2] for r in got) > 500
 
 
+def test_largest_id_is_not_null(spark):
+    from cases import words
+
+    top, text = 2**63 - 1, words(60, "z")
+    table = [(top, text, "en", "a", 1), (None, text, "en", "a", 1), (None, "only " + words(30, "n"), "en", "a", 1), (top, words(25, "y"), "en", "a", 1)]
+    got = rows(S.remove_repeats(documents(spark, table, 2)))
+    assert got == plain(table)
+    assert {(r[0], r[2]) for r in got} == {(top, 0), (None, 60), (None, 0)}
+
+
 def test_empty_table(spark):
     assert rows(S.remove_repeats(empty(spark))) == []
 
