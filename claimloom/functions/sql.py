@@ -23,8 +23,9 @@ RETURN
              c.fact_key, c.op, c.operand,
              try_element_at(from_json(given_json, 'MAP<STRING, STRING>'), c.fact_key)
            ) AS one
-    FROM {rules} r LEFT JOIN {conditions} c ON c.rule_id = r.rule_id
-    WHERE r.scenario_type IN (grievance, '{any_scenario}')
+    FROM (SELECT explode(array_distinct(array(grievance, '{any_scenario}'))) AS scenario) s
+    JOIN {rules} r ON r.scenario_type = s.scenario
+    LEFT JOIN {conditions} c ON c.rule_id = r.rule_id
   ), rule_codes AS (
     SELECT rule_id, source_para, title, passenger_gets_text, actions_json, min(one) AS code
     FROM checked GROUP BY rule_id, source_para, title, passenger_gets_text, actions_json

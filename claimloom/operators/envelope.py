@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the typed form of a response.
 RESPONSE_DDL = """STRUCT<
@@ -22,11 +23,12 @@ RESPONSE_DDL = """STRUCT<
 
 
 def decode_envelopes(envelopes: DataFrame) -> DataFrame:
-    """(path, extracted JSON) -> (path, error_message, resp).
+    """(path, extracted) -> (path, error_message, resp); extracted is JSON text or a VARIANT.
 
     A malformed envelope gives a NULL response instead of failing the job.
     """
-    opened = envelopes.withColumn("v", F.try_parse_json("extracted"))
+    stored = isinstance(envelopes.schema["extracted"].dataType, T.VariantType)
+    opened = envelopes.withColumn("v", F.col("extracted") if stored else F.try_parse_json("extracted"))
     return opened.select(
         "path",
         F.try_variant_get("v", "$.error_message", "string").alias("error_message"),

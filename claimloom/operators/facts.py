@@ -111,8 +111,7 @@ def missing_fields(
         required = required.where("is_required")
     names = required.select(F.col("field_name").alias("fact_key")).distinct()
     filled = (
-        known.where(~is_blank(F.col("value")))
-        .join(names, "fact_key", "left_semi")
+        spread_join(known.where(~is_blank(F.col("value"))), names, ["fact_key"], "case_id", "left_semi")
         .groupBy("case_id")
         .agg(F.collect_set("fact_key").alias("filled"))
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.joins import spread_join
 from claimloom.session import materialise
 
 REFRESH_SECONDS = 3600
@@ -109,6 +110,11 @@ def refresh_summary(log: DataFrame) -> DataFrame:
     )
 
 
+#: Pieces that rows of one delay are dealt to.
+COPIES = 8
+#: Thresholds up to this number stand in the plan, and a row is compared with them in place.
+IN_PLACE = 1000
+
 # Delays and thresholds are compared exactly; blocks only find the pairs to compare.
 BITS = 62
 
@@ -161,13 +167,16 @@ def entitlements_by_delay(
     if previous:
         reached &= F.col(previous).isNull() | (F.col(previous) < F.col("least"))
     pairs = (
-        values.select(*keys, F.inline(blocks))
-        .join(spread, ["level", "block"])
+        spread_join(values.select(*keys, F.inline(blocks)), spread, ["level", "block"], "delay", pieces=COPIES)
         .where(reached)
         .select(*(F.col(k).alias(f"of_{k}") for k in keys), "least", "entitlement")
     )
     same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) if k != "delay" else F.col(k) == F.col(f"of_{k}") for k in keys]
-    return delays.join(pairs, same).select(*delays.columns, "entitlement")
+    # delays are few, so rows of one delay are dealt to pieces
+    rows = delays.withColumn("__piece", F.pmod(F.xxhash64(*delays.columns), F.lit(COPIES)).cast("int"))
+    copies = pairs.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    same.append(F.col("__piece") == F.col("__copy"))
+    return rows.join(copies, same).select(*delays.columns, "entitlement")
 
 
 def previous_delay(steps: DataFrame, bucket: str = "hour") -> DataFrame:
@@ -211,26 +220,56 @@ def entitlement_changes(
     return gained_entitlements(steps, thresholds)
 
 
+def _marks(least: DataFrame) -> Column | None:
+    """The thresholds as one array, where they are at most IN_PLACE."""
+    rows = least.select("min_delay_minutes", "entitlement").limit(IN_PLACE + 1).collect()
+    if len(rows) > IN_PLACE:
+        return None
+    kinds = {f.name: f.dataType for f in least.schema.fields}
+    marks = [
+        F.struct(
+            F.lit(r.min_delay_minutes).cast(kinds["min_delay_minutes"]).alias("least"),
+            F.lit(r.entitlement).cast(kinds["entitlement"]).alias("entitlement"),
+        )
+        for r in rows
+    ]
+    none = f"array<struct<least: {kinds['min_delay_minutes'].simpleString()}, entitlement: string>>"
+    return F.array(*marks) if marks else F.array().cast(none)
+
+
+def _gained(marks: Column) -> Column:
+    """Entitlements that the row's delay reaches and its previous one did not."""
+    new = F.filter(
+        marks,
+        lambda m: (m["least"] <= F.col("delay")) & (F.col("previous").isNull() | (F.col("previous") < m["least"])),
+    )
+    return F.transform(new, lambda m: m["entitlement"])
+
+
+def _least(thresholds: DataFrame) -> DataFrame:
+    least = thresholds.groupBy("entitlement").agg(F.min("min_delay_minutes").alias("min_delay_minutes"))
+    return least.where("min_delay_minutes IS NOT NULL")
+
+
 def gained_entitlements(steps: DataFrame, thresholds: DataFrame) -> DataFrame:
     """steps(flight_number, seq, observed_at, delay, previous) -> one row per gain."""
-    least = thresholds.groupBy("entitlement").agg(
-        F.min("min_delay_minutes").alias("min_delay_minutes")
-    )
-    return entitlements_by_delay(steps, least, previous="previous").select(
-        "flight_number", "seq", "observed_at", F.col("entitlement").alias("gained")
-    )
+    least = _least(thresholds)
+    marks = _marks(least)
+    if marks is None:
+        found = entitlements_by_delay(steps, least, previous="previous").withColumnRenamed("entitlement", "gained")
+    else:
+        found = steps.withColumn("gained", F.explode(_gained(marks)))
+    return found.select("flight_number", "seq", "observed_at", "gained")
 
 
 def gained_in_row(steps: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """gained_entitlements for a stream: a step meets the thresholds, one value per entitlement,
-    within its own row, so there is no join state. A late step gives one row with gained null."""
-    least = thresholds.groupBy("entitlement").agg(F.min("min_delay_minutes").alias("least"))
-    # one row on the right: every step meets it once
-    table = least.agg(F.collect_list(F.struct("least", "entitlement")).alias("marks")).withColumn("one", F.lit(1))
-    joined = steps.withColumn("one", F.lit(1)).join(F.broadcast(table), "one")
-    gained = F.filter(
-        "marks",
-        lambda m: (m["least"] <= F.col("delay")) & (F.col("previous").isNull() | (F.col("previous") < m["least"])),
-    )
-    names = F.when(F.col("late"), F.array(F.lit(None).cast("string"))).otherwise(F.transform(gained, lambda m: m["entitlement"]))
-    return joined.select("flight_number", "seq", "observed_at", F.explode(names).alias("gained"))
+    """gained_entitlements for a stream: a step meets the thresholds within its own row, so there
+    is no join state. A late step gives one row with gained null."""
+    least = _least(thresholds)
+    marks = _marks(least)
+    if marks is None:  # one row on the right: every step meets it once
+        table = least.agg(F.collect_list(F.struct(F.col("min_delay_minutes").alias("least"), "entitlement")).alias("marks"))
+        steps = steps.withColumn("one", F.lit(1)).join(F.broadcast(table.withColumn("one", F.lit(1))), "one")
+        marks = F.col("marks")
+    names = F.when(F.col("late"), F.array(F.lit(None).cast("string"))).otherwise(_gained(marks))
+    return steps.select("flight_number", "seq", "observed_at", F.explode(names).alias("gained"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import numbered, strip
 from claimloom.functions.vocabulary import LETTER_TYPES
+from claimloom.operators.joins import spread_join
 
 # Form columns, and the names of the letter's placeholders they fill.
 FORM_COLUMNS = (
@@ -154,6 +155,6 @@ def escalation_checklists(items: DataFrame) -> DataFrame:
 
 def guidance(cases: DataFrame, checklists: DataFrame) -> DataFrame:
     """The checklist of each case's type; an unknown type has an empty one."""
-    return cases.join(checklists, "grievance_type", "left").withColumn(
+    return spread_join(cases, checklists, ["grievance_type"], "case_id", "left").withColumn(
         "checklist", F.coalesce("checklist", F.lit(""))
     )

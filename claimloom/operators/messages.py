@@ -17,6 +17,7 @@ from claimloom.functions.vocabulary import (
     GRIEVANCE_TYPES,
     TYPE_LABELS,
 )
+from claimloom.operators.joins import spread_join
 
 UNSUPPORTED = "unsupported"
 
@@ -52,6 +53,57 @@ def classify_with(
     return messages.mapInPandas(run, schema)
 
 
+#: What a classification says: its label, the words that support it, and how sure it is.
+CLASSIFICATION = "struct<label: string, reason_span: string, confidence: double>"
+
+
+def checked_classification(text: Column, label: Column, reason_span: Column, confidence: Column) -> Column:
+    """A classifier's answer as (label, reason_span, confidence): the label is a grievance type or
+    'unsupported', a span counts only if the text holds it, a confidence only from 0 to 1."""
+    held = (strip(reason_span) != "") & F.contains(text, reason_span)
+    sure = confidence.try_cast("double")
+    return F.struct(
+        exact_label(label).alias("label"),
+        F.when(held, reason_span).alias("reason_span"),
+        F.when(sure.between(0.0, 1.0), sure).alias("confidence"),
+    )
+
+
+def explain_by_keywords(text: Column) -> Column:
+    """The keyword classifier with the words it went by; a rule is not more or less sure."""
+    low = F.lower(text)
+    found = [
+        F.when(low.contains(word), F.struct(F.lit(kind).alias("kind"), F.lit(word).alias("word")))
+        for kind, group in CLASSIFIER_KEYWORDS
+        for word in group
+    ]
+    hit = F.coalesce(*found)
+    span = F.substr(text, F.position(hit["word"], low), F.length(hit["word"]))
+    return F.struct(
+        F.coalesce(hit["kind"], F.lit(UNSUPPORTED)).alias("label"),
+        F.when(F.lower(span) == hit["word"], span).alias("reason_span"),
+        F.lit(None).cast("double").alias("confidence"),
+    )
+
+
+def classify_in_full(
+    messages: DataFrame, model: Callable[[pd.Series], pd.DataFrame], text: str = "text"
+) -> DataFrame:
+    """Add `classification`, from a model over batches of texts that gives primary_label,
+    reason_span and confidence; see checked_classification."""
+    answer = ("primary_label", "reason_span", "confidence")
+    schema = T.StructType(messages.schema.fields + [T.StructField(f"__{c}", T.StringType()) for c in answer])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = model(batch[text].fillna("").reset_index(drop=True))
+            yield batch.reset_index(drop=True).assign(**{f"__{c}": found[c].astype("string") for c in answer})
+
+    answered = messages.mapInPandas(run, schema)
+    checked = checked_classification(F.col(text), *(F.col(f"__{c}") for c in answer))
+    return answered.withColumn("classification", checked).drop(*(f"__{c}" for c in answer))
+
+
 def is_flight_related(text: Column) -> Column:
     return F.coalesce(contains_any(F.lower(text), FLIGHT_WORDS), F.lit(False))
 
@@ -144,9 +196,9 @@ def match_answers(
     the first field it names; of several answers to a field the last one counts.
     """
     keys = ["grievance_type"] if by_type else []
+    given, named = _answer_forms(answer_pairs(messages)), _name_forms(required, "grievance_type")
     per_answer = (
-        _answer_forms(answer_pairs(messages))
-        .join(_name_forms(required, "grievance_type"), keys + ["form", "answer_key"])
+        spread_join(given, named, keys + ["form", "answer_key"], "conv_id")
         .groupBy("conv_id", "turn", "grievance_type", "pos")
         .agg(
             F.min_by(F.struct("field_name", "value"), "field_order").alias("hit")

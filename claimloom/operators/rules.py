@@ -76,36 +76,50 @@ def readable_facts(known: DataFrame) -> DataFrame:
     return read.where("fact IS NOT NULL")
 
 
-def readable_conditions(conditions: DataFrame) -> DataFrame:
-    """Distinct conditions with their operand read once: (rule_id, condition)."""
-    distinct = conditions.select("rule_id", "fact_key", "op", "operand").distinct()
-    return distinct.select("rule_id", F.expr(condition_sql("fact_key", "op", "operand")).alias("condition"))
+def _condition_id() -> Column:
+    """64 bits that tell distinct conditions apart."""
+    parts = [p for c in ("op", "operand") for p in (F.col(c).isNull(), F.col(c))]
+    return F.xxhash64("fact_key", *parts)
 
 
-def _facts_by_case(known: DataFrame, conditions: DataFrame) -> DataFrame:
-    """(case_id, facts): a map of the facts that conditions ask for."""
-    asked = conditions.select("fact_key").distinct()
-    return (
-        readable_facts(known)
-        .join(asked, "fact_key", "left_semi")
-        .groupBy("case_id")
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("fact_key", "fact")))).alias("facts"))
-    )
+def _conditions_by_rule(conditions: DataFrame) -> DataFrame:
+    """(rule_id, conditions): the distinct ones, each by id and the fact it asks for."""
+    own = conditions.select("rule_id", F.struct(_condition_id().alias("id"), "fact_key").alias("condition"))
+    return own.groupBy("rule_id").agg(F.sort_array(F.collect_set("condition")).alias("conditions"))
 
 
-def _conditions_by_rule(conditions: DataFrame) -> DataFrame:
-    return readable_conditions(conditions).groupBy("rule_id").agg(
-        F.sort_array(F.collect_list("condition")).alias("conditions")
+def judged_values(known: DataFrame, conditions: DataFrame) -> DataFrame:
+    """(fact_key, text, holding, failing): each distinct value of a fact, judged once by each
+    distinct condition on that fact. Ids of the true and of the false ones; others are unknown."""
+    distinct = conditions.select("fact_key", "op", "operand").distinct()
+    read = distinct.select(
+        "fact_key", _condition_id().alias("id"), F.expr(condition_sql("fact_key", "op", "operand")).alias("condition")
     )
+    values = readable_facts(known).select("fact_key", F.col("fact.text").alias("text"), "fact").distinct()
+    holds = F.expr(holds_sql("condition", "fact"))
+    judged = spread_join(values, read, ["fact_key"], "text").select("fact_key", "text", "id", holds.alias("holds"))
+    return judged.groupBy("fact_key", "text").agg(
+        *(F.collect_list(F.when(F.col("holds") == truth, F.col("id"))).alias(name) for name, truth in _VERDICTS)
+    )
+
 
+_VERDICTS = (("holding", True), ("failing", False))
 
-_ENTRIES = "array<struct<key: string, value: struct<text: string, number: double, truth: boolean>>>"
-_HOLDS = holds_sql("c", "try_element_at(facts, c.fact_key)")
 
+def judged_cases(known: DataFrame, conditions: DataFrame) -> DataFrame:
+    """(case_id, holding, failing): what the conditions say of a case's facts, by their ids."""
+    facts = readable_facts(known).select("case_id", "fact_key", F.col("fact.text").alias("text"))
+    met = spread_join(facts, judged_values(known, conditions), ["fact_key", "text"], "case_id")
+    return met.groupBy("case_id").agg(
+        *(F.sort_array(F.flatten(F.collect_list(name))).alias(name) for name, _ in _VERDICTS)
+    )
 
-def _ruled_out() -> Column:
-    """Whether a condition is false; stops at the first one."""
-    return F.expr(f"coalesce(exists(conditions, c -> NOT coalesce({_HOLDS}, true)), false)")
+
+def _with_verdicts(cases: DataFrame, known: DataFrame, conditions: DataFrame) -> DataFrame:
+    """cases with their judged conditions; none for a case without facts."""
+    none = F.array().cast("array<bigint>")
+    joined = cases.join(judged_cases(known, conditions), "case_id", "left")
+    return joined.withColumns({name: F.coalesce(name, none) for name, _ in _VERDICTS})
 
 
 def candidate_outcomes(
@@ -115,19 +129,20 @@ def candidate_outcomes(
 
     (case_id, rule_id, match_kind, missing_facts): missing_facts lists the keys of
     unknown conditions of 'maybe' rules. Rows are cases * top_k throughout, since a rule
-    brings its conditions and a case its facts.
+    brings the ids of its conditions and a case those that hold and fail for its facts.
     """
     none = F.array().cast("array<string>")
-    unknown = F.expr(f"filter(conditions, c -> ({_HOLDS}) IS NULL)")
+    ids = F.transform("conditions", lambda c: c["id"])
+    unknown = F.filter("conditions", lambda c: ~F.array_contains("holding", c["id"]))
     open_keys = F.array_sort(F.array_distinct(F.transform(unknown, lambda c: c["fact_key"])))
+    ruled_out = F.coalesce(F.arrays_overlap(ids, "failing"), F.lit(False))
     return (
-        candidates.select("case_id", "rule_id")
+        _with_verdicts(candidates.select("case_id", "rule_id"), known, conditions)
         .join(_conditions_by_rule(conditions), "rule_id", "left")
-        .join(_facts_by_case(known, conditions), "case_id", "left")
         .select(
             "case_id",
             "rule_id",
-            F.when(_ruled_out(), None).otherwise(F.coalesce(open_keys, none)).alias("open"),
+            F.when(ruled_out, None).otherwise(F.coalesce(open_keys, none)).alias("open"),
             F.col("conditions").isNull().alias("free"),
         )
         .select(
@@ -149,74 +164,86 @@ def missing_facts_for_maybe(
     why = required.select(
         "grievance_type", F.col("field_name").alias("fact_key"), "why_needed"
     )
-    return (
+    needed = (
         outcomes.where("match_kind = 'maybe'")
         .select("case_id", F.explode("missing_facts").alias("fact_key"))
         .distinct()
         .join(cases, "case_id")
-        .join(why, ["grievance_type", "fact_key"], "left")
-        .select("case_id", "fact_key", "why_needed")
+    )
+    return spread_join(needed, why, ["grievance_type", "fact_key"], "case_id", "left").select(
+        "case_id", "fact_key", "why_needed"
     )
 
 
-def eval_rules(
-    cases: DataFrame, known: DataFrame, rules: DataFrame, conditions: DataFrame
-) -> DataFrame:
-    """Rules of each case's type (and the cross-cutting ones) that match exactly or may
-    match, with the columns a rule shows to the passenger.
+def case_signatures(cases: DataFrame, known: DataFrame, conditions: DataFrame) -> DataFrame:
+    """(case_id, grievance_type, signature, holding, failing): cases of one type for which the
+    same conditions hold and fail have the same rules; the signature is their smallest case_id."""
+    own = _with_verdicts(cases.select("case_id", "grievance_type"), known, conditions)
+    alike = ["grievance_type", "holding", "failing"]
+    firsts = own.groupBy(*alike).agg(F.min("case_id").alias("signature"))
+    return own.join(firsts, alike)
 
-    A rule carries its own conditions and a case its own facts, limited to keys that
-    conditions ask for. Cases of one type with the same facts have the same rules, so only
-    the first of them meets the rules, and the others take over what it got. A pair is
-    decided where the two rows meet, stopping at the first deciding condition.
+
+def eval_signatures(members: DataFrame, rules: DataFrame, conditions: DataFrame) -> DataFrame:
+    """(signature, rule_id, match_kind, ...): rules of the signature's type (and the cross-cutting
+    ones) that match exactly or may match, with the columns a rule shows to the passenger.
+
+    Rules of one scenario with the same conditions are one class. A signature meets classes, and
+    a meeting compares ids: none of the class's conditions fails, and how many of them hold.
     """
     actions = F.col("actions_json") if "actions_json" in rules.columns else F.lit(None)
-    with_conditions = rules.select(
-        "rule_id", "scenario_type", "rule_family", "source_para", "title",
-        "passenger_gets_text", actions.cast("string").alias("actions_json"),
-    ).join(_conditions_by_rule(conditions), "rule_id", "left")
-
-    entries = F.map_entries("facts")
-    own = cases.select("case_id", "grievance_type").join(
-        _facts_by_case(known, conditions).select("case_id", entries.alias("entries")), "case_id", "left"
-    ).withColumn("entries", F.coalesce("entries", F.expr("array()").cast(_ENTRIES)))
-    alike = own.groupBy("grievance_type", "entries").agg(F.min("case_id").alias("first"))
-    scenarios = F.explode(F.array_distinct(F.array("grievance_type", F.lit(ANY_SCENARIO))))
-    met = spread_join(
-        alike.select("first", F.map_from_entries("entries").alias("facts"), scenarios.alias("scenario_type")),
-        with_conditions, ["scenario_type"], "first",
-    )
-    all_hold = F.expr(f"forall(conditions, c -> coalesce({_HOLDS}, false))")
-    decided = met.where(~_ruled_out()).select(
-        "first", "rule_id", F.when(all_hold, "exact").otherwise("maybe").alias("match_kind"),
-        "source_para", "title", "passenger_gets_text", "actions_json",
+    ids = F.transform("conditions", lambda c: c["id"])
+    by_rule = rules.select("rule_id", "scenario_type").join(_conditions_by_rule(conditions), "rule_id", "left")
+    by_rule = by_rule.select("rule_id", "scenario_type", F.coalesce(ids, F.array().cast("array<bigint>")).alias("ids"))
+    classes = by_rule.groupBy("scenario_type", "ids").agg(F.min("rule_id").alias("class"))
+    in_class = by_rule.join(classes, ["scenario_type", "ids"]).select("rule_id", "class")
+    shown = rules.select(
+        "rule_id", "source_para", "title", "passenger_gets_text", actions.cast("string").alias("actions_json"),
         (F.col("rule_family") == "exception").alias("is_exception"),
     )
-    takers = own.join(alike, ["grievance_type", "entries"]).select("case_id", "grievance_type", "first")
-    return takers.join(decided, "first").drop("first")
+    scenarios = F.explode(F.array_distinct(F.array("grievance_type", F.lit(ANY_SCENARIO))))
+    firsts = members.where("case_id = signature").select("signature", "holding", "failing", scenarios.alias("scenario_type"))
+    met = spread_join(firsts, classes, ["scenario_type"], "signature").where(~F.arrays_overlap("ids", "failing"))
+    all_hold = (F.size("ids") > 0) & (F.size(F.array_except("ids", "holding")) == 0)
+    decided = met.select("signature", "class", F.when(all_hold, "exact").otherwise("maybe").alias("match_kind"))
+    return spread_join(decided, in_class.join(shown, "rule_id"), ["class"], "signature").drop("class")
+
+
+def of_cases(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """What has been found of each signature, for each of its cases."""
+    return members.select("case_id", "signature").join(rows, "signature").drop("signature")
+
+
+def eval_rules(
+    cases: DataFrame, known: DataFrame, rules: DataFrame, conditions: DataFrame
+) -> DataFrame:
+    """Every matching pair of case and rule: eval_signatures for each case."""
+    members = case_signatures(cases, known, conditions)
+    found = eval_signatures(members, rules, conditions)
+    return members.select("case_id", "grievance_type", "signature").join(found, "signature").drop("signature")
 
 
-def evaluation_order(evaluated: DataFrame) -> DataFrame:
-    """Add place: the order in which a case's rules are shown, from 1."""
-    order = Window.partitionBy("case_id").orderBy(
+def evaluation_order(evaluated: DataFrame, by: str = "case_id") -> DataFrame:
+    """Add place: the order in which the rules of a case (or signature) are shown, from 1."""
+    order = Window.partitionBy(by).orderBy(
         "match_kind", F.col("source_para").asc_nulls_first(), "rule_id"
     )
     return evaluated.withColumn("place", F.row_number().over(order))
 
 
-def top_rule_lines(evaluated: DataFrame, n: int = 3) -> DataFrame:
+def top_rule_lines(evaluated: DataFrame, n: int = 3, by: str = "case_id") -> DataFrame:
     """The first n rules of a case as numbered lines for a draft."""
     shown = F.concat(
         F.coalesce("title", F.lit("N/A")), F.lit(": "),
         F.coalesce("passenger_gets_text", F.lit("N/A")),
     )
     first = (
-        evaluation_order(evaluated)
+        evaluation_order(evaluated, by)
         .where(F.col("place") <= n)
-        .select("case_id", "place", shown.alias("line"))
+        .select(by, "place", shown.alias("line"))
     )
     lines = F.sort_array(F.collect_list(F.struct("place", "line")))
-    return first.groupBy("case_id").agg(
+    return first.groupBy(by).agg(
         numbered(F.transform(lines, lambda x: x["line"])).alias("rules_text")
     )
 
@@ -232,8 +259,8 @@ def _in_evaluation_order(columns: dict[str, Column], shown: Callable) -> Column:
     return F.transform(F.sort_array(F.collect_list(keyed)), shown)
 
 
-def rule_summaries(evaluated: DataFrame) -> DataFrame:
-    """(case_id, matched_rules): the evaluated rules of a case as one JSON list."""
+def rule_summaries(evaluated: DataFrame, by: str = "case_id") -> DataFrame:
+    """(case_id, matched_rules): the evaluated rules of a case (or signature) as one JSON list."""
     object_ddl = "MAP<STRING, STRING>"
 
     def shown(r):
@@ -255,12 +282,12 @@ def rule_summaries(evaluated: DataFrame) -> DataFrame:
         "source": F.coalesce("source_para", F.lit("N/A")),
         "actions_json": F.col("actions_json"),
     }
-    return evaluated.groupBy("case_id").agg(
+    return evaluated.groupBy(by).agg(
         F.to_json(_in_evaluation_order(columns, shown)).alias("matched_rules")
     )
 
 
-def exact_rule_summary(evaluated: DataFrame) -> DataFrame:
+def exact_rule_summary(evaluated: DataFrame, by: str = "case_id") -> DataFrame:
     """(case_id, summary): numbered title and benefit of each exactly matching rule."""
     columns = {
         "title": F.coalesce("title", F.lit("N/A")),
@@ -275,6 +302,6 @@ def exact_rule_summary(evaluated: DataFrame) -> DataFrame:
 
     return (
         evaluated.where("match_kind = 'exact'")
-        .groupBy("case_id")
+        .groupBy(by)
         .agg(F.array_join(_in_evaluation_order(columns, shown), "").alias("summary"))
     )

@@ -205,7 +205,7 @@ def _score_asked(asked: DataFrame, sections: DataFrame) -> DataFrame:
     """(doc_id, question, position, block_length, score) with score > 0.
 
     Equal questions are scored once, and a term is counted once per section however
-    many questions use it. Only sections that contain the term leave the first join.
+    many questions use it. Texts are joined once, with a row per document.
     """
     terms = question_terms(asked)
     text = sections.select(
@@ -214,15 +214,13 @@ def _score_asked(asked: DataFrame, sections: DataFrame) -> DataFrame:
         _block_length().alias("block_length"),
         F.lower(F.concat_ws(" ", "title", "content")).alias("text"),
     )
-    wanted = terms.select("doc_id", "term").distinct()
-    hits = (
-        text.join(wanted, "doc_id")
-        .where(F.col("text").contains(F.col("term")))
-        .select(
-            "doc_id", "term", "position", "block_length",
-            count_of(F.col("text"), F.col("term")).alias("n"),
-        )
+    # all terms of a document stand in one row, so a section meets one row and is read once
+    wanted = terms.groupBy("doc_id").agg(F.collect_set("term").alias("wanted"))
+    found = F.filter(
+        F.transform("wanted", lambda t: F.struct(t.alias("term"), F.when(F.col("text").contains(t), count_of(F.col("text"), t)).alias("n"))),
+        lambda h: h["n"].isNotNull(),
     )
+    hits = text.join(wanted, "doc_id").select("doc_id", "position", "block_length", F.inline(found))
     return (
         terms.join(hits, ["doc_id", "term"])
         .groupBy("doc_id", "question", "position", "block_length")

@@ -33,6 +33,16 @@ def _contains_case(text: str, groups) -> str:
     return f"CASE {arms} END"
 
 
+def _first_word(text: str, groups) -> str:
+    """CASE giving the first keyword the text contains, as it stands in the text."""
+    arms = " ".join(
+        f"WHEN contains(lower({text}), {_lit(k)}) THEN substr({text}, instr(lower({text}), {_lit(k)}), {len(k)})"
+        for _, words in groups
+        for k in words
+    )
+    return f"CASE {arms} END"
+
+
 # Named relations; a query lists only what it selects from, the rest follows.
 R: dict[str, str] = {name: text for name, text in fx.VIEWS.items()}
 
@@ -434,7 +444,8 @@ def _template(text: str) -> str:
 
 
 R["labelled"] = f"""
-SELECT *, coalesce({_contains_case("lower(user_text)", v.CLASSIFIER_KEYWORDS)}, 'unsupported') AS grievance_type
+SELECT *, coalesce({_contains_case("lower(user_text)", v.CLASSIFIER_KEYWORDS)}, 'unsupported') AS grievance_type,
+       {_first_word("user_text", v.CLASSIFIER_KEYWORDS)} AS reason_span, CAST(NULL AS DOUBLE) AS confidence
 FROM fx_intake
 """
 
@@ -455,6 +466,8 @@ SELECT 'doc-' || CAST(seq // 100 AS STRING) AS path,
        CASE WHEN (seq // 100) % 20 = 19 THEN 'partly unreadable' END AS error_message,
        'doc-' || CAST(seq // 100 AS STRING) AS document_id, CAST(count(*) AS INTEGER) AS n_rules
 FROM fx_rules_raw GROUP BY seq // 100"""
+Q["stored_envelopes"] = Q["envelope_errors"]
+Q["stored_rules"] = "SELECT * FROM rules"
 Q["envelope_required"] = "SELECT * FROM required"
 Q["envelope_rules"] = "SELECT * FROM rules"
 Q["tolerant_decode"] = """
@@ -516,6 +529,21 @@ Q["rule_outcomes"] = "SELECT * FROM outcomes"
 Q["missing_facts_for_maybe"] = "SELECT * FROM needed"
 Q["rules_matched"] = "SELECT * FROM evaluated"
 _ORDER = "ORDER BY match_kind, coalesce(source_para, ''), rule_id"
+R["alike"] = f"""
+WITH judged AS (
+  SELECT DISTINCT c.case_id, c.grievance_type, n.fact_key, n.op, n.operand, {CODE} AS code
+  FROM fx_cases c JOIN known k ON k.case_id = c.case_id JOIN fx_conditions n ON n.fact_key = k.fact_key
+), verdicts AS (
+  SELECT c.case_id, c.grievance_type,
+         coalesce(list_sort(list({{'k': fact_key, 'o': op, 'v': operand, 'c': code}}) FILTER (WHERE code <> 1)), []) AS said
+  FROM fx_cases c LEFT JOIN judged j ON j.case_id = c.case_id GROUP BY ALL
+)
+SELECT case_id, grievance_type, min(case_id) OVER (PARTITION BY grievance_type, said) AS signature FROM verdicts
+"""
+Q["case_signatures"] = "SELECT * FROM alike"
+Q["signature_rules"] = """
+SELECT case_id AS signature, rule_id, match_kind FROM evaluated e
+WHERE case_id IN (SELECT signature FROM alike)"""
 Q["rules_in_order"] = """
 SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY match_kind, source_para NULLS FIRST, rule_id) AS INTEGER) AS place,
        rule_id, match_kind FROM evaluated"""
@@ -582,6 +610,11 @@ SELECT conv_id, turn, {_LABEL.replace('{}', f'lower(trim(reply, {WS}))')} AS rep
 FROM fx_replies"""
 Q["model_labels"] = f"""
 SELECT conv_id, turn, {_LABEL.replace('{}', 'lower(text)')} AS label FROM fx_messages"""
+Q["model_classifications"] = """
+SELECT conv_id, turn, CASE WHEN contains(lower(text), 'delay') THEN 'delay' ELSE 'unsupported' END AS label,
+       CASE WHEN length(text) % 2 = 0 AND trim(text) <> '' THEN substr(text, 1, 12) END AS reason_span,
+       CASE WHEN length(text) % 120 <= 100 THEN (length(text) % 120) / 100.0::DOUBLE END AS confidence
+FROM fx_messages"""
 Q["flight_related"] = f"""
 SELECT conv_id, turn, regexp_matches(lower(text), '{"|".join(v.FLIGHT_WORDS)}') AS flight_related
 FROM fx_messages"""
@@ -660,7 +693,7 @@ SELECT l.case_id, l.grievance_type, coalesce(x.txt, '') AS checklist FROM labell
   FROM (SELECT *, row_number() OVER (PARTITION BY grievance_type, kind ORDER BY item_no) AS n FROM fx_checklist)
   GROUP BY grievance_type) x ON x.grievance_type = l.grievance_type"""
 Q["case_runs"] = """
-SELECT l.case_id, l.session_id, l.user_text, l.grievance_type, coalesce(s.status, 'unsupported') AS status,
+SELECT l.case_id, l.session_id, l.user_text, l.grievance_type, l.reason_span, l.confidence, coalesce(s.status, 'unsupported') AS status,
        l.grievance_type IN ('cancellation', 'denied_boarding') AS letter_available,
        coalesce(s.n_missing, 0) AS n_missing, coalesce(s.n_crit, 0) AS n_missing_critical,
        coalesce(s.missing_fields, '') AS missing_fields, coalesce(s.missing_critical_fields, '') AS missing_critical_fields,
@@ -688,6 +721,10 @@ Q["stored_case_runs"] = f"""
 SELECT session_id, user_text, grievance_type, facts_json, intake_json, match_json, {AS_OF} AS created_at, 'first' AS batch
 FROM ({Q["case_runs"]}) WHERE status = 'matched'"""
 
+Q["case_runs_by_date"] = f"""
+SELECT CAST({AS_OF} AS DATE) + CAST(d AS INTEGER) AS run_date, CASE d WHEN 0 THEN 'first' ELSE 'second' END AS batch, count(*) AS n_runs
+FROM ({Q["case_runs"]}), (SELECT unnest([0, 1]) AS d) WHERE status = 'matched' GROUP BY ALL"""
+
 _STATUS = f"""
 SELECT c.case_id, count(m.field_name) AS n_missing, count(CASE WHEN m.is_required THEN 1 END) AS n_crit, {_OPEN_LISTS}
        CASE WHEN count(CASE WHEN m.is_required THEN 1 END) > 0 THEN 'need_more_info' ELSE 'matched' END AS status
@@ -701,7 +738,7 @@ _OF_INTAKE = {
     "known_in": "SELECT k.* FROM known k JOIN cases_in c ON c.case_id = k.case_id",
 }
 
-REPLACED: dict[str, dict[str, str]] = {"case_runs": _OF_INTAKE, "stored_case_runs": _OF_INTAKE}
+REPLACED: dict[str, dict[str, str]] = {"case_runs": _OF_INTAKE, "stored_case_runs": _OF_INTAKE, "case_runs_by_date": _OF_INTAKE}
 
 
 def _needed(text: str, relations: dict[str, str]) -> list[str]:

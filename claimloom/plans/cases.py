@@ -10,18 +10,25 @@ from pyspark.sql import functions as F
 from claimloom.operators import facts as facts_op
 from claimloom.operators import retrieval, rules as rules_op
 from claimloom.operators.letters import letter_available
-from claimloom.operators.messages import UNSUPPORTED, classify_by_keywords
+from claimloom.operators.messages import UNSUPPORTED, explain_by_keywords
 from claimloom.session import materialise
 
 EMPTY_MAP = "MAP<STRING, STRING>"
 
 
 def label_cases(
-    intake: DataFrame, classify: Callable[[Column], Column] = classify_by_keywords
+    intake: DataFrame, explain: Callable[[Column], Column] = explain_by_keywords
 ) -> DataFrame:
-    """Add grievance_type; a message without a supported type becomes 'unsupported'."""
-    label = F.coalesce(classify(F.col("user_text")), F.lit(UNSUPPORTED))
-    return intake.withColumn("grievance_type", label)
+    """Add grievance_type, reason_span and confidence; a message without a supported type becomes
+    'unsupported'. Intake that has a classification (messages.classify_in_full) keeps it."""
+    found = intake if "classification" in intake.columns else intake.withColumn("classification", explain(F.col("user_text")))
+    return found.withColumns(
+        {
+            "grievance_type": F.coalesce("classification.label", F.lit(UNSUPPORTED)),
+            "reason_span": F.col("classification.reason_span"),
+            "confidence": F.col("classification.confidence"),
+        }
+    ).drop("classification")
 
 
 def match_results(outcomes: DataFrame, cases: DataFrame, required: DataFrame) -> DataFrame:
@@ -64,17 +71,17 @@ def run_cases(
     conditions: DataFrame,
     as_of: Column,
     top_k: int | None = retrieval.TOP_K,
-    classify: Callable[[Column], Column] = classify_by_keywords,
+    explain: Callable[[Column], Column] = explain_by_keywords,
     folder: str | None = None,
 ) -> DataFrame:
     """Every intake row with its status and, when matched, its case-run columns.
 
-    intake: (case_id, session_id, user_text). status is 'unsupported',
+    intake: (case_id, session_id, user_text), and classification if it has been classified. status is 'unsupported',
     'need_more_info' (a critical field is missing) or 'matched'. missing_fields and
     missing_critical_fields list the open fields in their order. With a `folder`, known
     facts and outcomes are written there once; nothing else is written.
     """
-    labelled = label_cases(intake, classify)
+    labelled = label_cases(intake, explain)
     cases = labelled.where(F.col("grievance_type") != UNSUPPORTED).select(
         "case_id", "grievance_type"
     )
@@ -106,6 +113,8 @@ def run_cases(
             ),
             F.coalesce("user_text", F.lit("")).alias("user_text"),
             "grievance_type",
+            "reason_span",
+            "confidence",
             F.coalesce("status", F.lit(UNSUPPORTED)).alias("status"),
             letter_available(F.col("grievance_type")).alias("letter_available"),
             F.coalesce("n_missing", F.lit(0)).alias("n_missing"),

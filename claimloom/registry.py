@@ -30,7 +30,7 @@ from claimloom.plans import cases as case_plan
 from claimloom.plans import refresh as refresh_plan
 from claimloom.plans import regulations
 from claimloom.session import materialise, pin_semantics
-from claimloom.sources import extraction, snapshots, tables
+from claimloom.sources import extraction, silver, snapshots, tables
 
 def as_of() -> Column:
     """The clock of every query."""
@@ -125,9 +125,15 @@ class Inputs:
             ),
         )
 
+    @cached_property
+    def alike(self) -> DataFrame:
+        found = rules.case_signatures(self.cases, self.known, self.conditions)
+        return materialise(found, "case_signatures", self.folder)
+
     @cached_property
     def evaluated(self) -> DataFrame:
-        return rules.eval_rules(self.cases, self.known, self.with_actions, self.conditions)
+        """Rules by signature; a case's rules are those of its signature."""
+        return rules.eval_signatures(self.alike, self.with_actions, self.conditions)
 
     @cached_property
     def sections(self) -> DataFrame:
@@ -195,6 +201,29 @@ def envelope_errors(i: Inputs) -> DataFrame:
     )
 
 
+def _stored_extractions(i: Inputs) -> DataFrame:
+    folder = i.new_folder("extractions")
+    silver.write_extractions(i.envelopes, folder)
+    return silver.read_extractions(i.spark, folder)
+
+
+@query
+def stored_envelopes(i: Inputs) -> DataFrame:
+    """Results stored as VARIANT and addressed by path."""
+    return _stored_extractions(i).select(
+        "path",
+        silver.at("$.error_message").alias("error_message"),
+        silver.at("$.response.document_id").alias("document_id"),
+        F.size(silver.at("$.response.rules", "array<variant>")).alias("n_rules"),
+    )
+
+
+@query
+def stored_rules(i: Inputs) -> DataFrame:
+    """The rules table from stored results."""
+    return regulations.gold_tables(_stored_extractions(i))[1]
+
+
 @query
 def envelope_required(i: Inputs) -> DataFrame:
     return regulations.gold_tables(i.envelopes)[0]
@@ -329,14 +358,25 @@ def missing_facts_for_maybe(i: Inputs) -> DataFrame:
     return rules.missing_facts_for_maybe(i.outcomes, i.cases, i.required)
 
 
+@query
+def case_signatures(i: Inputs) -> DataFrame:
+    return i.alike.select("case_id", "grievance_type", "signature")
+
+
+@query
+def signature_rules(i: Inputs) -> DataFrame:
+    return i.evaluated.select("signature", "rule_id", "match_kind")
+
+
 @query
 def rules_matched(i: Inputs) -> DataFrame:
-    return i.evaluated
+    return rules.eval_rules(i.cases, i.known, i.with_actions, i.conditions)
 
 
 @query
 def rules_in_order(i: Inputs) -> DataFrame:
-    return rules.evaluation_order(i.evaluated).select("case_id", "place", "rule_id", "match_kind")
+    ordered = rules.evaluation_order(i.evaluated, "signature")
+    return rules.of_cases(i.alike, ordered.select("signature", "place", "rule_id", "match_kind"))
 
 
 @query
@@ -361,17 +401,17 @@ def eval_rules_sql(i: Inputs) -> DataFrame:
 
 @query
 def top3_rule_lines(i: Inputs) -> DataFrame:
-    return rules.top_rule_lines(i.evaluated)
+    return rules.of_cases(i.alike, rules.top_rule_lines(i.evaluated, by="signature"))
 
 
 @query
 def rule_summaries(i: Inputs) -> DataFrame:
-    return rules.rule_summaries(i.evaluated)
+    return rules.of_cases(i.alike, rules.rule_summaries(i.evaluated, by="signature"))
 
 
 @query
 def exact_rule_summary(i: Inputs) -> DataFrame:
-    return rules.exact_rule_summary(i.evaluated)
+    return rules.of_cases(i.alike, rules.exact_rule_summary(i.evaluated, by="signature"))
 
 
 # ---- flights ---------------------------------------------------------------------
@@ -479,6 +519,25 @@ def model_labels(i: Inputs) -> DataFrame:
     return replied.select("conv_id", "turn", messages.label_in_reply(F.col("reply")).alias("label"))
 
 
+def labelling_model(texts: pd.Series) -> pd.DataFrame:
+    """Stands for a remote classifier that explains itself, not always truthfully."""
+    size = texts.str.len()
+    return pd.DataFrame(
+        {
+            "primary_label": texts.str.contains("delay", case=False).map({True: " Delay", False: "none"}),
+            "reason_span": texts.str.slice(0, 12).where(size % 2 == 0, "words of its own"),
+            "confidence": ((size % 120) / 100).astype("string"),
+        }
+    )
+
+
+@query
+def model_classifications(i: Inputs) -> DataFrame:
+    """Labels with their reasons and confidences, checked against the texts."""
+    said = i.messages.select("conv_id", "turn", "text")
+    return messages.classify_in_full(said, labelling_model).select("conv_id", "turn", "classification.*")
+
+
 @query
 def flight_related(i: Inputs) -> DataFrame:
     return i.messages.select(
@@ -633,16 +692,32 @@ def updated_flights(i: Inputs) -> DataFrame:
     return tables.read_table(i.spark, folder, 1)
 
 
-@query
-def stored_case_runs(i: Inputs) -> DataFrame:
-    """The case-run table after a batch has been stored twice."""
+def _dated_runs(i: Inputs) -> str:
+    """A case-run table of two days: each day's batch stored twice."""
     folder = i.new_folder("case_runs")
     runs = case_plan.run_cases(
         i.view("fx_intake"), i.facts, i.required, i.rules, i.conditions, as_of(), folder=i.folder
     )
+    runs = materialise(runs, "case_runs", folder + "-in")
+    later = runs.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 DAY"))
     for _ in range(2):
         tables.append_case_runs(runs, folder, "first")
-    return tables.read_case_runs(i.spark, folder).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+        tables.append_case_runs(later, folder, "second")
+    return folder
+
+
+@query
+def stored_case_runs(i: Inputs) -> DataFrame:
+    """The case-run table after a batch has been stored twice."""
+    stored = tables.read_case_runs(i.spark, _dated_runs(i), until=fx.AS_OF[:10])
+    return stored.drop("run_date").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query
+def case_runs_by_date(i: Inputs) -> DataFrame:
+    """How many runs each day and batch hold, from the first day on."""
+    stored = tables.read_case_runs(i.spark, _dated_runs(i), since=fx.AS_OF[:10])
+    return stored.groupBy("run_date", "batch").agg(F.count("*").alias("n_runs"))
 
 
 @query

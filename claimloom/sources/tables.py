@@ -184,12 +184,21 @@ def case_run_rows(runs: DataFrame) -> DataFrame:
 
 
 def append_case_runs(runs: DataFrame, folder: str, batch: str) -> None:
-    """Add the matched runs of one batch, which has a folder of its own: storing a batch
-    again replaces its rows instead of adding them twice."""
-    case_run_rows(runs).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    """Add the matched runs of one batch, cut by the date of the run and the batch.
 
-
-def read_case_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """All stored runs with the batch that added them."""
-    schema = T.StructType([*CASE_RUNS.fields, T.StructField("batch", T.StringType())])
-    return spark.read.schema(schema).parquet(folder)
+    Storing a batch again replaces its rows of the same dates instead of adding them twice, and
+    leaves all other batches and dates alone.
+    """
+    rows = case_run_rows(runs).withColumns({"run_date": F.to_date("created_at"), "batch": F.lit(batch)})
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_date", "batch").parquet(folder)
+
+
+def read_case_runs(spark: SparkSession, folder: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """All stored runs with their date and the batch that added them; `since` and `until` are the
+    first and last date that is read, others are not opened."""
+    parts = [T.StructField("run_date", T.DateType()), T.StructField("batch", T.StringType())]
+    rows = spark.read.schema(T.StructType([*CASE_RUNS.fields, *parts])).parquet(folder)
+    for limit, inside in ((since, "run_date >= date'{}'"), (until, "run_date <= date'{}'")):
+        rows = rows.where(inside.format(limit)) if limit else rows
+    return rows

@@ -16,7 +16,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -46,13 +46,14 @@ class DialogueProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.current = handle.getValueState("current", "state int, next bigint", ttlDurationMs=self.kept_ms)
+        # the type handled last is kept beside the state: a completed dialogue has it no more
+        self.current = handle.getValueState("current", "state int, next bigint, handled int", ttlDurationMs=self.kept_ms)
         # moves of a waiting turn, a digit per state; empty: a turn that says nothing to the dialogue
         self.waiting = handle.getMapState("waiting", "turn bigint", "moves string", ttlDurationMs=self.kept_ms)
 
     def _walk(self, key, turns: np.ndarray, moves: np.ndarray, skip_gap: bool) -> Iterator[pd.DataFrame]:
         """Work off new turns and those that waited for them; what still waits stays in the state."""
-        state, expected = self.current.get() if self.current.exists() else (dialogue.INITIAL, self.first_turn)
+        state, expected, handled = self.current.get() if self.current.exists() else (dialogue.INITIAL, self.first_turn, 0)
         late = turns < expected
         held = [(k[0], v[0]) for k, v in self.waiting.iterator()] if self.waiting.exists() else []
         turns_held = np.array([t for t, _ in held], np.int64)
@@ -84,7 +85,10 @@ class DialogueProcessor(StatefulProcessor):
         for t, text in zip(every[ready:].tolist(), texts[ready:].tolist(), strict=True):
             if t not in waited:
                 self.waiting.updateValue((t,), (text,))
-        self.current.update((int(met[-1]), expected + ready))
+        if len(spoken):
+            last = int(met[-1])
+            handled = int(met[spoken[-1]]) if last == dialogue.COMPLETED else last
+        self.current.update((int(met[-1]), expected + ready, handled))
         self.gap = ready < len(every)
 
     def _set_timer(self, timerValues) -> None:
@@ -267,6 +271,17 @@ def dialogue_stream(
     )
 
 
+def latest_states(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(conv_id, state, grievance_type) of every conversation that a dialogue stream holds, read
+    from the state in its checkpoint: where each stands after the last complete batch."""
+    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "current").load()
+    return held.select(
+        F.col("key.conv_id").alias("conv_id"),
+        dialogue.state_name(F.col("value.state")).alias("state"),
+        dialogue.state_type(F.col("value.handled")).alias("grievance_type"),
+    )
+
+
 def entitlement_stream(
     snapshots: DataFrame, thresholds: DataFrame, late: str = "2 hours", kept_ms: int = KEPT_MS
 ) -> DataFrame:

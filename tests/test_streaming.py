@@ -72,6 +72,10 @@ def test_dialogue_stream_equals_fold_in_any_order(spark, sf_dir, tmp_path, seed)
     got = as_set(spark.table(f"dialogue_out{seed}"))
     assert got == as_set(dialogue.dialogue_states(messages, required))
     assert {"initial", "awaiting_fields", "completed"} <= {r[3] for r in got}
+    # where each conversation stands, from the stream's own state
+    states = dialogue.dialogue_states(messages, required)
+    want = dialogue.conversation_states(messages, states).select("conv_id", "state", "grievance_type")
+    assert as_set(stateful.latest_states(spark, str(tmp_path / "cp"))) == as_set(want)
 
 
 def test_missing_and_late_turns(spark, tmp_path):
