@@ -277,8 +277,8 @@ def latest_states(spark: SparkSession, checkpoint: str) -> DataFrame:
     held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "current").load()
     return held.select(
         F.col("key.conv_id").alias("conv_id"),
-        dialogue.state_name(F.col("value.state")).alias("state"),
-        dialogue.state_type(F.col("value.handled")).alias("grievance_type"),
+        dialogue.state_name(F.col("value.value.state")).alias("state"),
+        dialogue.state_type(F.col("value.value.handled")).alias("grievance_type"),
     )
 
 
