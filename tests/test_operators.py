@@ -282,17 +282,23 @@ def test_conditions_with_unknown_operators_are_reported(spark):
     assert rows(rules.invalid_conditions(conditions).select("rule_id", "op")) == [("q", None), ("r", "=>")]
 
 
+HOT_KEY_QUERIES = (
+    "rules_matched", "signature_rules", "required_fields_of_case", "missing_fields", "candidate_rules_topk",
+    "rule_outcomes", "missing_facts_for_maybe", "escalation_checklist", "parsed_answers", "entitlements_by_delay",
+)
+
+
 def test_small_tables_are_joined_without_hot_keys(spark, sf_dir):
     """With broadcasts off, no rows meet a table on a key of a few values alone."""
     from claimloom import registry
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for name in ("rules_matched", "required_fields_of_case", "missing_fields", "candidate_rules_topk"):
+        for name in HOT_KEY_QUERIES:
             plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
             joined = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin) \[(.*?)\]", plan)
-            few = {"scenario_type", "grievance_type", "token", "fact_key"}
-            hot = [k for k in joined if {re.sub(r"#\d+L?", "", c).strip() for c in k.split(",")} <= few - {"token", "fact_key"}]
+            few = {"scenario_type", "grievance_type", "fact_key", "form", "answer_key", "level", "block", "delay", "class"}
+            hot = [k for k in joined if {re.sub(r"#\d+L?", "", c).strip() for c in k.split(",")} <= few]
             assert not hot, (name, hot)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
