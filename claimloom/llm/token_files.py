@@ -19,7 +19,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -133,11 +132,6 @@ class Encoder:
             yield flat, np.fromiter(map(len, ids), np.int64, len(ids))
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     upto = np.cumsum(counts)
     return np.insert(ids, upto, end_id), counts + 1
@@ -170,7 +164,7 @@ def write_tokens(
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        own = encoder(tokenizer_path)
+        own = Encoder(tokenizer_path)  # of this task: a worker lives on after it, and keeps nothing
         for batch in batches:
             first = 0
             for ids, counts in own.texts(batch.column(1), word_pieces):
@@ -187,6 +181,8 @@ def write_tokens(
                 before, first = before + int(upto[-1]), first + k
                 yield pa.RecordBatch.from_arrays(cols, ["part", "before", "doc_id", "n_tokens", "tokens"])
             textscan.release()
+        del own
+        textscan.release()
 
     writer = rows.mapInArrow(encode, schema).write.option("compression", "zstd")
     writer = writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")

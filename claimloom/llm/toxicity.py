@@ -296,6 +296,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, s: Settings = Sett
     gram_at = np.concatenate([at + b for (_, at), b in zip(parts, base, strict=False)])
     del parts
     gram_size = np.diff(np.append(gram_at, len(gram_rows)))
+    textscan.release()
 
     # how telling words and n-grams are by the texts they occur in: a start for the embeddings
     toxic, total = float(fit_labels.sum()), len(fit_labels)
@@ -426,10 +427,16 @@ def fit(
     rows, share = sample(docs, labels, id_col, text_col, label_col, s)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drawn = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: str(r["id"]))
-        net = train([r["text"] for r in drawn], np.array([r["y"] for r in drawn], np.float32), share, s)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+        ids, marks, texts = [], [], []
+        for batch in batches:
+            for into, column in zip((ids, marks, texts), batch.columns, strict=True):
+                into += column.to_pylist()
+        order = sorted(range(len(ids)), key=lambda k: str(ids[k]))
+        net = train([texts[k] for k in order], np.array([marks[k] for k in order], np.float32), share, s)
+        found = pickle.dumps(net)
+        del ids, marks, texts, net
         textscan.release()
+        yield pa.RecordBatch.from_arrays([pa.array([found], pa.binary())], ["net"])
 
     found = rows.repartition(1).mapInArrow(work, "net binary").collect()
     return pickle.loads(found[0].net) if found else train([], np.zeros(0, np.float32), share, s)
