@@ -16,8 +16,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from claimloom import registry  # noqa: E402
 from claimloom.session import local_session  # noqa: E402
 
-# rules_matched is left out: its result is every matching pair of case and rule, which at sf0.1
-# are tens of millions of rows now that the rules grow with the tables.
 HEADLINE = (
     "rules_all",
     "envelope_rules",
@@ -25,6 +23,7 @@ HEADLINE = (
     "missing_fields",
     "candidate_rules_topk",
     "rule_outcomes",
+    "rules_matched",
     "flights_refreshed",
     "entitlement_changes",
     "document_sections",
