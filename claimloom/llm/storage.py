@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir.
+    """The folder named in spark.checkpoint.dir, as it is named: without a scheme it lies on
+    the session's default file system, or on a mount that all machines have.
 
     Where it is unset, a single-machine session gets a temporary folder; on a cluster a
     machine's own disk is not shared, so the setting is required there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    local = spark.sparkContext.master.startswith("local[")
-    if not local and "://" not in (root or ""):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share, with its scheme")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="claimloom-llm-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
