@@ -311,6 +311,13 @@ def test_intermediate_results_go_only_where_the_caller_says(spark, tmp_path):
     assert rows(back) == rows(df) and list(tmp_path.glob("t-*"))
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_a_cluster_writes_where_the_caller_says(spark, tmp_path, monkeypatch, scheme):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:1")
+    back = materialise(spark.range(3), "t", f"{scheme}{tmp_path}/")
+    assert rows(back) == rows(spark.range(3)) and list(tmp_path.glob("t-*"))
+
+
 @pytest.mark.parametrize("turns", [5, 2500])
 def test_whole_conversations_and_pieces(spark, turns):
     messages = spark.range(turns).selectExpr("'c' AS conv_id", "id + 1500 AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t\"', id) AS text")
