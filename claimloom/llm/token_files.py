@@ -73,26 +73,49 @@ class Encoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, k in vocabulary.items():
             self.ends_word[k] = token.endswith("</w>")
+        # then no pre-token is without a word's end, and equal numbers of both mean one each
+        self.every_byte_ends = sum(len(t) == 5 and t.endswith("</w>") for t in vocabulary) >= 256
         self.cache = PieceCache(*CACHE)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_new(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of distinct pieces. Plain ASCII pieces are one pre-token each and go as one text."""
-        out: list = [None] * len(pieces)
-        plain = [k for k, p in enumerate(pieces) if p.isascii() and b"'" not in p and b"\x00" not in p]
-        if plain:
-            joined = b" ".join(pieces[k] for k in plain).decode()
-            ids = np.array(self.whole([joined])[0], np.int32)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(plain) and ends[-1] == len(ids):
-                for k, own in zip(plain, np.split(ids, ends[:-1]), strict=True):
-                    out[k] = own
-        rest = [k for k, own in enumerate(out) if own is None]
-        for k, own in zip(rest, self.whole([pieces[k].decode() for k in rest]), strict=True):
-            out[k] = np.array(own, np.int32)
-        return out
+    def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of distinct pieces, and the ids one after the other.
+
+        Pieces of plain ASCII or of letters alone are one pre-token each and go as one text. Where
+        the library finds more words than pieces in it (letters that it takes apart), they go singly.
+        """
+        plain, letters, rest = [], [], []
+        for k, p in enumerate(pieces):
+            if p.isascii() and "'" not in p and "\x00" not in p:
+                plain.append(k)
+            elif self.every_byte_ends and p.isalpha():
+                letters.append(k)
+            else:
+                rest.append(k)
+        length, place = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        flat, used = [np.zeros(0, np.int32)], 0
+        for group in (plain, letters, rest):
+            if not group:
+                continue
+            ends = None
+            if group is not rest:
+                ids = np.array(self.whole([" ".join([pieces[k] for k in group])])[0], np.int32)
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) != len(group) or ends[-1] != len(ids):
+                    ends = None
+            if ends is None:
+                lists = self.whole([pieces[k] for k in group])
+                ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+                ids = np.fromiter((x for own in lists for x in own), np.int32, int(ends[-1]))
+            length[group] = np.diff(ends, prepend=0)
+            place[group] = ends - length[group] + used
+            flat.append(ids)
+            used += len(ids)
+        upto = np.cumsum(length)
+        where = np.arange(used) + np.repeat(place - (upto - length), length)
+        return length, np.concatenate(flat)[where]
 
     def block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts and the number of ids of each text."""
@@ -111,11 +134,14 @@ class Encoder:
         at = self.cache.find(keys)
         new = np.flatnonzero(at < 0)
         raw = data.tobytes() if len(new) else b""
-        lists: list[np.ndarray] = []
+        lengths, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for k in range(0, len(new), NEW):
-            lists += self._encode_new([raw[starts[j] : ends[j]].lower() for j in first[new[k : k + NEW]]])
-        length = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+            j = first[new[k : k + NEW]]
+            pieces = [raw[s:e].lower().decode() for s, e in zip(starts[j].tolist(), ends[j].tolist(), strict=True)]
+            length, ids = self._encode_new(pieces)
+            lengths.append(length)
+            lists.append(ids)
+        length, ids = np.concatenate(lengths), np.concatenate(lists)
         out, own = self.cache.gather(at, length, ids, of)
         self.cache.add(keys[new], length, ids)
         total = np.concatenate(([0], np.cumsum(own)))

@@ -97,3 +97,27 @@ def test_cache_starts_again_when_full(monkeypatch, tokenizer):
     texts = [f"some words number {k} here" for k in range(40)]
     got = [ids.tolist() for t in texts for ids, _ in own.texts(pa.array([t]), True)]
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+ODD_LETTERS = "İstanbul Σίσυφος ﬁn יִא 한 ñandú naïve'S ｘㅤy ǅ ªº 漢字かな éte ͅa ŉ \U0001d400\U0001e900 हिन्दी"
+
+
+@pytest.mark.parametrize("text", [ODD_LETTERS, "été İ été", "ㅤ", "漢 字 漢"])
+def test_letters_that_the_library_takes_apart(text):
+    import pyarrow as pa
+
+    own = T.Encoder(tokenizer_path())
+    [(ids, counts)] = own.texts(pa.array([text]), True)
+    assert ids.tolist() == own.whole([text])[0] and counts.tolist() == [len(ids)]
+
+
+def test_new_words_of_letters_go_to_the_library_together():
+    import pyarrow as pa
+
+    own, given = T.Encoder(tokenizer_path()), []
+    whole = own.whole
+    own.whole = lambda texts: given.append(len(texts)) or whole(texts)
+    text = " ".join(f"é{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500))
+    [(ids, _)] = own.texts(pa.array([text]), True)
+    assert ids.tolist() == whole([text])[0]
+    assert sum(given) <= 2
