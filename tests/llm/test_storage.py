@@ -1,8 +1,9 @@
 """Where the operators write what they read again."""
 
+import cases
 import pytest
 
-from claimloom.llm import storage
+from claimloom.llm import queries, storage
 
 
 @pytest.fixture
@@ -31,3 +32,34 @@ def test_the_checkpoint_folder_is_taken_as_it_is_named(cluster, tmp_path, scheme
 def test_a_cluster_without_a_checkpoint_folder_is_refused(cluster):
     with pytest.raises(ValueError, match="checkpoint"):
         storage.shared_root(cluster(None))
+
+
+QUERIES = [
+    "op1_simhash",
+]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("tables"))
+    single = {r[0]: r for r in cases.ROWS if r[0] is not None}
+    made = {
+        "documents": cases.documents(spark, list(single.values())),
+        "pages": spark.range(60).selectExpr(
+            "id AS page_id", "concat('http://www.example.', if(id % 3 = 0, 'net', 'com'), '/', if(id % 2 = 0, 'en', 'es'), '/', id % 5) AS url", "'' AS html"
+        ),
+        "labels": spark.range(60).selectExpr("id AS doc_id", "id % 2 AS quality", "id % 7 % 2 AS toxic"),
+        "embeddings": spark.range(150).selectExpr("id AS vec_id", "transform(sequence(1, 8), k -> cast(sin(id * k) AS float)) AS embedding"),
+    }
+    for name, df in made.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_a_query_goes_on_from_a_folder_named_without_a_scheme(cluster, tables, tmp_path, monkeypatch, name):
+    plain, whole = [
+        cases.rows(queries.queries()[name](cluster(folder), tables)) for folder in (str(tmp_path / "a"), f"file://{tmp_path}/b")
+    ]
+    assert plain and plain == whole
+    assert list((tmp_path / "a").iterdir())
