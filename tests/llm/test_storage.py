@@ -37,6 +37,7 @@ def test_a_cluster_without_a_checkpoint_folder_is_refused(cluster):
 QUERIES = [
     "op1_simhash",
     "op5_mixing",
+    "op7_tokens",
 ]
 
 
