@@ -38,6 +38,7 @@ QUERIES = [
     "op1_simhash",
     "op5_mixing",
     "op7_tokens",
+    "op8_lines",
 ]
 
 
