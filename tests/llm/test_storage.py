@@ -39,6 +39,7 @@ QUERIES = [
     "op5_mixing",
     "op7_tokens",
     "op8_lines",
+    "op9_urls",
 ]
 
 
