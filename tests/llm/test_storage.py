@@ -40,6 +40,7 @@ QUERIES = [
     "op7_tokens",
     "op8_lines",
     "op9_urls",
+    "op10_topk",
 ]
 
 
