@@ -6,6 +6,7 @@ from claimloom import registry
 
 QUERIES = [
     "candidate_rules_topk",
+    "case_payload",
 ]
 
 
