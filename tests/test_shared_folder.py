@@ -7,6 +7,7 @@ from claimloom import registry
 QUERIES = [
     "candidate_rules_topk",
     "case_payload",
+    "case_runs",
 ]
 
 
