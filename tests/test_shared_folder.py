@@ -8,6 +8,7 @@ QUERIES = [
     "candidate_rules_topk",
     "case_payload",
     "case_runs",
+    "case_runs_by_date",
 ]
 
 
