@@ -9,6 +9,7 @@ QUERIES = [
     "case_payload",
     "case_runs",
     "case_runs_by_date",
+    "case_signatures",
 ]
 
 
