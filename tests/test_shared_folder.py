@@ -10,6 +10,7 @@ QUERIES = [
     "case_runs",
     "case_runs_by_date",
     "case_signatures",
+    "case_status",
 ]
 
 
