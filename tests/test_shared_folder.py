@@ -11,6 +11,7 @@ QUERIES = [
     "case_runs_by_date",
     "case_signatures",
     "case_status",
+    "conversation_history",
 ]
 
 
