@@ -12,6 +12,7 @@ QUERIES = [
     "case_signatures",
     "case_status",
     "conversation_history",
+    "conversation_state",
 ]
 
 
