@@ -13,6 +13,7 @@ QUERIES = [
     "case_status",
     "conversation_history",
     "conversation_state",
+    "dialogue_state",
 ]
 
 
