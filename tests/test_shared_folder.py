@@ -15,6 +15,7 @@ QUERIES = [
     "conversation_state",
     "dialogue_state",
     "entitlement_changes",
+    "eval_rules_sql",
 ]
 
 
