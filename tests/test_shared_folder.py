@@ -16,6 +16,7 @@ QUERIES = [
     "dialogue_state",
     "entitlement_changes",
     "eval_rules_sql",
+    "exact_rule_summary",
 ]
 
 
