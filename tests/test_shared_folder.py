@@ -17,6 +17,7 @@ QUERIES = [
     "entitlement_changes",
     "eval_rules_sql",
     "exact_rule_summary",
+    "form_open_present",
 ]
 
 
