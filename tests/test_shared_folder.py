@@ -18,6 +18,7 @@ QUERIES = [
     "eval_rules_sql",
     "exact_rule_summary",
     "form_open_present",
+    "form_open_strict",
 ]
 
 
