@@ -19,6 +19,7 @@ QUERIES = [
     "exact_rule_summary",
     "form_open_present",
     "form_open_strict",
+    "known_facts",
 ]
 
 
