@@ -20,6 +20,7 @@ QUERIES = [
     "form_open_present",
     "form_open_strict",
     "known_facts",
+    "missing_critical",
 ]
 
 
