@@ -21,6 +21,7 @@ QUERIES = [
     "form_open_strict",
     "known_facts",
     "missing_critical",
+    "missing_facts_for_maybe",
 ]
 
 
