@@ -22,6 +22,7 @@ QUERIES = [
     "known_facts",
     "missing_critical",
     "missing_facts_for_maybe",
+    "missing_fields",
 ]
 
 
