@@ -23,6 +23,7 @@ QUERIES = [
     "missing_critical",
     "missing_facts_for_maybe",
     "missing_fields",
+    "packed_context",
 ]
 
 
