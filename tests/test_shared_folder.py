@@ -24,6 +24,7 @@ QUERIES = [
     "missing_facts_for_maybe",
     "missing_fields",
     "packed_context",
+    "required_fields_of_case",
 ]
 
 
