@@ -25,6 +25,7 @@ QUERIES = [
     "missing_fields",
     "packed_context",
     "required_fields_of_case",
+    "parsed_answers",
 ]
 
 
