@@ -26,6 +26,7 @@ QUERIES = [
     "packed_context",
     "required_fields_of_case",
     "parsed_answers",
+    "rule_outcomes",
 ]
 
 
