@@ -191,6 +191,50 @@ def test_condition(spark, op, operand, value, code):
     assert [r[0] for r in called.collect()] == evaluated
 
 
+def many_conditions(spark):
+    """Cases with six answers each, rules with up to six conditions and 300 rules that are alike."""
+    cases = spark.createDataFrame([(1, "delay"), (2, "delay"), (3, "delay"), (4, "downgrade")], "case_id long, grievance_type string")
+    said = {1: "yyyyyy", 2: "yyyyyn", 3: "yyyyy?", 4: "nyyyyy"}
+    answers = {"y": "yes", "n": "no", "?": None}
+    known = spark.createDataFrame(
+        [(c, f"k{n}", answers[a]) for c, all_said in said.items() for n, a in enumerate(all_said)], "case_id long, fact_key string, value string"
+    )
+    asked = {"six": range(6), "five": range(5), "last": [5], "free": []} | {f"a{n:03}": [0] for n in range(300)}
+    conditions = spark.createDataFrame(
+        [(r, f"k{n}", "is_true", None) for r, ns in asked.items() for n in ns], "rule_id string, fact_key string, op string, operand string"
+    )
+    table = spark.createDataFrame(
+        [(r, "delay" if r in ("last", "a299") else "cross_cutting", "entitlement", None if r == "a007" else str(len(r)), r, "g") for r in asked],
+        "rule_id string, scenario_type string, rule_family string, source_para string, title string, passenger_gets_text string",
+    )
+
+    def kind(case, r):
+        if r in ("last", "a299") and case == 4 or any(said[case][n] == "n" for n in asked[r]):
+            return None
+        return "exact" if asked[r] and all(said[case][n] == "y" for n in asked[r]) else "maybe"
+
+    want = {(c, r): kind(c, r) for c in said for r in asked}
+    return cases, known, table, conditions, {k: v for k, v in want.items() if v}
+
+
+def test_rules_with_many_conditions_and_many_rules_alike(spark):
+    cases, known, table, conditions, want = many_conditions(spark)
+    got = rules.eval_rules(cases, known, table, conditions).collect()
+    assert len(got) == len(want) and {(r.case_id, r.rule_id): r.match_kind for r in got} == want
+
+
+@pytest.mark.parametrize("shown", [rules.exact_rule_summary, rules.top_rule_lines, rules.rule_summaries, rules.evaluation_order, None])
+def test_classes_of_rules_are_not_broadcast(spark, shown):
+    """They are repeated per piece, which the planner does not see when it takes them for small."""
+    cases, known, table, conditions, _ = many_conditions(spark)
+    members = rules.case_signatures(cases, known, conditions)
+    found = rules.eval_signatures(members, table, conditions)
+    df = found if shown is None else shown(found, by="signature")
+    assert df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [scenario_type" in plan and not re.search(r"BroadcastHashJoin \[(scenario_type|class)", plan)
+
+
 def test_true_and_unknown_is_maybe(spark):
     known = spark.createDataFrame([(1, "a", "yes")], "case_id long, fact_key string, value string")
     conditions = spark.createDataFrame(
