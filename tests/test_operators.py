@@ -235,6 +235,18 @@ def test_classes_of_rules_are_not_broadcast(spark, shown):
     assert "SortMergeJoin [scenario_type" in plan and not re.search(r"BroadcastHashJoin \[(scenario_type|class)", plan)
 
 
+@pytest.mark.parametrize("n, leading", [(1, 1), (3, 1), (3, 128), (400, 128)])
+def test_first_rules_are_those_of_all(spark, monkeypatch, n, leading):
+    monkeypatch.setattr(rules, "LEADING", leading)
+    cases, known, table, conditions, _ = many_conditions(spark)
+    members = rules.case_signatures(cases, known, conditions)
+    found = [rules.eval_signatures(members, table, conditions, first=f) for f in (None, n)]
+    want, got = (rows(rules.top_rule_lines(f, n, by="signature")) for f in found)
+    assert got == want and want
+    if n < 4 and leading > 1:
+        assert found[1].count() < found[0].count() // 4
+
+
 def test_true_and_unknown_is_maybe(spark):
     known = spark.createDataFrame([(1, "a", "yes")], "case_id long, fact_key string, value string")
     conditions = spark.createDataFrame(
